@@ -53,42 +53,38 @@ def positions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         *by, value, "cnt", (F.col("__off") + F.col("__loc")).alias("below"), "total")
 
 
-def with_pct_rank(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
-    """Add ``{out: value column}``: average-tie rank over the count of known values; null stays null.
+def _long(df: DataFrame, keep: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """(keep..., m, v): one row per known value of each column, numbered in the order given."""
+    cells = [F.struct(F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns.values())]
+    long = df.select(*keep, F.explode(F.array(*cells)).alias("__s")).select(*keep, "__s.__m", "__s.__v")
+    return long.filter(F.col("__v").isNotNull())
 
-    All columns are ranked in one pass over a long (group, column, value) table, then joined back on the
-    value. A value shared by very many rows is one row on the right side, so adaptive skew handling can
-    split the left.
+
+def _joined_positions(df: DataFrame, ident: Sequence[str], by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Every known cell with its position. A value shared by very many rows is one row on the right side,
+    so adaptive skew handling can split the left."""
+    keep = list(dict.fromkeys([*ident, *by]))
+    long = _long(df, keep, columns)
+    at = positions(long, [*by, "__m"], "__v")
+    return long.join(at, [*by, "__m", "__v"])
+
+
+def ranks(df: DataFrame, ident: Sequence[str], by: Sequence[str], columns: dict[str, str], pct: bool = True) -> DataFrame:
+    """A narrow frame (ident..., {out: rank of column}) of average-tie ranks within ``by``.
+
+    ``pct`` divides by the count of known values. All columns are ranked in one pass; rows without any
+    known value are absent, so callers join from the left. ``df`` is read twice: pass a materialised or a
+    cheap narrow frame.
     """
-    by = list(by)
-    names = list(columns)
-    long = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("__m"), F.col(columns[n]).cast("double").alias("__v"))
-        for i, n in enumerate(names)])).alias("__s")).select(*by, "__s.__m", "__s.__v")
-    ranked = positions(long, [*by, "__m"], "__v").select(
-        *by, "__m", "__v", ((F.col("below") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("__pct"))
-    for i, name in enumerate(names):
-        right = ranked.filter(F.col("__m") == i).select(
-            *[F.col(k).alias(f"__k_{k}") for k in by], F.col("__v").alias("__rv"), F.col("__pct").alias(name))
-        on = F.col(columns[name]).cast("double") == F.col("__rv")
-        for k in by:
-            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        df = df.join(right, on, "left").drop("__rv", *[f"__k_{k}" for k in by])
-    return df
-
-
-def with_average_rank(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
-    """As ``with_pct_rank`` but the plain average-tie rank (1-based)."""
-    by = list(by)
-    for out, value in columns.items():
-        right = positions(df, by, value).select(
-            *[F.col(k).alias(f"__k_{k}") for k in by], F.col(value).alias("__rv"),
-            (F.col("below") + (F.col("cnt") + 1) / 2).alias(out))
-        on = F.col(value).cast("double") == F.col("__rv")
-        for k in by:
-            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        df = df.join(right, on, "left").drop("__rv", *[f"__k_{k}" for k in by])
-    return df
+    place = F.col("below") + (F.col("cnt") + 1) / 2
+    joined = _joined_positions(df, ident, by, columns).withColumn("__p", place / F.col("total") if pct else place)
+    return joined.groupBy(*ident).agg(*[F.max(F.when(F.col("__m") == i, F.col("__p"))).alias(n) for i, n in enumerate(columns)])
+
+
+def with_ranks(df: DataFrame, ident: Sequence[str], by: Sequence[str], columns: dict[str, str], pct: bool = True) -> DataFrame:
+    """``df`` with the ranks of ``ranks`` joined on its identity columns."""
+    narrow = df.select(*dict.fromkeys([*ident, *by, *columns.values()]))
+    return df.join(ranks(narrow, ident, by, columns, pct), list(ident), "left")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
@@ -110,10 +106,24 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[
 
 
 def quantile_columns(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Quantiles of several columns, one row per group: ``{out: (value column, p)}``."""
+    """Quantiles of several columns in one pass, one row per group: ``{out: (value column, p)}``."""
     by = list(by)
-    out = None
-    for value in dict.fromkeys(v for v, _ in wanted.values()):
-        part = quantiles(df, by, value, {o: p for o, (v, p) in wanted.items() if v == value})
-        out = part if out is None else (out.join(part, by, "full") if by else out.crossJoin(part))
-    return out
+    columns = {v: v for v, _ in wanted.values()}
+    at = positions(_long(df, by, columns), [*by, "__m"], "__v")
+    picks = []
+    for i, value in enumerate(columns):
+        mine = F.col("__m") == i
+        picks.append(F.max(F.when(mine, F.col("total"))).alias(f"__n_{value}"))
+        for out, (v, p) in wanted.items():
+            if v != value:
+                continue
+            place = F.lit(float(p)) * (F.col("total") - 1)
+            picks.append(F.max(F.when(mine & (F.col("below") <= F.floor(place)), F.col("__v"))).alias(f"__lo_{out}"))
+            picks.append(F.max(F.when(mine & (F.col("below") <= F.ceil(place)), F.col("__v"))).alias(f"__hi_{out}"))
+    grouped = at.groupBy(*by).agg(*picks)
+    result = []
+    for out, (v, p) in wanted.items():
+        place = F.lit(float(p)) * (F.col(f"__n_{v}") - 1)
+        low, high = F.col(f"__lo_{out}"), F.col(f"__hi_{out}")
+        result.append((low + (high - low) * (place - F.floor(place))).alias(out))
+    return grouped.select(*by, *result)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 @dataclass(frozen=True)
@@ -81,5 +81,15 @@ class Series:
         return F.when(F.size(values) == n, (below + (same + 1) / 2) / n * 100)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by key into the session's shuffle width before heavy window work.
+
+    It is the exchange the windows need anyway. Naming the width keeps adaptive execution from merging the
+    partitions by size: window columns cost CPU per row, so a small-looking shuffle still wants every core.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *[F.col(k) for k in keys or ("isin",)])
+
+
 PANEL = Series()
 CALENDAR = Series(keys=())

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import flag, holds, pct, ratio
-from ..functions.order_stats import quantiles, with_pct_rank
+from ..functions.order_stats import quantile_columns, ranks
+from ..session import cut_lineage
 from ..functions.windows import CALENDAR, PANEL as S
 
 # Relative-strength weights and study horizons.
@@ -19,14 +20,24 @@ RS_WEIGHTS = {"ret_60d": 0.4, "ret_120d": 0.2, "ret_250d": 0.4}
 HORIZONS = (1, 5, 20)
 
 
-def add_relative_strength(df: DataFrame) -> DataFrame:
-    """``rs_score`` (weighted within-date percent ranks) and ``rs_rank`` (0..99, half-even)."""
-    df = with_pct_rank(df, ["date"], {f"__p_{n}": n for n in RS_WEIGHTS})
-    score = sum((F.col(f"__p_{n}") * w for n, w in RS_WEIGHTS.items()), F.lit(0.0))
+def relative_strength(panel: DataFrame) -> DataFrame:
+    """(isin, date, rs_score, rs_rank): weighted within-date percent ranks, then their own rank 0..99, half-even.
+
+    Works on a narrow three-column copy that is materialised once, because an exact distributed rank reads
+    its input more than once; the wide panel is never shuffled by value.
+    """
+    key = ["isin", "date"]
+    narrow = cut_lineage(panel.select(*key, *RS_WEIGHTS))
+    pct = ranks(narrow, key, ["date"], {f"p_{n}": n for n in RS_WEIGHTS})
+    score = sum((F.col(f"p_{n}") * w for n, w in RS_WEIGHTS.items()), F.lit(0.0))
     # Scores that differ only in the last bits of the weighted sum are ties.
-    df = df.withColumn("rs_score", F.round(score, 12)).drop(*[f"__p_{n}" for n in RS_WEIGHTS])
-    df = with_pct_rank(df, ["date"], {"__p": "rs_score"})
-    return df.withColumn("rs_rank", F.bround(F.col("__p") * 99, 0)).drop("__p")
+    scored = cut_lineage(pct.select(*key, F.round(score, 12).alias("rs_score")).filter("rs_score is not null"))
+    place = ranks(scored, key, ["date"], {"__p": "rs_score"})
+    return scored.join(place, key).select(*key, "rs_score", F.bround(F.col("__p") * 99, 0).alias("rs_rank"))
+
+
+def add_relative_strength(panel: DataFrame) -> DataFrame:
+    return panel.join(relative_strength(panel), ["isin", "date"], "left")
 
 
 def add_forward_returns(df: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
@@ -50,13 +61,15 @@ def top_n(df: DataFrame, by: Sequence[str], score: Column, n: int, ties: Sequenc
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).withColumnRenamed("__k", "place")
 
 
-def composite_score(df: DataFrame, features: dict[str, int], by: Sequence[str] = ("date",), out: str = "score") -> DataFrame:
-    """Mean of sign-adjusted within-date percent ranks; a missing feature counts as 0.5."""
-    df = df.withColumns({f"__s_{n}": F.col(n).cast("double") * sign for n, sign in features.items()})
-    df = with_pct_rank(df, by, {f"__p_{n}": f"__s_{n}" for n in features})
+def composite_score(df: DataFrame, features: dict[str, int], ident: Sequence[str] = ("isin", "date"),
+                    by: Sequence[str] = ("date",), out: str = "score") -> DataFrame:
+    """Mean of sign-adjusted within-day percent ranks; a missing feature counts as 0.5."""
+    keep = list(dict.fromkeys([*ident, *by]))
+    narrow = df.select(*keep, *[(F.col(n).cast("double") * sign).alias(n) for n, sign in features.items()])
+    pct = ranks(narrow, ident, by, {f"__p_{n}": n for n in features})
     total = sum((F.coalesce(F.col(f"__p_{n}"), F.lit(0.5)) for n in features), F.lit(0.0))
-    drop = [f"__{k}_{n}" for k in "sp" for n in features]
-    return df.withColumn(out, total / len(features)).drop(*drop)
+    joined = df.join(pct, list(ident), "left")
+    return joined.withColumn(out, total / len(features)).drop(*[f"__p_{n}" for n in features])
 
 
 def breadth(features: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
@@ -71,9 +84,8 @@ def breadth(features: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
         F.count_if(holds(F.col("pct_from_52w_high") > -1)).alias("new_highs"),
         F.count_if(holds(F.col("pct_from_52w_low") < 1)).alias("new_lows"))
     counts = counts.withColumns({f"pct_above_{n}": ratio(F.col(f"above_{n}"), F.col("members")) * 100 for n in (50, 200)})
-    rsi = quantiles(features, by, "rsi_14", {"median_rsi": 0.5})
-    ret = quantiles(features, by, "ret_1d", {"median_ret_1d": 0.5})
-    return counts.join(rsi, list(by), "left").join(ret, list(by), "left")
+    medians = quantile_columns(features, by, {"median_rsi": ("rsi_14", 0.5), "median_ret_1d": ("ret_1d", 0.5)})
+    return counts.join(medians, list(by), "left")
 
 
 def breadth_series(panel: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.core import clip, flag, holds, month_start, nonzero, pct, pivot_levels, ratio, week_friday, week_monday
 from ..functions.events import crossed_above, last_value_at, rows_since, segment
 from ..functions.ewm import blank_head, ewm_scan, span_alpha
-from ..functions.windows import PANEL as S
+from ..functions.windows import PANEL as S, by_key
 
 
 def prices() -> list[Column]:
@@ -300,7 +300,7 @@ def build_features(bars: DataFrame, wanted: Iterable[str] | None = None, min_bar
             tight = everything or "tight_3w_pct" in need
         chosen.insert(0, made)
 
-    df = bars
+    df = by_key(bars)
     for i, made in enumerate(chosen):
         if i == 2:
             df = ewm_scan(df, scans)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import holds, ratio
 from ..functions.windows import PANEL as S
+from ..session import cut_lineage
 
 PATH = ["adj_open", "adj_high", "adj_low", "adj_close"]
 
@@ -119,7 +120,9 @@ def first_touch(panel: DataFrame, signals: DataFrame, exit: Exit, excursions: bo
     ``signals`` are rows of the positioned panel and carry ``sid``, a unique id.
     """
     trades = open_trades(panel, signals, exit)
-    path = future_path(panel, trades, exit.cap, exit.extra)
+    # The path brings its own prices; the signal row's values are kept beside them and restored at the end.
+    clash = [x for x in [*PATH, "last_r", "next_open", *exit.extra] if x in trades.columns]
+    path = future_path(panel, trades.withColumnsRenamed({x: f"__s_{x}" for x in clash}), exit.cap, exit.extra)
     return _resolve(path, signals.columns, exit, excursions)
 
 
@@ -170,8 +173,9 @@ def _resolve(path: DataFrame, keep: Sequence[str], exit: Exit, excursions: bool)
         events["__x"] = F.min(F.when(fires, row))
     if exit.manage == "half":
         events["__h"] = F.min(F.when(F.col("__half_px").isNotNull(), F.struct(k.alias("k"), F.col("__half_px").alias("p"))))
-    carried = [c for c in dict.fromkeys([*keep, "entry", "risk", "risk_pct"]) if c != "sid" and c in path.columns]
-    out = path.groupBy("sid").agg(*[F.first(c).alias(c) for c in carried], *[e.alias(n) for n, e in events.items()])
+    source = {c: f"__s_{c}" if f"__s_{c}" in path.columns else c for c in [*keep, "entry", "risk", "risk_pct"]}
+    carried = {c: x for c, x in source.items() if c != "sid" and x in path.columns}
+    out = path.groupBy("sid").agg(*[F.first(x).alias(c) for c, x in carried.items()], *[e.alias(n) for n, e in events.items()])
     return _price(out, exit, excursions)
 
 
@@ -303,7 +307,7 @@ def grid(panel: DataFrame, signals: DataFrame, cells: dict[str, Exit], non_overl
     parts = None
     for name, exit in cells.items():
         trades = first_touch(panel, signals, exit, excursions=True)
-        trades = one_open_per_key(trades) if non_overlapping else trades
+        trades = one_open_per_key(cut_lineage(trades)) if non_overlapping else trades
         part = trades.select("sid", "isin", "date", "r", "entry", "exit", "exit_r", "bars", "why", "net", "risk_pct",
                              "r_multiple", "mae", "mfe").withColumn("cell", F.lit(name))
         parts = part if parts is None else parts.unionByName(part)

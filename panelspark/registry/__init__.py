@@ -1,6 +1,6 @@
 """Registered queries, one module per family."""
 
-from . import cross, windows  # noqa: F401
+from . import cross, outcomes, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
