@@ -135,15 +135,15 @@ def integrity_battery(bars: DataFrame, gap_days: int = 5) -> DataFrame:
         F.count_if(F.col("volume").isNull()).alias("missing_volume"),
         F.count_if(F.col("__m") > 90).alias("implausible_move"))
     wide = body.crossJoin(gaps)
-    return wide.unpivot([], [c for c in wide.columns], "check", "bad_count")
+    return wide.unpivot([], wide.columns, "name", "bad_count")
 
 
 def source_agreement(a: DataFrame, b: DataFrame, column: str, tolerance: float = 0.005) -> DataFrame:
     """Rows both sources carry, the relative error and whether it is within tolerance."""
-    right = b.select("isin", "date", F.col(column).alias("__b"))
+    right = b.select("isin", "date", F.col(column).alias("value_b"))
     joined = a.select("isin", "date", F.col(column).alias("value_a")).join(right, ["isin", "date"])
-    error = F.abs(ratio(F.col("value_a"), F.col("__b")) - 1)
-    return joined.withColumnRenamed("__b", "value_b").withColumns({"rel_err": error, "agrees": holds(error <= tolerance)})
+    error = F.abs(ratio(F.col("value_a"), F.col("value_b")) - 1)
+    return joined.withColumns({"rel_err": error, "agrees": holds(error <= tolerance)})
 
 
 def split_ratio(move: Column, tolerance: float = 0.02) -> Column:
@@ -168,7 +168,7 @@ def mismatches(left: DataFrame, right: DataFrame, key: Sequence[str], columns: S
         close = F.abs(x - y) <= F.greatest(F.abs(x), F.abs(y)) * rtol + 1e-12
         counts.append(F.count_if(~((x.isNull() & y.isNull()) | holds(close))).alias(c))
     wide = both.agg(*counts)
-    return wide.unpivot([], list(columns), "column", "mismatches")
+    return wide.unpivot([], list(columns), "field", "mismatches")
 
 
 def causality_audit(bars: DataFrame, build, cut, columns: Sequence[str]) -> DataFrame:
