@@ -232,20 +232,22 @@ def _price(out: DataFrame, exit: Exit, excursions: bool) -> DataFrame:
     return out.withColumns(columns).drop("__end", "__s", "__t", "__x", "__h")
 
 
-def one_open_per_key(trades: DataFrame, by: Sequence[str] = ("isin",), start: str = "r", stop: str = "exit_r") -> DataFrame:
+def one_open_per_key(trades: DataFrame, by: Sequence[str] = ("isin",), start: str = "r", stop: str = "exit_r",
+                     order: str = "r") -> DataFrame:
     """Greedy admission: a signal is skipped while the key's previous accepted trade is still open.
 
     A key has at most one signal per session, so its list is bounded by the calendar. The fold keeps
-    accepted positions only; the trades are joined back by (key, position).
+    accepted positions only; the trades are joined back by (key, ``order``). Reads ``trades`` twice.
     """
+    item = F.struct(*[F.col(c).cast("long").alias(n) for n, c in (("o", order), ("a", start), ("b", stop))])
     fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("a"), F.col(stop).cast("long").alias("b")))),
+        F.array_sort(F.collect_list(item)),
         F.struct(F.lit(-1).cast("long").alias("busy"), F.array().cast("array<bigint>").alias("taken")),
-        lambda acc, x: F.when(acc["busy"] < x["a"], F.struct(x["b"].alias("busy"), F.concat(acc["taken"], F.array(x["a"])).alias("taken"))).otherwise(acc),
+        lambda acc, x: F.when(acc["busy"] < x["a"], F.struct(x["b"].alias("busy"), F.concat(acc["taken"], F.array(x["o"])).alias("taken"))).otherwise(acc),
         lambda acc: acc["taken"])
     taken = trades.groupBy(*by).agg(fold.alias("__t")).select(*by, F.explode("__t").alias("__a"))
     taken = taken.select(*[F.col(b).alias(f"__k_{b}") for b in by], "__a")
-    on = F.col(start).cast("long") == F.col("__a")
+    on = F.col(order).cast("long") == F.col("__a")
     for b in by:
         on = on & (F.col(b) == F.col(f"__k_{b}"))
     return trades.join(taken, on, "left_semi")

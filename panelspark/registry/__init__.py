@@ -1,6 +1,6 @@
 """Registered queries, one module per family."""
 
-from . import cross, outcomes, upkeep, windows  # noqa: F401
+from . import cross, outcomes, streams, studies, upkeep, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

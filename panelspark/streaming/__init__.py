@@ -1 +1 @@
-
+"""Late and live data with Structured Streaming."""
