@@ -206,14 +206,12 @@ def dip_setups(panel: DataFrame) -> DataFrame:
     """Nine dips inside an uptrend (close above the 200-row average)."""
     c, low, high = F.col("adj_close"), F.col("adj_low"), F.col("adj_high")
 
-    def was_above(level: str, n: int) -> Column:
-        return S.total(flag(c > F.col(level)), n, prior=True) == n
-
-    df = panel.withColumns({"__c1": S.lag(c), "__c2": S.lag(c, 2), "__c3": S.lag(c, 3), "__c5": S.lag(c, 5)})
-    crosses = lambda e: (low <= F.col(e)) & (high >= F.col(e)) & was_above(e, 5)
+    df = panel.withColumns({"__c1": S.lag(c), "__c2": S.lag(c, 2), "__c3": S.lag(c, 3), "__c5": S.lag(c, 5),
+                            **{f"__over_{e}": S.total(flag(c > F.col(e)), n, prior=True) == n for e, n in (("ema_9", 3), ("ema_21", 5), ("ema_50", 5))}})
+    crosses = lambda e: (low <= F.col(e)) & (high >= F.col(e)) & F.col(f"__over_{e}")
     off = pct(c, F.col("hi_20_prior"))
     return fired(df, {
-        "d7": F.col("new_lo7") == 1, "rsi2": F.col("rsi_2") < 10, "ema9": (c < F.col("ema_9")) & was_above("ema_9", 3),
+        "d7": F.col("new_lo7") == 1, "rsi2": F.col("rsi_2") < 10, "ema9": (c < F.col("ema_9")) & F.col("__over_ema_9"),
         "ema21": crosses("ema_21"), "ema50": crosses("ema_50"),
         "cpr": (low <= F.col("m_cpr_tc")) & (c >= F.col("m_cpr_bc")) & (F.col("__c5") > F.col("m_cpr_tc")),
         "down3": (c < F.col("__c1")) & (F.col("__c1") < F.col("__c2")) & (F.col("__c2") < F.col("__c3")),

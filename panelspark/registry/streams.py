@@ -86,10 +86,13 @@ register("ST4_provisional_bars", KEY + "adj_close:f4 volume:i", _provisional, f"
 
 def _lifecycle(s, d):
     root = shared_path(s)
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(provider)
+    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     panel = build_features(panels.week_panel(s, d), ["hi7_prior", "atr_pct", "new_lo7"])
     bars = panel.select("isin", "date", "adj_open", "adj_close", "hi7_prior", "atr_pct", F.col("new_lo7").alias("signal"))
     out = _drain(positions.stream_positions(_files(bars, root + "/in", 1), 0.2, 20), root, "append")
+    s.conf.set(provider, before)
     return out
 
 
