@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.core import quadrant
 from ..operators import cross, indices, market
 from ..operators.features import build_features
+from ..session import cut_lineage
 from ..sources import panels
 from .base import BARS, W, register, roll
 from .windows import HI52, KEY, LO52, RECURSION, SMA, lag, pct_sql
@@ -26,7 +27,7 @@ rs AS MATERIALIZED (SELECT isin, date, r, rs_score, round_even({pct_rank_sql('rs
 
 
 def _rs(spark, sf_dir):
-    return cross.add_relative_strength(build_features(panels.week_panel(spark, sf_dir), list(cross.RS_WEIGHTS)))
+    return cross.add_relative_strength(build_features(panels.stored_week_panel(spark, sf_dir), list(cross.RS_WEIGHTS)))
 
 
 register("X1_relative_strength", KEY + "rs_score:f4 rs_rank:n", _rs, f"WITH {BARS}, {RS} @@ SELECT * FROM rs")
@@ -35,7 +36,7 @@ FORWARD = (f"fw AS (SELECT *, {FWD} FROM bars), fb AS (SELECT date, " + ", ".joi
            + " FROM fw GROUP BY 1), fx AS MATERIALIZED (SELECT fw.*, fb.* EXCLUDE (date), "
            + ", ".join(f"fwd_{k}d - bench_{k}d AS exc_{k}d" for k in (1, 5, 20)) + " FROM fw JOIN fb USING (date))")
 register("X2_forward_returns", KEY + " ".join(f"fwd_{k}d:f3 bench_{k}d:f3 exc_{k}d:f3" for k in (1, 5, 20)),
-         lambda s, d: cross.add_forward_returns(panels.week_panel(s, d)), f"WITH {BARS}, {FORWARD} @@ SELECT * FROM fx")
+         lambda s, d: cross.add_forward_returns(panels.stored_week_panel(s, d)), f"WITH {BARS}, {FORWARD} @@ SELECT * FROM fx")
 register("X3_open_forward", KEY + "ofwd_5d:f3 ofwd_10d:f3 ofwd_20d:f3",
          lambda s, d: cross.add_open_forward_returns(panels.week_panel(s, d)),
          f"WITH {BARS} @@ SELECT isin, date, " + ", ".join(
@@ -46,7 +47,7 @@ register("X4_top_n", KEY + "ret_20d:f4 place:i",
          "@@ SELECT isin, date, ret_20d, row_number() OVER (PARTITION BY date ORDER BY ret_20d DESC, isin) AS place FROM t WHERE ret_20d IS NOT NULL "
          "QUALIFY place <= 5")
 register("X5_composite_score", KEY + "score:f6",
-         lambda s, d: cross.composite_score(build_features(panels.week_panel(s, d), ["ret_20d", "vol_ratio", "dist_sma_50"]),
+         lambda s, d: cross.composite_score(cut_lineage(build_features(panels.week_panel(s, d), ["ret_20d", "vol_ratio", "dist_sma_50"])),
                                             {"ret_20d": 1, "vol_ratio": -1, "dist_sma_50": 1}),
          f"WITH {BARS}, t AS (SELECT *, {pct_sql('adj_close', lag('adj_close', 20))} AS a, -(volume / ({roll('avg', 'volume', 20, 10)})) AS b, "
          f"{pct_sql('adj_close', SMA[50])} AS c FROM bars) @@ SELECT isin, date, (coalesce({pct_rank_sql('a')}, 0.5) + "
@@ -61,7 +62,7 @@ def _f(s, d):
 
 
 register("X6_breadth", "date:d members:i above_20:i above_50:i above_200:i pct_above_50:f4 pct_above_200:f4 advancing:i declining:i new_highs:i new_lows:i median_rsi:f4 median_ret_1d:f4",
-         lambda s, d: cross.breadth(_f(s, d)),
+         lambda s, d: cross.breadth(cut_lineage(_f(s, d))),
          RECURSION + f", {DAYS_SQL}, w2 AS (SELECT isin, r, CASE WHEN r <= 14 THEN NULL WHEN l14 = 0 AND g14 > 0 THEN 100.0 WHEN l14 = 0 THEN 50.0 "
          "ELSE 100 - 100 / (1 + g14 / l14) END AS rsi FROM walk) @@ SELECT date, count(*) AS members, count(*) FILTER (adj_close > s20) AS above_20, "
          "count(*) FILTER (adj_close > s50) AS above_50, count(*) FILTER (adj_close > s200) AS above_200, count(*) FILTER (adj_close > s50) * 100.0 / count(*) AS pct_above_50, "
@@ -103,7 +104,7 @@ register("X9_level_returns", "index_name:s ret_1D:f3 ret_1W:f3",
 
 
 def _turnover(s, d):
-    bars = panels.week_panel(s, d).join(panels.region_map(s, d), "isin")
+    bars = panels.stored_week_panel(s, d).join(panels.region_map(s, d), "isin")
     total = bars.groupBy("date").agg(F.sum("turnover").alias("total"))
     return bars.groupBy("index_name", "date").agg(F.sum("turnover").alias("mine")).join(total, "date")
 
@@ -136,7 +137,7 @@ register("P10_labels", KEY + "quadrant:s",
 
 def _analytics(s, d):
     """Indices over the members valid on the last session, benchmark included."""
-    bars = panels.week_panel(s, d)
+    bars = panels.stored_week_panel(s, d)
     from ..operators.dims import members_on
     asof = bars.agg(F.max("date").alias("as_of"))
     members = members_on(panels.membership(s, d, bars), asof).select("index_name", "isin")
@@ -170,9 +171,9 @@ register("X12_index_analytics", "index_name:s members:i ret_1D:f3 above_50:n adv
          f"LEFT JOIN (SELECT index_name, {QUADRANT} AS quadrant FROM rr WHERE back = 1) q ON q.index_name = a.index_name WHERE a.back = 1")
 
 
-def index_bars(s, d):
+def index_bars(s, d, bars=None):
     """Region series standing in for published indices: mean close, high and low of the members."""
-    return panels.week_panel(s, d).join(panels.region_map(s, d), "isin").groupBy("index_name", "date").agg(
+    return (panels.week_panel(s, d) if bars is None else bars).join(panels.region_map(s, d), "isin").groupBy("index_name", "date").agg(
         F.avg("adj_close").alias("close"), F.avg("adj_high").alias("high"), F.avg("adj_low").alias("low"))
 
 
@@ -231,8 +232,9 @@ register("X20_regime_flags", "date:d ew_above_50:i ew_above_200:i breadth_half:i
 
 
 def _washout(s, d):
-    panel = market.low_age(build_features(panels.week_panel(s, d), ["low_52w", "high_52w"]))
-    state = market.washout(cross.breadth_series(_f(s, d))).select("date", "mkt_washout")
+    bars = panels.stored_week_panel(s, d)
+    panel = market.low_age(build_features(bars, ["low_52w", "high_52w"]))
+    state = market.washout(cross.breadth_series(build_features(bars, _BF))).select("date", "mkt_washout")
     return market.attach_market(panel, state)
 
 

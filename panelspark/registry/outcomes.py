@@ -21,7 +21,8 @@ ALL = ro.floors(ro.load_rules(), **LOW)
 
 
 def _panel(s, d, rules, **kw):
-    return screen_panel(panels.week_panel(s, d), rules, index_bars(s, d), volatility="AFRICA", benchmark="ASIA", **kw)
+    bars = panels.stored_week_panel(s, d)
+    return screen_panel(bars, rules, index_bars(s, d, bars), volatility="AFRICA", benchmark="ASIA", **kw)
 
 
 def _pick(*names):
@@ -105,7 +106,8 @@ COLUMNS = ["atr_pct", "ema_21", "hi7_prior", "new_lo7", "low5_prior", "sma_50",
 
 
 def positioned(s, d):
-    return oc.with_position(build_features(panels.week_panel(s, d), COLUMNS))
+    """Positioned features, materialised: signals and their paths read the same rows."""
+    return cut_lineage(oc.with_position(build_features(panels.week_panel(s, d), COLUMNS)))
 
 
 def signals(panel, condition="new_lo7 = 1"):
@@ -277,7 +279,7 @@ register("T12_benchmark_window", KEY + "bench:f4", _bench,
 
 def tagged(s, d):
     """Reversal trades with signal-day features, relative strength and half."""
-    bars = panels.week_panel(s, d)
+    bars = panels.stored_week_panel(s, d)
     panel, trades = sessions(s, d)
     rank = cross.add_relative_strength(build_features(bars, list(cross.RS_WEIGHTS))).select("isin", "date", "rs_rank")
     state = market.gate_series(market.advance_decline(build_features(bars, ["sma_50"]))).select("date", "mkt_breadth_50", "mkt_gate_on")
@@ -341,7 +343,7 @@ register("A10_reversal_stats", "isin:s n:i net:f3 win:f4 avg_win:f3 avg_loss:f3
 
 
 def hits_with_returns(s, d):
-    panel = cross.add_forward_returns(_panel(s, d, SIMPLE))
+    panel = cross.add_forward_returns(cut_lineage(_panel(s, d, SIMPLE)))
     return cut_lineage(ro.hits(panel, SIMPLE, ["isin", "date", *[f"{x}_{k}d" for x in ("exc", "fwd") for k in cross.HORIZONS]], emit=False))
 
 

@@ -12,7 +12,7 @@ from ..operators.features import build_features
 from ..session import cut_lineage
 from ..sources import panels
 from .base import BARS, register, roll
-from .cross import CAL, DAY, GATE, IX, OSC, _calendar, _f, index_bars
+from .cross import _BF, CAL, IX, OSC, index_bars
 from .outcomes import ALL, CELLS, COLUMNS, LOW, SESS, SIMPLE, TK, WIDE, _panel, positioned, reversal_trades, sessions, signals, tagged
 from .windows import KEY
 
@@ -214,12 +214,13 @@ register("V11_months_active", "feature:s op:s threshold:f4 months_active:f5", _a
 
 
 def _state(s, d):
-    ix = cut_lineage(index_bars(s, d))
+    bars = panels.stored_week_panel(s, d)
+    ix = cut_lineage(index_bars(s, d, bars))
     pick = lambda n: ix.filter(F.col("index_name") == n).drop("index_name")
     state = gates.index_state(pick("ASIA"), pick("EUROPE"), pick("AFRICA"))
     for name, out in (("ASIA", "nifty_gt_10m_sma"), ("EUROPE", "mid_gt_10m_sma")):
         state = state.join(market.ten_month_average(pick(name).select("date", "close")).select("date", F.col("above_10m").alias(out)), "date", "left")
-    day = cut_lineage(market.sustained_gate(market.oscillators(market.gate_series(cross.breadth_series(_f(s, d))))))
+    day = cut_lineage(market.sustained_gate(market.oscillators(market.gate_series(cross.breadth_series(build_features(bars, _BF))))))
     flags = market.calendar_flags(day.select("date")).select("date", "expiry_week", "turn_of_month", "earnings_season")
     return cut_lineage(state.join(gates.breadth_state(day), "date", "left").join(flags, "date", "left"))
 
@@ -338,8 +339,19 @@ def _bottoms(s, d):
 
 
 register("E16_bottom_setups", E_COLUMNS, _bottoms)
-register("E12_double_bottom", KEY + "double_bottom:i", lambda s, d: setups.double_bottom(build_features(panels.week_panel(s, d), ["high_52w", "low10_incl"])).filter("double_bottom = 1"))
-register("E13_failed_pushes", KEY + "pushes_30:n lower_high:i", lambda s, d: setups.failed_high(panels.week_panel(s, d)))
+_DB = (f"WITH {BARS}, h AS (SELECT *, {roll('max', 'adj_high', 250, 60)} AS h52, {roll('min', 'adj_low', 10, 5)} AS l10, count(*) OVER sw AS n11, min(adj_low) OVER sw AS m11 FROM bars "
+       "WINDOW sw AS (PARTITION BY isin ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), lo AS (SELECT isin, r, adj_low FROM h WHERE n11 = 11 AND adj_low <= m11 + 1e-9 AND adj_low / h52 - 1 <= -0.25), "
+       "g AS (SELECT DISTINCT h.isin, h.r FROM lo JOIN h ON h.isin = lo.isin AND h.r - lo.r BETWEEN 15 AND 60 WHERE abs(l10 / lo.adj_low - 1) <= 0.03 AND l10 / h52 - 1 <= -0.25 "
+       "AND h.adj_close > (SELECT max(z.adj_high) FROM bars z WHERE z.isin = h.isin AND z.r > lo.r AND z.r < h.r))")
+register("E12_double_bottom", KEY + "double_bottom:i",
+         lambda s, d: setups.double_bottom(cut_lineage(build_features(panels.week_panel(s, d), ["high_52w", "low10_incl"]))).filter("double_bottom = 1"),
+         _DB + " @@ SELECT h.isin, h.date, 1 AS double_bottom FROM h JOIN g USING (isin, r) WHERE NOT EXISTS (SELECT 1 FROM g x WHERE x.isin = h.isin AND x.r BETWEEN h.r - 5 AND h.r - 1)")
+_W = "PARTITION BY isin ORDER BY date"
+register("E13_failed_pushes", KEY + "pushes_30:n lower_high:i", lambda s, d: setups.failed_high(panels.week_panel(s, d)),
+         f"WITH {BARS}, a AS (SELECT *, {roll('max', 'adj_high', 60, None, True)} AS h60 FROM bars), b AS (SELECT *, coalesce(adj_high >= 0.98 * h60 AND adj_close <= h60, false) AS nr FROM a), "
+         f"c AS (SELECT *, CASE WHEN nr AND NOT coalesce(lag(nr) OVER ({_W}), false) THEN 1 ELSE 0 END AS ps FROM b), "
+         f"e AS (SELECT *, {roll('sum', 'ps', 30, None, True)} AS p30, last_value(CASE WHEN ps = 1 THEN adj_high END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp FROM c) "
+         f"@@ SELECT isin, date, p30 AS pushes_30, CASE WHEN p30 >= 2 AND lp < lag(lp) OVER ({_W}) THEN 1 ELSE 0 END AS lower_high FROM e")
 register("E14_gap_pattern", KEY + "kind:s entry_k:i entry:f4 exit:f4 why:s r_multiple:f4", lambda s, d: setups.gap_pattern(oc.with_position(build_features(panels.week_panel(s, d), ["atr_pct"])), 5, 10, buffer_pct=5.0))
 register("E17_dip_definitions", E_COLUMNS, lambda s, d: setups.dip_setups(build_features(panels.week_panel(s, d), setups.DIP_COLUMNS)))
 register("E18_level_retests", E_COLUMNS, lambda s, d: setups.level_retests(build_features(panels.week_panel(s, d), setups.RETEST_COLUMNS)))

@@ -22,6 +22,10 @@ def week(s, d):
     return panels.week_panel(s, d)
 
 
+def stored(s, d):
+    return panels.stored_week_panel(s, d)
+
+
 def shared_path(spark) -> str:
     """A fresh folder for a round trip through files: under the cluster's shared folder when one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -168,11 +172,11 @@ register("S14_level_segments", "isin:s month:d start_i:i end_i:i m_p:f4",
 
 def _halves(s, d):
     """Stored bars hold even months with raw gaps; the new block overlaps them and adds odd months."""
-    bars = week(s, d).select("isin", "date", "adj_close", F.col("volume"))
-    stored = bars.filter(F.month("date") % 3 > 0).withColumn("adj_close", F.when(F.dayofmonth("date") % 2 == 0, F.col("adj_close")))
+    bars = stored(s, d).select("isin", "date", "adj_close", F.col("volume"))
+    kept = bars.filter(F.month("date") % 3 > 0).withColumn("adj_close", F.when(F.dayofmonth("date") % 2 == 0, F.col("adj_close")))
     new = bars.filter(F.month("date") % 3 < 2).withColumns({
         "adj_close": F.when(F.dayofmonth("date") % 5 > 0, F.col("adj_close") + 1), "volume": F.when(F.dayofmonth("date") % 3 > 0, F.col("volume") * 2)})
-    return stored, new
+    return kept, new
 
 
 _HALF = (f"WITH {BARS}, st AS (SELECT isin, date, CASE WHEN day(date) % 2 = 0 THEN adj_close END AS adj_close, volume FROM bars WHERE month(date) % 3 > 0), "
@@ -316,7 +320,7 @@ register("P16_new_listing", KEY + "new_listing:i", _listing_flag, f"WITH {DAYS},
 register("J1_panel_join", KEY + "sma_20:f4 tenth:f4",
          lambda s, d: build_features(week(s, d), ["sma_20"]).select("isin", "date", "sma_20").join(week(s, d).filter(F.month("date") == 5).select("isin", "date", (F.col("adj_close") / 10).alias("tenth")), ["isin", "date"], "left"),
          f"WITH {BARS} @@ SELECT isin, date, {SMA[20]} AS sma_20, CASE WHEN month(date) = 5 THEN adj_close / 10 END AS tenth FROM bars")
-register("J3_point_in_time", KEY + "index_name:s adj_close:f4", lambda s, d: dims.point_in_time(week(s, d), panels.membership(s, d)),
+register("J3_point_in_time", KEY + "index_name:s adj_close:f4", lambda s, d: (lambda b: dims.point_in_time(b, panels.membership(s, d, b)))(stored(s, d)),
          f"WITH {BARS}, {MEMBER} @@ SELECT bars.isin, date, index_name, adj_close FROM bars JOIN mem ON mem.isin = bars.isin AND from_date <= date AND (to_date IS NULL OR to_date > date)")
 
 
@@ -334,7 +338,7 @@ register("J3b_isins_for_symbol", "symbol:s date:d n:i first_isin:s",
          f"WITH {HIST}, q AS (SELECT * FROM (VALUES ('1'), ('2'), ('5')) a(symbol), (VALUES (DATE '1996-01-01'), (DATE '1998-07-01')) b(date)) "
          "@@ SELECT q.symbol, q.date, count(DISTINCT isin) AS n, min(isin) AS first_isin FROM q LEFT JOIN sh ON sh.symbol = q.symbol AND from_date <= q.date AND (to_date IS NULL OR to_date > q.date) GROUP BY 1, 2")
 FACTOR = f"{ACTIONS}, fa AS (SELECT bars.*, coalesce((SELECT product(ratio) FROM ac WHERE ac.isin = bars.isin AND ex_date > bars.date), 1.0) AS adj_factor FROM bars)"
-register("J4_suffix_factor", KEY + "adj_factor:f4", lambda s, d: actions.with_factor(week(s, d), panels.actions(s, d)), f"WITH {BARS}, {FACTOR} @@ SELECT * FROM fa")
+register("J4_suffix_factor", KEY + "adj_factor:f4", lambda s, d: (lambda b: actions.with_factor(b, panels.actions(s, d, b)))(stored(s, d)), f"WITH {BARS}, {FACTOR} @@ SELECT * FROM fa")
 
 
 def _gaps(s, d):
@@ -356,7 +360,7 @@ register("J7_semi_anti", "isin:s side:s bars:i",
 JUMP = 900.0
 MOVE = pct_sql("adj_close", lag("adj_close"))
 JUMPS = f"{ACTIONS}, mv AS (SELECT *, {MOVE} AS move FROM bars), jp AS (SELECT *, EXISTS (SELECT 1 FROM ac WHERE ac.isin = mv.isin AND abs(ex_date - mv.date) <= 4) AS ok FROM mv WHERE abs(move) > {JUMP})"
-register("J8_tolerance_join", KEY + "move_pct:f3 explained:i", lambda s, d: quality.price_jumps(week(s, d), panels.actions(s, d), JUMP), f"WITH {BARS}, {JUMPS} @@ SELECT isin, date, move AS move_pct, CASE WHEN ok THEN 1 ELSE 0 END AS explained FROM jp")
+register("J8_tolerance_join", KEY + "move_pct:f3 explained:i", lambda s, d: (lambda b: quality.price_jumps(b, panels.actions(s, d, b), JUMP))(stored(s, d)), f"WITH {BARS}, {JUMPS} @@ SELECT isin, date, move AS move_pct, CASE WHEN ok THEN 1 ELSE 0 END AS explained FROM jp")
 register("J11_previous_year", KEY + "py_high:f4 py_pivot:f4", lambda s, d: calendar.previous_year_levels(week(s, d)),
          f"WITH {BARS}, y AS (SELECT isin, year(date) + 1 AS y, max(adj_high) AS h, min(adj_low) AS l, arg_max(adj_close, date) AS c FROM bars GROUP BY 1, 2) "
          "@@ SELECT bars.isin, date, h AS py_high, (h + l + c) / 3 AS py_pivot FROM bars LEFT JOIN y ON y.isin = bars.isin AND y.y = year(date)")
@@ -394,12 +398,12 @@ register("Q1_structural_counts", "adj_high_below_low:i adj_not_positive:i adj_ou
          "count(*) FILTER (adj_close IS NULL) AS no_complete_block, 0 AS null_key, 0 AS duplicate_keys FROM dm")
 register("Q2_price_jumps", KEY + "move_pct:f3", lambda s, d: quality.price_jumps(week(s, d), None, JUMP), f"WITH {BARS}, {JUMPS} @@ SELECT isin, date, move AS move_pct FROM jp")
 CONTAM = JUMPS + f", ct AS (SELECT bars.*, EXISTS (SELECT 1 FROM jp JOIN bars b2 ON b2.isin = jp.isin AND b2.date = jp.date WHERE NOT jp.ok AND jp.isin = bars.isin AND bars.r BETWEEN b2.r - 3 AND b2.r + 12) AS bad FROM bars)"
-register("Q3_contamination", KEY + "contaminated:i", lambda s, d: quality.with_contamination(week(s, d), panels.actions(s, d), JUMP, 12, 3), f"WITH {BARS}, {CONTAM} @@ SELECT isin, date, CASE WHEN bad THEN 1 ELSE 0 END AS contaminated FROM ct")
+register("Q3_contamination", KEY + "contaminated:i", lambda s, d: (lambda b: quality.with_contamination(b, panels.actions(s, d, b), JUMP, 12, 3))(stored(s, d)), f"WITH {BARS}, {CONTAM} @@ SELECT isin, date, CASE WHEN bad THEN 1 ELSE 0 END AS contaminated FROM ct")
 register("Q4_stale_junk", KEY + "stale:i junk:i",
          lambda s, d: panels.day_panel(s, d).withColumn("volume", F.when(F.col("volume") > 40, 0).otherwise(F.col("volume"))).select("isin", "date", quality.stale().cast("int").alias("stale"), quality.junk().cast("int").alias("junk")),
          f"WITH {DAYS}, t AS (SELECT *, adj_open = adj_high AND adj_high = adj_low AND adj_low = adj_close AS f FROM days) @@ SELECT isin, date, CASE WHEN f THEN 1 ELSE 0 END AS stale, CASE WHEN f AND volume > 40 THEN 1 ELSE 0 END AS junk FROM t")
 register("Q5_gate_report", "bars:i symbols:i ohlc_violations:i non_positive:i duplicates:i jumps_total:i jumps_unexplained:i stale_bars:i junk_bars:i",
-         lambda s, d: quality.report(week(s, d), panels.actions(s, d), JUMP),
+         lambda s, d: (lambda b: quality.report(b, panels.actions(s, d, b), JUMP))(stored(s, d)),
          f"WITH {BARS}, {JUMPS} @@ SELECT count(*) AS bars, count(DISTINCT isin) AS symbols, 0 AS ohlc_violations, 0 AS non_positive, 0 AS duplicates, (SELECT count(*) FROM jp) AS jumps_total, (SELECT count(*) FROM jp WHERE NOT ok) AS jumps_unexplained, "
          "count(*) FILTER (adj_open = adj_high AND adj_high = adj_low AND adj_low = adj_close) AS stale_bars, 0 AS junk_bars FROM bars")
 register("Q6_duplicate_keys", "l_orderkey:i l_linenumber:i copies:i", lambda s, d: quality.duplicate_keys(panels.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
@@ -416,7 +420,7 @@ register("Q9_derive_raw", KEY + "close:f4 open:f4", lambda s, d: actions.derive_
 register("Q10_verify_raw", KEY + "derived_close:f4 rel_err:f6 ok:i", lambda s, d: actions.verify_raw(week(s, d).withColumn("close", F.col("adj_close") * 2), panels.actions(s, d)),
          f"WITH {BARS}, {FACTOR} @@ SELECT isin, date, adj_close * adj_factor AS derived_close, abs(adj_close * adj_factor - adj_close * 2) / (adj_close * 2) AS rel_err, CASE WHEN abs(adj_close * adj_factor - adj_close * 2) / (adj_close * 2) <= 0.005 THEN 1 ELSE 0 END AS ok FROM fa")
 AUDITED = ["sma_50", "ema_21", "rsi_14", "atr_14", "m_cpr_tc", "w_p", "since_brk_60", "brk_cushion", "m_cpr_width_rank", "vol_ratio", "tight_3w_pct"]
-register("Q11_causality", "field:s mismatches:i", lambda s, d: quality.causality_audit(week(s, d), lambda b: build_features(b, AUDITED), "1999-06-07", AUDITED),
+register("Q11_causality", "field:s mismatches:i", lambda s, d: quality.causality_audit(stored(s, d), lambda b: build_features(b, AUDITED), "1999-06-07", AUDITED),
          "SELECT * FROM (VALUES " + ", ".join(f"('{x}', 0)" for x in AUDITED) + ") v(field, mismatches)")
 
 

@@ -1,14 +1,16 @@
 """Panels derived from the star-schema tables: how raw observations become bars.
 
-Raw rows are aggregated by (supplier, period) before any join, so a supplier holding a third of
-``lineitem`` is reduced map-side to one row per period and partition; the join with the
-dimension then moves bars, not observations.
+Raw rows meet their dimension once and are aggregated with map-side partials, so whatever one supplier
+contributes leaves a task as one row per (key, period). The supplier side is sent whole only when the
+optimizer knows it is small; otherwise the join shuffles and adaptive execution splits a hot supplier.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
+
 # The only column set unique in lineitem, used to order ties.
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -17,20 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def roll_up(rows: DataFrame, by: list, price: Column, order: Column, volume: Column, amount: Column) -> DataFrame:
-    """Observations to mergeable bars: each aggregate has a map-side partial and can be merged again."""
-    return rows.groupBy(*by).agg(
-        F.min(F.struct(order.alias("o"), price.alias("p"))).alias("first"),
-        F.max(F.struct(order.alias("o"), price.alias("p"))).alias("last"),
-        F.max(price).alias("hi"), F.min(price).alias("lo"),
-        F.sum(volume).alias("vol"), F.sum(amount).alias("amt"), F.count(F.lit(1)).alias("n"),
-    )
-
-
-def merge_bars(parts: DataFrame, by: list) -> DataFrame:
-    merged = parts.groupBy(*by).agg(
-        F.min("first").alias("f"), F.max("last").alias("t"), F.max("hi").alias("adj_high"),
-        F.min("lo").alias("adj_low"), F.sum("vol").alias("v"), F.sum("amt").alias("a"), F.sum("n").alias("trades"))
+def to_bars(rows: DataFrame, by: list, price: Column, order: Column, volume: Column, amount: Column) -> DataFrame:
+    """Observations to bars: first and last by a unique order, extremes, sums. Every aggregate has a map-side partial."""
+    at = F.struct(order.alias("o"), price.alias("p"))
+    merged = rows.groupBy(*by).agg(
+        F.min(at).alias("f"), F.max(at).alias("t"), F.max(price).alias("adj_high"), F.min(price).alias("adj_low"),
+        F.sum(volume).alias("v"), F.sum(amount).alias("a"), F.count(F.lit(1)).alias("trades"))
     return merged.select(
         *by, F.col("f.p").alias("adj_open"), "adj_high", "adj_low", F.col("t.p").alias("adj_close"),
         F.col("v").cast("bigint").alias("volume"), F.round("a", 2).alias("turnover"), "trades")
@@ -49,20 +43,23 @@ def _order() -> Column:
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per (supplier nation, week)."""
     rows = _lines(spark, sf_dir).withColumn("date", F.trunc(F.to_date("l_shipdate"), "week"))
-    parts = roll_up(rows, ["l_suppkey", "date"], F.col("px"), _order(), F.col("l_quantity"), F.col("l_extendedprice"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("isin"))
-    joined = (parts.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = (rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
-    return _with_raw(merge_bars(joined, ["isin", "date"]))
+    return _with_raw(to_bars(joined, ["isin", "date"], F.col("px"), _order(), F.col("l_quantity"), F.col("l_extendedprice")))
+
+
+def stored_week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars, materialised once: for plans that read them along several branches."""
+    return cut_lineage(week_panel(spark, sf_dir))
 
 
 def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per (supplier, day): many keys, long history, thin bars."""
     rows = _lines(spark, sf_dir).select(
         F.format_string("S%06d", "l_suppkey").alias("isin"), F.to_date("l_shipdate").alias("date"), "*")
-    parts = roll_up(rows, ["isin", "date"], F.col("px"), _order(), F.col("l_quantity"), F.col("l_extendedprice"))
-    return _with_raw(merge_bars(parts, ["isin", "date"]))
+    return _with_raw(to_bars(rows, ["isin", "date"], F.col("px"), _order(), F.col("l_quantity"), F.col("l_extendedprice")))
 
 
 def _with_raw(bars: DataFrame) -> DataFrame:
