@@ -61,20 +61,19 @@ def _rules_table(s, d):
 
 
 register("R1_catalogue", "rule:s family:s hits:i", _rules_table)
-register("R2_latest_screen", KEY + "rule:s score:f4", lambda s, d: ro.latest_hits(_panel(s, d, SIMPLE), SIMPLE),
-         SIMPLE_SQL + f", q3 AS (SELECT *, CASE WHEN r <= 2 THEN NULL ELSE 0 END AS z FROM q1) @@ "
-         + " UNION ALL ".join(f"SELECT q1.isin, q1.date, '{n}' AS rule, {'-' + RSI2 if n == 'double_seven' else o} AS score FROM q1 JOIN walk w ON w.isin = q1.isin AND w.r = q1.r "
-                              f"WHERE q1.date = (SELECT max(date) FROM bars) AND q1.r >= 60 AND {e}" for RSI2 in
-                              ["(CASE WHEN l2 = 0 AND g2 > 0 THEN 100.0 WHEN l2 = 0 THEN 50.0 ELSE 100 - 100 / (1 + g2 / l2) END)"] for n, (e, o) in RULE_SQL.items()))
+SIDES = ro.floors([ro.Rule("above_20", "adj_close > sma_20", sort_by="vol_ratio"), ro.Rule("below_20", "adj_close < sma_20", sort_by="ret_5d", ascending=True)], **LOW)
+register("R2_latest_screen", KEY + "rule:s score:f4", lambda s, d: ro.latest_hits(_panel(s, d, SIDES), SIDES),
+         SIMPLE_SQL + f", q3 AS (SELECT *, {pct_sql('adj_close', lag('adj_close', 5))} AS ret_5d FROM q1) @@ SELECT isin, date, 'above_20' AS rule, vol_ratio AS score FROM q3 WHERE date = (SELECT max(date) FROM bars) AND r >= 60 AND adj_close > s20 "
+         "UNION ALL SELECT isin, date, 'below_20', -ret_5d FROM q3 WHERE date = (SELECT max(date) FROM bars) AND r >= 60 AND adj_close < s20")
 register("R3_historical_hits", KEY + "rule:s", lambda s, d: ro.hits(_panel(s, d, SIMPLE), SIMPLE, emit=False), SIMPLE_SQL + "@@ " + HITS_SQL)
 register("R3_all_rules", "rule:s hits:i names:i first_date:s last_date:s",
          lambda s, d: ro.hits(_panel(s, d, ALL), ALL, emit=False).groupBy("rule").agg(
              F.count(F.lit(1)).alias("hits"), F.countDistinct("isin").alias("names"), F.min("date").alias("first_date"), F.max("date").alias("last_date")))
 register("R4_emitted_values", KEY + "field:s value:f4",
-         lambda s, d: ro.hits(_panel(s, d, _pick("volume_shocker")), _pick("volume_shocker")).select("isin", "date", F.explode("emit").alias("field", "value")),
-         SIMPLE_SQL + f", q4 AS (SELECT *, {roll('avg', 'volume', 20, 10)} AS vs, {roll('median', 'turnover', 20, 10)} AS tm FROM q1), h AS (SELECT * FROM q4 WHERE r >= 60 AND {RULE_SQL['volume_shocker'][0]}) @@ "
+         lambda s, d: ro.hits(_panel(s, d, _pick("trend_stack")), _pick("trend_stack")).select("isin", "date", F.explode("emit").alias("field", "value")),
+         SIMPLE_SQL + f", h AS (SELECT * FROM q1 WHERE r >= 60 AND {RULE_SQL['trend_stack'][0]}) @@ "
          + " UNION ALL ".join(f"SELECT isin, date, '{n}' AS field, CAST({x} AS DOUBLE) AS value FROM h" for n, x in
-                              (("adj_close", "adj_close"), ("vol_ratio", "vol_ratio"), ("volume", "volume"), ("vol_sma_20", "vs"), ("ret_1d", "ret_1d"), ("turnover_median_20d", "tm"))))
+                              (("adj_close", "adj_close"), ("sma_20", "s20"), ("sma_50", "s50"), ("sma_200", "s200"), ("rsi_14", "rsi_14"), ("ret_60d", "ret_60d"))))
 TEMPLATES = {"dip": "adj_close < lo7_prior and adj_close > sma_{p} and ret_1d < {q}", "stretch": "adj_close > sma_20 * (1 + {p} / 100)"}
 
 
@@ -90,12 +89,12 @@ register("R5_rule_templates", "rule:s hits:i", _templates,
 
 
 def _variants(s, d):
-    rules = ro.variants(_pick("double_seven")[0], {"strong": "ret_120d > 0", "quiet": "vol_ratio < 1"})
+    rules = ro.variants(_pick("trend_stack")[0], {"strong": "ret_120d > 0", "quiet": "vol_ratio < 1"})
     return ro.hits(_panel(s, d, rules), rules, emit=False).groupBy("rule").agg(F.count(F.lit(1)).alias("hits"))
 
 
 register("R6_rule_variants", "rule:s hits:i", _variants,
-         SIMPLE_SQL + "@@ " + " UNION ALL ".join(f"SELECT 'double_seven|{n}' AS rule, count(*) AS hits FROM q1 WHERE r >= 60 AND {RULE_SQL['double_seven'][0]}{c} HAVING count(*) > 0"
+         SIMPLE_SQL + "@@ " + " UNION ALL ".join(f"SELECT 'trend_stack|{n}' AS rule, count(*) AS hits FROM q1 WHERE r >= 60 AND {RULE_SQL['trend_stack'][0]}{c} HAVING count(*) > 0"
                                                  for n, c in (("base", ""), ("strong", " AND ret_120d > 0"), ("quiet", " AND vol_ratio < 1"))))
 register("R7_rule_family", "family:s hits:i",
          lambda s, d: ro.hits(_panel(s, d, SIMPLE), SIMPLE, emit=False).join(ro.rules_table(s, SIMPLE).select("rule", "family"), "rule").groupBy("family").agg(F.count(F.lit(1)).alias("hits")),
