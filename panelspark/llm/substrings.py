@@ -6,11 +6,12 @@ The work is four passes of narrow rows:
 
 1. blocks: the hashes of all blocks fill a bit table of fixed size, the only thing that is broadcast. It only saves
    shuffling: a false positive costs a row, never a result, and a full table would let every probe pass.
-2. probes: the hashes that pass, reduced per task to (hash, least doc, greatest doc, is a block); anchors are blocks that
-   occur in two documents or more. They fill a second bit table.
+2. probes: the hashes that pass, reduced per task to (hash, least text, greatest text, is a block), a text being named by a
+   hash of the whole; anchors are blocks that occur in two different texts or more. They fill a second bit table.
 3. extension: around each anchor a document's hits are extended to all windows that hold it, hashed in 96 bits; a window
    whose least doc_id is smaller than its own document's is repeated. Windows side by side merge into maximal repeats.
-4. texts lose the words of their repeats.
+4. whole texts that a smaller doc_id also has are found by a digest (so groups of copies need no windows), and texts lose
+   the words of their repeats.
 
 Words are runs of characters other than space and 0x09-0x0D. Null text has no words; documents of fewer words than a window
 keep all. Rows with the same doc_id are one origin: none repeats the other, but both lose what a smaller doc_id has.
@@ -31,6 +32,7 @@ WINDOW = 50
 FILTER_BITS = 28
 SEGMENT_BITS = 19  # a segment of the bit table: 64 KB
 FLUSH = 1 << 21
+WHOLE = -1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
@@ -73,7 +75,9 @@ class Part:
     """The words of some documents, one after the other, as hashes."""
 
     def __init__(self, texts: list[str]):
-        words = [t.encode().split() for t in texts]
+        raw = [t.encode() for t in texts]
+        words = [r.split() for r in raw]
+        self.name = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
         self.count = np.fromiter(map(len, words), np.int64, len(words))
         self.first = np.cumsum(self.count) - self.count
         get = _hashes.__getitem__
@@ -152,7 +156,7 @@ def _scan(docs: DataFrame, each: Callable[[Part, np.ndarray], tuple[np.ndarray,
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, at: the starts of the windows of each document that a smaller doc_id also has."""
+    """doc_id, at: the starts of the windows of each document that another text with a smaller doc_id also has."""
     spark = docs.sparkSession
     width = window // 2
     send = spark.sparkContext.broadcast
@@ -164,18 +168,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BIT
     packed = "segment bigint, hashes binary"
     blocks = send(_bit_table(_scan(docs, block_hashes, lambda h: _by_segment(h, filter_bits), packed), filter_bits))
 
-    def probes(part: Part, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    def probes(part: Part, _: np.ndarray) -> tuple[np.ndarray, ...]:
         start, h = part.windows(width)
         passed = _is_set(blocks.value, h, filter_bits)
         start, h = start[passed], h[passed]
-        return h, ids[part.doc[start]], part.at[start] % width == 0
+        return h, part.name[part.doc[start]], part.at[start] % width == 0
 
-    def reduced(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    def reduced(h: np.ndarray, text: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
         schema = pa.schema([("hash", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("block", pa.bool_())])
         order = np.argsort(h, kind="stable")
-        h, doc, block = h[order], doc[order], block[order]
+        h, text, block = h[order], text[order], block[order]
         heads = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        return rows(schema, hash=h[heads].view(np.int64), least=np.minimum.reduceat(doc, heads), most=np.maximum.reduceat(doc, heads), block=np.logical_or.reduceat(block, heads))
+        return rows(schema, hash=h[heads].view(np.int64), least=np.minimum.reduceat(text, heads), most=np.maximum.reduceat(text, heads), block=np.logical_or.reduceat(block, heads))
 
     found = _scan(docs, probes, reduced, "hash bigint, least bigint, most bigint, block boolean")
     anchors = found.groupBy("hash").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("block").alias("block")).filter("block AND least < most").select("hash")
@@ -208,6 +212,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BIT
     return windows.join(least, ["h", "g"]).filter("doc_id > least").select("doc_id", "at")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of documents whose whole text a smaller doc_id also has."""
+    named = store(docs.filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    least = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
+    return named.join(least, "digest").filter("doc_id > least").select("doc_id").distinct()
+
+
 def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     """Which of ``n`` words lie in a window that starts at one of ``starts``."""
     step = np.zeros(n + 1, np.int64)
@@ -219,9 +230,10 @@ def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
 def cleaned(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with the columns n_words, n_removed and kept (the kept words joined by one space) added.
 
-    A document's repeat starts are one list, bounded by its own words.
+    A document's repeat starts are one list, bounded by its own words; -1 stands for the whole of a copy.
     """
-    spans = repeats(docs, window, filter_bits).groupBy(F.col("doc_id").alias("_origin")).agg(F.collect_set("at").alias("_starts"))
+    found = repeats(docs, window, filter_bits).union(copies(docs).select("doc_id", F.lit(WHOLE).alias("at")))
+    spans = found.groupBy(F.col("doc_id").alias("_origin")).agg(F.collect_set("at").alias("_starts"))
     joined = docs.join(spans, docs.doc_id == F.col("_origin"), "left").drop("_origin")
     names = [c for c in joined.columns if c != "_starts"]
     schema = joined.select(names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
@@ -233,7 +245,8 @@ def cleaned(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BIT
                 words = text.encode().split()
                 n_words.append(len(words))
                 if starts.is_valid:
-                    gone = _covered(starts.values.to_numpy(zero_copy_only=False).astype(np.int64), window, len(words))
+                    at = starts.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    gone = np.full(len(words), len(words) >= window) if at.min() == WHOLE else _covered(at, window, len(words))
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
