@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 
 import numpy as np
 
+# A word of letters up to U+00FF (composed already, one lower-case form each), perhaps with one mark behind it.
+PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
 
 class WordCoder:
     """Encodes texts with a tokenizer that drops white space.
 
     Such a tokenizer splits at every ASCII blank before it merges, so a text's ids are the ids of its blank-separated
     words, one after the other. Only words not yet met are given to the library. ``limit`` bounds the remembered words.
+
+    Where the tokenizer lower-cases and cuts letters from marks, a plain word needs neither regular expressions nor
+    normalisation: its lower-case letters go straight to the library's model. All other words take the whole way.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -20,10 +29,40 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize if self._cuts_letters() else None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.shown = dict(zip(plain, map(chr, plain))) | {b: chr(256 + i) for i, b in enumerate(rest)}  # the model's sign for each byte
+
+    def _cuts_letters(self) -> bool:
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+                and cuts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
+
+    def _plain(self, word: str) -> bytes | None:
+        """The ids of a plain word."""
+        found = PLAIN.fullmatch(word)
+        if found is None:
+            return None
+        letters, sign = found.groups()
+        letters = letters.lower()
+        ids = [t.id for t in self.merge(letters if letters.isascii() else "".join(map(self.shown.__getitem__, letters.encode())))]
+        if sign:
+            ids += [t.id for t in self.merge(sign)]
+        return array("I", ids).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
+        if self.merge is not None:
+            rest = []
+            for word in words:
+                ids = self._plain(word.decode())
+                if ids is None:
+                    rest.append(word)
+                else:
+                    self.known[word] = ids
+            words = rest
         for at in range(0, len(words), 1000):
             part = words[at:at + 1000]
             done = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -34,11 +73,10 @@ class WordCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-            if len(self.known) == len(new):  # forgotten before: the others of this call are needed too
-                self._learn(sorted(set().union(*split).difference(self.known)))
+        needed = set().union(*split)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        self._learn(sorted(needed.difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
