@@ -158,7 +158,8 @@ def build_index(members: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pa.table({"dim": [dim], "shard": [held.column("shard")[0].as_py()], "graph": [pickle.dumps(state)]},
                         schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
 
-    return store(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
+    total = shards.agg(F.sum("shards")).first()[0] or 1  # a number: small shards are not put into one task
+    return store(dealt.repartition(int(total), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
 
 
 def load_graph(state: bytes) -> tuple[Graph, np.ndarray]:
