@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from panelspark.llm.common import annotated, remainder
+from panelspark.llm.common import annotated, remainder, store
 
 SLOTS = 1 << 15
 PER_LANGUAGE = 500
@@ -84,6 +84,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+    chosen = store(chosen, "language-sample")  # its size decides how it is joined
     rows_ = known.join(chosen, ["doc_id", "lang"]).toPandas()  # per_language rows of each language
     rows_ = rows_[rows_["text"].map(has_letter)].sort_values(["place", "lang", "doc_id"]) if len(rows_) else rows_
     return Model(rows_["text"].tolist(), rows_["lang"].tolist()) if len(rows_) else None

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.llm.common import annotated, documents, remainder, rows
 from panelspark.llm.text_features import LETTERS, Design, adam, bounded_sample, int_bytes, sigmoid, slot_lists, slot_of
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 LEAST_DOCS = 5
 CHI2 = 15.0
 RIDGE = 2e-4
@@ -62,16 +62,17 @@ def features(text: str) -> set[int]:
     return slots
 
 
-def fit(rated: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], dict[int, float]]:
-    """(thresholds, weight by slot) from rows with text and grade (0, 1, ...)."""
-    schema = pa.schema([("grade", pa.int32()), ("own", pa.binary())])
+def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], dict[int, float]]:
+    """(thresholds, weight by slot) from the ratings (doc_id, grade: 0, 1, ...) of documents outside the held-out fold."""
+    schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("own", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in documents(batches):
-            yield rows(schema, grade=batch.column("grade"), own=[int_bytes(features(t)) for t in texts])
+            yield rows(schema, doc_id=batch.column("doc_id"), grade=batch.column("grade"), own=[int_bytes(features(t)) for t in texts])
 
-    wanted = bounded_sample(rated.filter("grade IS NOT NULL"), sample_rows).select("text", F.col("grade").cast("int").alias("grade"))
-    sample = wanted.mapInArrow(run, "grade int, own binary").toPandas()
+    usable = ratings.filter("grade IS NOT NULL").filter(remainder(3) != 1).select("doc_id", F.col("grade").cast("int").alias("grade"))
+    made = bounded_sample(usable, docs, sample_rows).mapInArrow(run, "doc_id bigint, grade int, own binary")
+    sample = made.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     y = sample["grade"].to_numpy(int)
     if not len(y):
         return [], {}
@@ -127,5 +128,4 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def select_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_prob, selected; learns from rated documents outside the held-out fold."""
-    rated = docs.select("doc_id", "text").join(grades(labels), "doc_id").filter(remainder(3) != 1)
-    return graded(docs.select("doc_id", "text"), fit(rated)).select("doc_id", (remainder(3) == 1).alias("held_out"), "expected_grade", "tail_prob", "selected")
+    return graded(docs.select("doc_id", "text"), fit(docs, grades(labels))).select("doc_id", (remainder(3) == 1).alias("held_out"), "expected_grade", "tail_prob", "selected")

@@ -25,13 +25,31 @@ class Slot(dict):
 slot_of = Slot()
 
 
+class WordSlots(dict):
+    """The slots of a word and of its first 3, 4 and 5 letters, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        names = [word, *("^" + word[:n] for n in (3, 4, 5) if len(word) > n)]
+        s = self[word] = tuple(zlib.crc32(n.encode()) % SLOTS for n in names)
+        return s
+
+
+word_slots = WordSlots()
+
+
 def words(text: str) -> set[str]:
     return set(LETTERS.findall(text.lower()))
 
 
-def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, chosen by a hash of doc_id (all rows if there are fewer)."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def bounded_sample(labels: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """``labels`` (doc_id, ...) with the text of ``docs``, at most ``most`` labels, chosen by a hash of doc_id.
+
+    The choice is made on the narrow label rows; being bounded, it is broadcast and no text is shuffled.
+    """
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 class Design:
@@ -39,27 +57,25 @@ class Design:
 
     def __init__(self, slots: list[np.ndarray]):
         self.n = len(slots)
-        self.row = np.repeat(np.arange(self.n), [len(s) for s in slots])
-        self.col = np.concatenate([*slots, np.zeros(0, np.int64)]).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in slots])
+        self.col = np.concatenate([*slots, np.zeros(0, np.int32)]).astype(np.int32)
 
     def informative(self, positive: np.ndarray, least_docs: int, chi2: float) -> np.ndarray:
         """Slots of at least ``least_docs`` rows whose chi-square against the 0/1 outcome reaches ``chi2``."""
-        names, col = np.unique(self.col, return_inverse=True)
-        total = np.bincount(col, minlength=len(names))
-        hit = np.bincount(col, positive[self.row].astype(float), minlength=len(names))
+        total = np.bincount(self.col, minlength=SLOTS)
+        hit = np.bincount(self.col[positive[self.row]], minlength=SLOTS)
         n, p = self.n, float(positive.sum())
         expected = total * p / max(n, 1)
-        gap = hit - expected
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = gap ** 2 * (1 / expected + 1 / (total - expected) + 1 / (p - expected) + 1 / (n - p - total + expected))
-        return names[(total >= least_docs) & (np.nan_to_num(score) >= chi2)]
+            score = (hit - expected) ** 2 * (1 / expected + 1 / (total - expected) + 1 / (p - expected) + 1 / (n - p - total + expected))
+        return np.flatnonzero((total >= least_docs) & (np.nan_to_num(score) >= chi2))
 
     def kept(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of the entries on ``slots`` (sorted)."""
-        at = np.searchsorted(slots, self.col)
-        there = at < len(slots)
-        there[there] = slots[at[there]] == self.col[there]
-        return self.row[there], at[there]
+        """(row, column) of the entries on ``slots``."""
+        place = np.full(SLOTS, -1, np.int32)
+        place[slots] = np.arange(len(slots), dtype=np.int32)
+        at = place[self.col]
+        return self.row[at >= 0], at[at >= 0]
 
 
 def adam(start: np.ndarray, gradient, steps: int = 400, rate: float = 0.1) -> np.ndarray:

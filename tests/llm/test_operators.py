@@ -187,7 +187,7 @@ def test_counterfactual_penalty(spark):
         group = "muslims" if i % 10 < (8 if toxic else 1) else "christians"
         rows.append((i, f"the {group} live here {'scum' if toxic and i % 5 else 'garden'} {prose(i, 5)}", toxic))
     labelled = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
-    free, held = toxicity.fit(labelled, fairness=0.0), toxicity.fit(labelled, fairness=10.0)
+    free, held = toxicity.fit(labelled, labelled, fairness=0.0), toxicity.fit(labelled, labelled, fairness=10.0)
     pair = ["muslims live here", "christians live here"]
     gap = [abs(np.subtract(*toxicity.score_texts(pair, *m))) for m in (free, held)]
     assert gap[1] < 0.5 * gap[0]
@@ -201,7 +201,8 @@ def test_quality_held_out(spark, sf, both):
     assert np.mean([r.selected == (r.quality == 1) for r in rows]) > 0.95
     assert np.mean([r.expected_grade for r in rows if r.quality and not r.toxic]) > np.mean([r.expected_grade for r in rows if not r.quality])
     assert quality.select_documents(both[1], labels).count() == both[1].count()
-    thresholds, _ = quality.fit(spark.createDataFrame([(i, prose(i, 9), i % 4) for i in range(80)], "doc_id bigint, text string, grade int"))
+    four = spark.createDataFrame([(i, prose(i, 9), i % 4) for i in range(80)], "doc_id bigint, text string, grade int")
+    thresholds, _ = quality.fit(four, four)
     assert len(thresholds) == 3 and thresholds == sorted(thresholds)
 
 
