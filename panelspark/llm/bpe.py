@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelspark.llm.common import documents, rows
+from panelspark.llm.common import activate, documents, remembered, rows
 
 # The split pattern of byte-level vocabularies, with white space spelled out.
 BLANK = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -66,8 +66,8 @@ class PrefixCoder:
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.limit = limit
-        self.pairs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = remembered("bpe", {})
+        self.known: dict[str, bytes] = remembered("bpe", {})
 
     def _side_by_side(self, a: int, b: int) -> bool:
         """Whether no merge across the border of ``a`` and ``b`` comes before those that form them."""
@@ -117,6 +117,7 @@ class PrefixCoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        activate("bpe")
         out = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:

@@ -13,7 +13,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelspark.session import checkpoint_dir
 
-TASK_CHARS = 2_000_000
+TASK_CHARS = 1_000_000
+_held: dict[str, list[dict]] = {}
+_active = ""
+
+
+def remembered(group: str, cache: dict) -> dict:
+    """Register what a Python worker remembers for a group of functions."""
+    _held.setdefault(group, []).append(cache)
+    return cache
+
+
+def activate(group: str) -> None:
+    """Workers are reused from stage to stage: when another group starts, what the others remember is dropped."""
+    global _active
+    if group != _active:
+        for caches in (c for g, c in _held.items() if g != group):
+            for cache in caches:
+                cache.clear()
+        _active = group
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

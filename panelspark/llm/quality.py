@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import annotated, documents, remainder, rows
+from panelspark.llm.common import activate, annotated, documents, remainder, remembered, rows
 from panelspark.llm.text_features import LETTERS, Design, adam, bounded_sample, int_bytes, sigmoid, slot_lists, slot_of
 
 SAMPLE_ROWS = 10_000
@@ -40,11 +40,12 @@ class Shapes(dict):
         return s
 
 
-_shapes = Shapes()
+_shapes = remembered("quality", Shapes())
 
 
 def features(text: str) -> set[int]:
     """The slots of a text."""
+    activate("quality")
     found = text.split()
     n = len(found)
     names = {f"length {int(math.log2(n + 1))}"}

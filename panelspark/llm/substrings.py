@@ -26,10 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import documents, rows, store
+from panelspark.llm.common import activate, documents, remembered, rows, store
 
 WINDOW = 50
-FILTER_BITS = 28
+FILTER_BITS = 27
 SEGMENT_BITS = 19  # a segment of the bit table: 64 KB
 FLUSH = 1 << 21
 WHOLE = -1
@@ -40,20 +40,20 @@ class WordHashes(dict):
     """XXH64 of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_hashes = WordHashes()
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_hashes = remembered("substrings", WordHashes())
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = remembered("substrings", {})
 
 
 def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if int(base) not in _powers or len(_powers[int(base)][0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         _powers[int(base)] = tuple(np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size, b, np.uint64))]) for b in (base, inverse))
     return _powers[int(base)]
@@ -75,6 +75,7 @@ class Part:
     """The words of some documents, one after the other, as hashes."""
 
     def __init__(self, texts: list[str]):
+        activate("substrings")
         raw = [t.encode() for t in texts]
         words = [r.split() for r in raw]
         self.name = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)

@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.llm.common import remembered
+
 LETTERS = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 20
 
@@ -22,7 +24,7 @@ class Slot(dict):
         return s
 
 
-slot_of = Slot()
+slot_of = remembered("quality", Slot())
 
 
 class WordSlots(dict):
@@ -36,7 +38,7 @@ class WordSlots(dict):
         return s
 
 
-word_slots = WordSlots()
+word_slots = remembered("toxicity", WordSlots())
 
 
 def words(text: str) -> set[str]:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import annotated, documents, remainder, rows
+from panelspark.llm.common import activate, annotated, documents, remainder, rows
 from panelspark.llm.text_features import Design, adam, bounded_sample, int_bytes, sigmoid, slot_lists, word_slots, words
 
 SAMPLE_ROWS = 10_000
@@ -42,6 +42,7 @@ def swapped(found: set[str], kinds=IDENTITIES) -> set[str]:
 
 
 def slots_of(found: set[str]) -> set[int]:
+    activate("toxicity")
     return set().union(*map(word_slots.__getitem__, found))
 
 

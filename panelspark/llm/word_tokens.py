@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from panelspark.llm.common import activate, remembered
+
 # A word of letters up to U+00FF (composed already, one lower-case form each), perhaps with one mark behind it.
 PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -28,7 +30,7 @@ class WordCoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = remembered("tokens", {})
         self.merge = self.tokenizer.model.tokenize if self._cuts_letters() else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -72,6 +74,7 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        activate("tokens")
         split = [t.encode().split() for t in texts]
         needed = set().union(*split)
         if len(self.known) > self.limit:
