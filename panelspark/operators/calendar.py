@@ -34,8 +34,8 @@ def month_windows(spans: DataFrame) -> DataFrame:
 
 def decade_windows(spans: DataFrame) -> DataFrame:
     """Split (start, end) into windows of nine years and eleven months plus a day's step."""
-    step = F.expr("transform(sequence(0, 30), i -> i)")
-    df = spans.withColumn("__i", F.explode(step))
+    # A window is at least 119 months long, so the span bounds how many there are.
+    df = spans.filter("start <= end").withColumn("__i", F.explode(F.expr("sequence(0, cast(months_between(end, start) / 119 AS int))")))
     # Each window starts the day after the previous end: i full steps of (119 months + 1 day).
     start = F.expr("aggregate(sequence(1, __i), start, (acc, x) -> date_add(add_months(acc, 119), 1))")
     df = df.withColumn("from_date", F.when(F.col("__i") == 0, F.col("start")).otherwise(start))

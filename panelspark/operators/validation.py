@@ -227,16 +227,15 @@ def months_active(kept: DataFrame, trades: DataFrame, least: int = 5) -> DataFra
 
 
 def null_probability(bins: int = 5, limit: float = 0.9) -> float:
-    """Chance that a random order of ``bins`` means has a rank correlation of at least ``limit`` in size."""
+    """Chance that two independent random orders of ``bins`` means (one per half) both correlate with their place by at
+    least ``limit``, in the same direction. Up and down are equally likely, so it is twice the square of one direction's chance.
+    """
     from itertools import permutations
-    base = list(range(bins))
-    worst = sum((b - (bins - 1 - b)) ** 2 for b in base)
-    hits = total = 0
-    for order in permutations(base):
-        rho = 1 - 2 * sum((a - b) ** 2 for a, b in zip(base, order)) / worst
-        hits += abs(rho) >= limit - 1e-12
-        total += 1
-    return hits / total
+    from math import factorial
+    # rho = 1 - 6 * sum(d^2) / (n * (n^2 - 1)), so a bound on rho is a bound on the squared displacements
+    most = (1 - limit) * bins * (bins * bins - 1) / 6 + 1e-9
+    rising = sum(sum((place - i) ** 2 for i, place in enumerate(order)) <= most for order in permutations(range(bins)))
+    return 2 * (rising / factorial(bins)) ** 2
 
 
 # ------------------------------------------------------------------ gates
@@ -263,16 +262,15 @@ def gate_pairs(gates: DataFrame) -> DataFrame:
     return both.select("date", "a", "b", F.explode(cells).alias("c")).select("date", F.concat("a", "c.op", "b").alias("gate"), "c.on")
 
 
-def verdict(table: DataFrame) -> DataFrame:
-    """TRADE when both halves are positive and the quarters pass, MAYBE when one of the two holds, else DROP."""
-    halves = (F.col("h1_net") > 0) & (F.col("h2_net") > 0)
-    quarters = F.col("quarter_pass") == 1
-    return table.withColumn("verdict", F.when(halves & quarters, "TRADE").when(halves | quarters, "MAYBE").otherwise("DROP"))
+def verdict(table: DataFrame, least_win: float = 65.0) -> DataFrame:
+    """TRADE when both halves are positive, ``win`` (percent) reaches its floor and the quarters pass; MAYBE without the quarters; else DROP."""
+    sound = holds((F.col("h1_net") > 0) & (F.col("h2_net") > 0) & (F.col("win") >= least_win))
+    return table.withColumn("verdict", F.when(sound & holds(F.col("quarter_pass") == 1), "TRADE").when(sound, "MAYBE").otherwise("DROP"))
 
 
 def best_cells(cells: DataFrame) -> DataFrame:
     """Per setup, the two cells with the best worse-half net and the one with the best worse-half win rate."""
-    net = Window.partitionBy("setup").orderBy(F.col("worse_net").desc(), "cell")
-    win = Window.partitionBy("setup").orderBy(F.col("worse_win").desc(), "cell")
+    net = Window.partitionBy("setup").orderBy(F.col("worse_net").desc(), F.col("worse_win").desc(), "cell")
+    win = Window.partitionBy("setup").orderBy(F.col("worse_win").desc(), F.col("worse_net").desc(), "cell")
     ranked = cells.withColumns({"__n": F.row_number().over(net), "__w": F.row_number().over(win)})
     return ranked.filter((F.col("__n") <= 2) | (F.col("__w") == 1)).drop("__n", "__w")

@@ -69,8 +69,9 @@ register("K3_mark_to_market", CURVE, _marked)
 
 def _overlays(s, d):
     _, trades = trade_set(s, d)
-    books = {"one_new": replace(TEN, max_new=1), "top2": replace(TEN, top_per_day=2), "pause": replace(TEN, pause_after=3),
-             "win_floor": replace(TEN, win_floor=0.4), "halve": replace(TEN, halve_at=0.1), "breadth": replace(al.Book(slots=10), breadth_slots=True)}
+    ten = replace(TEN, settle="same")  # a place is free again on the exit session
+    books = {"one_new": replace(ten, max_new=1), "top2": replace(ten, top_per_day=2), "pause": replace(ten, pause_after=3),
+             "win_floor": replace(ten, win_floor=0.4), "halve": replace(ten, halve_at=0.1), "breadth": replace(al.Book(slots=10, settle="same"), breadth_slots=True)}
     parts = None
     for name, book in books.items():
         one = al.metrics(al.equity_curve(_queue(trades.withColumn("scenario", F.lit(name)), book), book))
@@ -256,7 +257,7 @@ register("V12_gate_evaluation", "gate:s half:s n_on:i n_off:i mean_on:f3 mean_of
 register("V12_gate_pairs", "gate:s sessions:i share_on:f4", lambda s, d: va.time_in_market(va.gate_pairs(_gates(s, d).filter(F.col("gate").isin("nifty_above_50dma", "vix_below_20dma", "breadth50_gt_50")))))
 register("V13_null_expectation", "period:s features:i expected:f5",
          lambda s, d: va.monotonicity(va.feature_table(_binned(s, d))).groupBy("period").agg(F.count(F.lit(1)).alias("features")).withColumn("expected", F.col("features") * va.null_probability()),
-         BINS + "@@ SELECT period, count(DISTINCT feature) AS features, count(DISTINCT feature) * 10.0 / 120 AS expected FROM bn WHERE bin IS NOT NULL GROUP BY 1")
+         BINS + "@@ SELECT period, count(DISTINCT feature) AS features, count(DISTINCT feature) * 2 * (5.0 / 120) * (5.0 / 120) AS expected FROM bn WHERE bin IS NOT NULL GROUP BY 1")
 
 
 def _audit(s, d):

@@ -118,3 +118,13 @@ def test_limit_entry(spark):
     got = alternative_entry(p, sig, "limit", 3).first()
     assert (got.entry_k, got.entry) == (2, 97)
     assert alternative_entry(p, sig, "limit", 1).first().entry is None
+
+
+def test_setup_verdicts_and_best_cells(spark):
+    from panelspark.operators import validation as va
+    rows = [("a", 1.0, 1.0, 70.0, 1), ("b", 1.0, 1.0, 70.0, 0), ("c", 1.0, 1.0, 60.0, 1), ("d", -1.0, 1.0, 90.0, 1)]
+    table = spark.createDataFrame(rows, "cell string, h1_net double, h2_net double, win double, quarter_pass int")
+    assert {r.cell: r.verdict for r in va.verdict(table).collect()} == {"a": "TRADE", "b": "MAYBE", "c": "DROP", "d": "DROP"}
+    cells = spark.createDataFrame([("s", "a", 1.0, 10.0), ("s", "b", 1.0, 20.0), ("s", "c", 1.0, 30.0), ("s", "d", 0.0, 30.0)], "setup string, cell string, worse_net double, worse_win double")
+    assert {r.cell for r in va.best_cells(cells).collect()} == {"b", "c"}
+    assert abs(va.null_probability() - 2 * (5 / 120) ** 2) < 1e-12

@@ -139,6 +139,8 @@ def test_windows(spark):
         ("2024-01-15", "2024-01-31"), ("2024-02-01", "2024-02-29"), ("2024-03-01", "2024-03-10")]
     decades = cal.decade_windows(spark.sql("SELECT DATE'2000-01-01' AS start, DATE'2024-03-10' AS end")).orderBy("from_date").collect()
     assert [(str(r.from_date), str(r.to_date)) for r in decades] == [("2000-01-01", "2009-12-01"), ("2009-12-02", "2019-11-02"), ("2019-11-03", "2024-03-10")]
+    long = cal.decade_windows(spark.sql("SELECT DATE'1500-01-01' AS start, DATE'2020-01-01' AS end")).orderBy("from_date").collect()
+    assert str(long[-1].to_date) == "2020-01-01" and len(long) > 31
 
 
 def test_exchange_file(spark):
