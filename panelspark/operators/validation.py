@@ -17,16 +17,21 @@ from .stats import share
 def clustered_slope(df: DataFrame, by: Sequence[str], y: str, x: str, cluster: str, least: int = 10) -> DataFrame:
     """Slope of y = a + b x with its cluster-robust t.
 
-    Two aggregations: the normal equations per group, then per cluster the score sums
-    (sum e, sum e x), which are linear in the cluster's own sums once (a, b) are known.
+    x is centred on its group's mean first, so a small spread around a large value is kept. Then two aggregations: the
+    normal equations per group, and per cluster the score sums (sum e, sum e x), which are linear in the cluster's own sums
+    once (a, b) are known. Groups with fewer than ``least`` rows or no spread keep their row, with null slope and t.
     """
     known = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumns({"__y": F.col(y).cast("double"), "__x": F.col(x).cast("double")})
+    centre = known.groupBy(*[F.col(b).alias(f"__k_{b}") for b in by]).agg(F.avg("__x").alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    same = [F.col(b).eqNullSafe(F.col(f"__k_{b}")) for b in by]
+    # No spread: every row is exactly the centre, whatever the mean was rounded to.
+    known = (known.join(centre, same) if by else known.crossJoin(centre)).withColumn("__x", F.when(F.col("__lo") < F.col("__hi"), F.col("__x") - F.col("__c")).otherwise(0.0))
     cells = known.groupBy(*by, cluster).agg(
         F.count(F.lit(1)).alias("n"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"), F.sum(F.col("__x") * F.col("__x")).alias("sxx"),
         F.sum(F.col("__x") * F.col("__y")).alias("sxy"))
     total = cells.groupBy(*by).agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "sx", "sy", "sxx", "sxy")])
     det = F.col("t_n") * F.col("t_sxx") - F.col("t_sx") * F.col("t_sx")
-    total = total.withColumn("det", det).filter((F.col("t_n") >= least) & (F.col("det") > 1e-9 * F.col("t_n") * F.col("t_sxx")))
+    total = total.withColumn("det", F.when((F.col("t_n") >= least) & (det > 0), det))
     total = total.withColumn("b", (F.col("t_n") * F.col("t_sxy") - F.col("t_sx") * F.col("t_sy")) / F.col("det"))
     total = total.withColumn("a", (F.col("t_sy") - F.col("b") * F.col("t_sx")) / F.col("t_n"))
     joined = cells.join(total, list(by)) if by else cells.crossJoin(total)
