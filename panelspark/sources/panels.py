@@ -7,37 +7,64 @@ optimizer knows it is small; otherwise the join shuffles and adaptive execution
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
 
-# The only column set unique in lineitem, used to order ties.
-LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# The columns that are unique in lineitem inside a period, and the decimal digits each may take.
+LINE_ORDER = {"l_orderkey": 13, "l_linenumber": 2, "l_partkey": 11, "l_suppkey": 11}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(parts: Sequence[tuple[Column, int]]) -> Column:
+    """Whole numbers as one decimal that orders like their tuple; (column, digits), 38 digits in all.
+
+    A decimal fits a hash aggregate's buffer, a struct does not and would have every raw row sorted.
+    A value outside its digits fails the job rather than misorder.
+    """
+    groups: list[tuple[Column, int]] = []  # neighbours that fit a long together are joined as longs
+    for column, digits in parts:
+        fits = (column >= 0) & (column < F.lit(10 ** digits))
+        whole = F.when(column.isNull() | fits, column).otherwise(F.raise_error(F.lit(f"an ordering value needs more than {digits} digits")).cast("bigint"))
+        if groups and groups[-1][1] + digits <= 18:
+            before, taken = groups.pop()
+            groups.append((before * F.lit(10 ** digits).cast("bigint") + whole, taken + digits))
+        else:
+            groups.append((whole.cast("bigint"), digits))
+    out = groups[0][0].cast("decimal(38,0)")
+    for column, digits in groups[1:]:
+        out = out * F.lit(10 ** digits).cast("decimal(38,0)") + column.cast("decimal(38,0)")
+    return out.cast("decimal(38,0)")
+
+
 def to_bars(rows: DataFrame, by: list, price: Column, order: Column, volume: Column, amount: Column) -> DataFrame:
-    """Observations to bars: first and last by a unique order, extremes, sums. Every aggregate has a map-side partial."""
-    at = F.struct(order.alias("o"), price.alias("p"))
+    """Observations to bars: first and last by a unique order, extremes, sums.
+
+    With a price and an order of fixed width (``packed``) this is a hash aggregate with map-side partials.
+    """
+    rows = rows.withColumns({"__price": price, "__order": order})
+    px = F.col("__price")
     merged = rows.groupBy(*by).agg(
-        F.min(at).alias("f"), F.max(at).alias("t"), F.max(price).alias("adj_high"), F.min(price).alias("adj_low"),
+        F.min_by(px, "__order").alias("adj_open"), F.max(px).alias("adj_high"), F.min(px).alias("adj_low"), F.max_by(px, "__order").alias("adj_close"),
         F.sum(volume).alias("v"), F.sum(amount).alias("a"), F.count(F.lit(1)).alias("trades"))
-    return merged.select(
-        *by, F.col("f.p").alias("adj_open"), "adj_high", "adj_low", F.col("t.p").alias("adj_close"),
-        F.col("v").cast("bigint").alias("volume"), F.round("a", 2).alias("turnover"), "trades")
+    return merged.select(*by, "adj_open", "adj_high", "adj_low", "adj_close",
+                         F.col("v").cast("bigint").alias("volume"), F.round("a", 2).alias("turnover"), "trades")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        *LINE_ORDER, "l_quantity", "l_extendedprice",
+        "l_shipdate", *LINE_ORDER, "l_quantity", "l_extendedprice",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
 
 
 def _order() -> Column:
-    return F.struct(*LINE_ORDER)
+    """By ship date (a week has one digit of days), then by what is unique on a date."""
+    return packed([(F.datediff("l_shipdate", "date"), 1), *[(F.col(c), n) for c, n in LINE_ORDER.items()]])
 
 
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
