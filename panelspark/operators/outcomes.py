@@ -8,6 +8,7 @@ signals of a key together, and a key has at most one signal per session.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -120,13 +121,19 @@ def first_touch(panel: DataFrame, signals: DataFrame, exit: Exit, excursions: bo
     ``signals`` are rows of the positioned panel and carry ``sid``, a unique id.
     """
     trades = open_trades(panel, signals, exit)
-    # The path brings its own prices; the signal row's values are kept beside them and restored at the end.
-    clash = [x for x in [*PATH, "last_r", "next_open", *exit.extra] if x in trades.columns]
-    path = future_path(panel, trades.withColumnsRenamed({x: f"__s_{x}" for x in clash}), exit.cap, exit.extra)
-    return _resolve(path, signals.columns, exit, excursions)
-
-
-def _resolve(path: DataFrame, keep: Sequence[str], exit: Exit, excursions: bool) -> DataFrame:
+    brought = {*PATH, "last_r", "next_open", *exit.extra}
+    asked = {"atr_pct", "low5_prior", *re.findall(r"\w+", exit.trigger or "")} - brought
+    steps = ["sid", "isin", "r", "entry", "risk"]
+    # Only what the exit reads is multiplied by the horizon and shuffled; the signal's other columns meet the outcome by sid.
+    narrow = trades.select(*steps, *[c for c in trades.columns if c in asked and c not in steps])
+    events = _events(future_path(panel, narrow, exit.cap, exit.extra), exit, excursions)
+    made = ("entry", "risk", "risk_pct")
+    kept = trades.select("sid", *[c for c in signals.columns if c not in ("sid", *made)], *made)
+    return _price(kept.join(events, "sid"), exit, excursions)
+
+
+def _events(path: DataFrame, exit: Exit, excursions: bool) -> DataFrame:
+    """Per sid: the first row of each kind of exit and the last row of the path."""
     high, low, close, opn = (F.col(n) for n in ("adj_high", "adj_low", "adj_close", "adj_open"))
     entry, risk, k = F.col("entry"), F.col("risk"), F.col("k")
     is_last = (F.col("r") + k) >= F.col("last_r")
@@ -173,10 +180,7 @@ def _resolve(path: DataFrame, keep: Sequence[str], exit: Exit, excursions: bool)
         events["__x"] = F.min(F.when(fires, row))
     if exit.manage == "half":
         events["__h"] = F.min(F.when(F.col("__half_px").isNotNull(), F.struct(k.alias("k"), F.col("__half_px").alias("p"))))
-    source = {c: f"__s_{c}" if f"__s_{c}" in path.columns else c for c in [*keep, "entry", "risk", "risk_pct"]}
-    carried = {c: x for c, x in source.items() if c != "sid" and x in path.columns}
-    out = path.groupBy("sid").agg(*[F.first(x).alias(c) for c, x in carried.items()], *[e.alias(n) for n, e in events.items()])
-    return _price(out, exit, excursions)
+    return path.groupBy("sid").agg(*[e.alias(n) for n, e in events.items()])
 
 
 def _price(out: DataFrame, exit: Exit, excursions: bool) -> DataFrame:
