@@ -31,12 +31,11 @@ def write_json(df: DataFrame, path: str) -> None:
 def shared_grid(panel: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Every session for every key, with its position; the grid is one row per (key, session).
 
-    Sessions are a bounded calendar, so they are attached to each key as an array and exploded: no cross join.
+    Sessions are a bounded calendar: one array, read as a scalar subquery and exploded per key, without a join.
     """
-    calendar = panel.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("days"))
+    calendar = panel.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("days")).scalar()
     names = (panel if keys is None else keys).select("isin").distinct()
-    return names.withColumn("__one", F.lit(1)).join(F.broadcast(calendar.withColumn("__one", F.lit(1))), "__one").select(
-        "isin", F.posexplode("days").alias("grid_i", "date"))
+    return names.select("isin", F.posexplode(calendar).alias("grid_i", "date"))
 
 
 def series_documents(panel: DataFrame, columns: dict[str, str]) -> DataFrame:
