@@ -12,9 +12,9 @@ from .upkeep import shared_path
 from .windows import KEY
 
 
-def _files(df, path: str, parts: int):
-    """Write ``df`` as several files so the stream sees several batches' worth of input."""
-    df.repartition(parts).write.mode("overwrite").parquet(path)
+def _files(df, path: str):
+    """Write ``df`` by the tasks that derive it and stream the files back; one batch takes all that is there."""
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
@@ -40,7 +40,7 @@ def _late_blocks(s, d):
     raw, adjusted = _blocks(s, d)
     columns = ["isin", "date", "close", "adj_close", "volume"]
     for i, block in enumerate((adjusted, raw, adjusted)):  # the last one is a replay
-        stream = _files(block, f"{root}/in{i}", 2)
+        stream = _files(block, f"{root}/in{i}")
         ingest.stream_merge(stream, root + "/bars", f"{root}/state{i}", ["isin", "date"], F.col("seq"), columns).awaitTermination()
     return s.read.parquet(root + "/bars").select(*columns)
 
@@ -49,21 +49,23 @@ register("ST1_late_blocks", KEY + "close:f4 adj_close:f4 volume:i", _late_blocks
 
 
 def _hours(s, d):
-    """Bars of every hour the watermark has passed; the last hours stay open in state."""
+    """Bars of every hour: a closing row a day after the last one moves the watermark past them and stays open itself."""
     root = shared_path(s)
-    out = _drain(ingest.stream_hour_bars(_files(panels.minute_panel(s, d), root + "/in", 1)), root, "append")
-    return out.filter("hour < timestamp_ntz'2024-01-30 00:15:00'").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+    minutes = panels.minute_panel(s, d)
+    closing = minutes.agg(F.max("ts").alias("ts")).selectExpr("'closing' AS isin", "ts + INTERVAL 1 DAY AS ts")
+    out = _drain(ingest.stream_hour_bars(_files(minutes.unionByName(closing, allowMissingColumns=True), root + "/in")), root, "append")
+    return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
 register("ST2_stream_hours", "isin:s hour:s open:f4 high:f4 low:f4 close:f4 volume:i", _hours,
          f"WITH {MINUTES}, h AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '2000-01-01 09:15:00') AS hr FROM minutes) "
-         "@@ SELECT isin, strftime(hr, '%Y-%m-%d %H:%M:%S') AS hour, first(open ORDER BY ts, event_id) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts, event_id) AS close, sum(volume) AS volume FROM h WHERE hr < TIMESTAMP '2024-01-30 00:15:00' GROUP BY isin, hr")
+         "@@ SELECT isin, strftime(hr, '%Y-%m-%d %H:%M:%S') AS hour, first(open ORDER BY ts, event_id) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts, event_id) AS close, sum(volume) AS volume FROM h GROUP BY isin, hr")
 
 
 def _versions(s, d):
     root = shared_path(s)
     rows = panels.minute_panel(s, d).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")).select("isin", "ts", "close", "event_id")
-    out = _drain(ingest.stream_keep_last(_files(rows, root + "/in", 1), "event_id"), root, "update")
+    out = _drain(ingest.stream_keep_last(_files(rows, root + "/in"), "event_id"), root, "update")
     last = out.groupBy("isin", "ts").agg(F.max_by("close", "__batch").alias("close"), F.max("event_id").alias("event_id"))
     return last.withColumn("stamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
@@ -77,7 +79,7 @@ def _provisional(s, d):
     root = shared_path(s)
     bars = panels.week_panel(s, d).select("isin", "date", "adj_close", "volume")
     for i, block in enumerate((bars.withColumns({"adj_close": F.col("adj_close") * 2, "volume": F.lit(1).cast("bigint"), "seq": F.lit(1)}), bars.withColumn("seq", F.lit(2)))):
-        ingest.stream_merge(_files(block, f"{root}/in{i}", 1), root + "/bars", f"{root}/state{i}", ["isin", "date"], F.col("seq"), ["isin", "date", "adj_close", "volume"]).awaitTermination()
+        ingest.stream_merge(_files(block, f"{root}/in{i}"), root + "/bars", f"{root}/state{i}", ["isin", "date"], F.col("seq"), ["isin", "date", "adj_close", "volume"]).awaitTermination()
     return s.read.parquet(root + "/bars").select("isin", "date", "adj_close", "volume")
 
 
@@ -86,14 +88,16 @@ register("ST4_provisional_bars", KEY + "adj_close:f4 volume:i", _provisional, f"
 
 def _lifecycle(s, d):
     root = shared_path(s)
+    panel = build_features(panels.week_panel(s, d), ["hi7_prior", "atr_pct", "new_lo7"])
+    bars = panel.select("isin", "date", "adj_open", "adj_close", "hi7_prior", "atr_pct", F.col("new_lo7").alias("signal"))
+    stream = positions.stream_positions(_files(bars, root + "/in"), 0.2, 20)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(provider)
     s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    panel = build_features(panels.week_panel(s, d), ["hi7_prior", "atr_pct", "new_lo7"])
-    bars = panel.select("isin", "date", "adj_open", "adj_close", "hi7_prior", "atr_pct", F.col("new_lo7").alias("signal"))
-    out = _drain(positions.stream_positions(_files(bars, root + "/in", 1), 0.2, 20), root, "append")
-    s.conf.set(provider, before)
-    return out
+    try:
+        return _drain(stream, root, "append")
+    finally:
+        s.conf.set(provider, before)
 
 
 register("ST5_position_lifecycle", "isin:s entry_date:d exit_date:d entry:f4 exit:f4 bars:i why:s", _lifecycle)
