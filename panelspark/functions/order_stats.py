@@ -17,8 +17,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .core import holds
-
 SUB_BUCKETS = 256
 
 
@@ -35,7 +33,7 @@ def positions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row per distinct (group, value): ``cnt``, ``below`` (rows strictly smaller) and ``total``. Null and NaN take no part."""
     by = list(by)
     counts = (
-        df.filter(holds(~F.isnan(F.col(value).cast("double"))))
+        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*by, F.col(value).cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("__bucket", _bucket(F.col(value)))

@@ -1,7 +1,8 @@
 """Position lifecycle on a stream of bars: pending -> open -> closed, one state per instrument.
 
 The batch twin is ``first_touch`` with a close-based stop plus ``one_open_per_key``; both give the same
-trades on the same bars. State is a handful of numbers per key, so it does not grow with history.
+trades on the same bars, but for trades that the data's end cuts short in the batch and leaves open here.
+Bars that arrive after a newer one of their key come out as rows with ``why = 'late'`` and no prices. State is a handful of numbers per key, so it does not grow with history.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+LATE = "late"
 OUTPUT = "isin string, entry_date date, exit_date date, entry double, exit double, bars int, why string"
 STATE = "phase string, position int, signal_at int, entry_date date, entry double, stop double, fill string, last_date date, cooldown_to int"
 
@@ -34,7 +36,9 @@ class Positions(StatefulProcessor):
         bars = pd.concat(list(rows)).sort_values("date", kind="stable")
         for bar in bars.itertuples(index=False):
             if last_date is not None and bar.date <= last_date:
-                continue  # replayed or out-of-order bars do not move a position twice
+                # A replayed or late bar does not move a position; it is reported, so none is lost unseen.
+                closed.append((key[0], bar.date, bar.date, None, None, 0, LATE))
+                continue
             position, last_date = position + 1, bar.date
             if phase == "exiting":
                 closed.append((key[0], entry_date, bar.date, entry, bar.adj_open, position - signal_at, fill))

@@ -30,7 +30,34 @@ def test_position_stream_equals_the_batch_twin(spark, sf):
     panel = positioned(spark, sf)
     exit = oc.Exit(("atr", 0.2), trigger="adj_close > hi7_prior", why="reversal", cap=20, stop_on="close", on_last="ignore", risk_min=0.0, risk_max=1e9, extra=("hi7_prior",))
     trades = oc.one_open_per_key(oc.first_touch(panel, signals(panel), exit))
-    batch = {(r.isin, round(r.entry, 4), round(r.exit, 4), r.why) for r in trades.collect()}
-    stream = {(r.isin, r.entry, r.exit, r.why) for r in QUERIES["ST5_position_lifecycle"](spark, sf).collect()}
-    same = sum((i, pytest.approx(e, abs=1e-3), pytest.approx(x, abs=1e-3), w) in [(a, b, c, d) for a, b, c, d in batch if a == i] for i, e, x, w in stream)
-    assert len(stream) > 20 and same >= len(stream) - 2
+    # The end of the data closes open trades in the batch; the stream leaves them open.
+    batch = trades.filter("NOT (why = 'time' AND bars < 20)").select("isin", "entry", "exit", "bars", "why").orderBy("isin", "r").collect()
+    stream = QUERIES["ST5_position_lifecycle"](spark, sf).orderBy("isin", "entry_date").collect()
+    assert len(stream) > 20
+    assert [(r.isin, r.bars, r.why) for r in stream] == [(r.isin, r.bars, r.why) for r in batch]
+    assert [x for r in stream for x in (r.entry, r.exit)] == pytest.approx([x for r in batch for x in (r.entry, r.exit)], abs=1e-3)
+
+
+def test_late_bars_of_a_position_stream_are_reported():
+    import datetime as dt
+    import pandas as pd
+    from panelspark.streaming.positions import Positions
+
+    class Held:
+        def __init__(self):
+            self.value = None
+        def exists(self):
+            return self.value is not None
+        def get(self):
+            return self.value
+        def update(self, value):
+            self.value = value
+
+    def bars(*days):
+        return pd.DataFrame([(dt.date(2024, 1, x), 10.0, 10.0, 9.0, 1.0, 0) for x in days], columns=["date", "adj_open", "adj_close", "hi7_prior", "atr_pct", "signal"])
+
+    follow = Positions(1.0, 20)
+    follow.state = Held()
+    assert list(follow.handleInputRows(("A",), iter([bars(1), bars(3)]), None)) == []
+    (late,) = follow.handleInputRows(("A",), iter([bars(2, 4)]), None)
+    assert [(r.entry_date.day, r.why) for r in late.itertuples()] == [(2, "late")] and follow.state.value[1] == 3
