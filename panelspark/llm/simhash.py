@@ -277,13 +277,14 @@ def closeness(similarity: float) -> float:
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id over links of ``similarity`` or more on ``width``-word shingle sets.
 
-    Every document is linked to its closest fingerprints under each node (the closest before it and the closest of all),
-    after an exact check of the pair; equal fingerprints are linked outright.
+    Documents of one shingle set are copies. Every other set is linked to its closest fingerprints under each node (the
+    closest before it and the closest of all) and to one set of its own fingerprint, after an exact check of the pair.
     """
     bits = 64 * LANES
-    made = store(fingerprints(docs, width, LANES), "fingerprints")
-    own = store(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    n = own.count()
+    made = store(_set_fingerprints(docs, width), "fingerprints")
+    own = store(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "distinct-sets")
+    prints = store(own.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
+    n = prints.count()
     p = closeness(similarity)
     wide = max(8, math.ceil(math.log2(n + 1)) - 2)
     count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** wide))
@@ -309,11 +310,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     def refine(mask: int) -> list[int]:
         return random_masks(bits, 4, 6, mask.bit_count(), mask) if bits - mask.bit_count() > bits // 2 else []
 
-    close = _search(own.select("fp"), LANES, random_masks(bits, count, wide), refine, leaf, "a binary, b binary").distinct()
-    named = store(close.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v"), "close-pairs")
+    close = _search(prints.select("fp"), LANES, random_masks(bits, count, wide), refine, leaf, "a binary, b binary").distinct()
+    apart = close.join(prints.toDF("a", "u"), "a").join(prints.toDF("b", "v"), "b").select("u", "v")
+    same = own.select("fp", F.col("least").alias("v")).join(prints.toDF("fp", "u"), "fp").filter("u < v").select("u", "v")
+    named = store(apart.union(same).distinct(), "close-pairs")
     nodes = components(_checked(docs, named, width, similarity))
-    rooted = own.join(nodes.toDF("least", "root"), "least", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return made.join(rooted, "fp").select("doc_id", "component_id")
+    rooted = own.join(nodes.toDF("least", "root"), "least", "left").select("key", F.coalesce("root", "least").alias("component_id"))
+    return made.join(rooted, "key").select("doc_id", "component_id")
+
+
+def _set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp and the digest (key) of every text's shingle set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in documents(batches):
+            hashes = [shingle_hashes(t, width) for t in texts]
+            yield rows(schema, doc_id=batch.column("doc_id"), fp=[majority(_mixed(h, LANES)).tobytes() for h in hashes],
+                       key=[xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp binary, key binary")
 
 
 def _checked(docs: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
