@@ -320,14 +320,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
 
 
 def _set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp and the digest (key) of every text's shingle set."""
+    """doc_id, fp over the distinct shingles and the digest (key) of every text's shingle set."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in documents(batches):
-            hashes = [shingle_hashes(t, width) for t in texts]
-            yield rows(schema, doc_id=batch.column("doc_id"), fp=[majority(_mixed(h, LANES)).tobytes() for h in hashes],
-                       key=[xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes])
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+            yield rows(schema, doc_id=batch.column("doc_id"), fp=[majority(_mixed(h, LANES)).tobytes() for h in sets],
+                       key=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp binary, key binary")
 

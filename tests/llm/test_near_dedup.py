@@ -24,3 +24,16 @@ def test_equal_fingerprints_of_different_texts_stay_apart(spark):
     texts = [" ".join(["same"] * 300 + words(rng, 100)) for _ in range(4)]
     assert len({simhash.fingerprint(t, 5, simhash.LANES) for t in texts}) == 1
     assert found(spark, [*texts, texts[2]]) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_repeated_passage(spark):
+    """The decision is made on shingle sets, so a passage that one text repeats costs no candidate."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for _ in range(6):
+        own = words(rng, 300)
+        passage = own[100:125]
+        texts += [" ".join(own), " ".join([*own, *passage * 20])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    assert all(len(a & b) >= 0.85 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    assert found(spark, texts) == {k: k - k % 2 for k in range(12)}
