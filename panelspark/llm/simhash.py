@@ -12,7 +12,9 @@ a whole group once they exceed the distance.
 
 ``near_duplicates``: five-word shingles and a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits, upper nodes of
 random masks (as many as give ``RECALL`` at that similarity), the same index below them; every document's closest
-neighbours within the distance of that similarity are then checked exactly on their shingle sets.
+neighbours within the distance of that similarity are then checked exactly on their shingle sets. That joins the dense
+groups cheaply. What it misses is found by an exhaustive prefix join over the pairs not yet in one group, so every link
+counts and neither masks nor shard sizes change the result.
 
 Null text has no words; a document of fewer words than a shingle is one shingle; no words give fingerprint zero, linked
 like any other. Repeated rows and doc_ids fall into one component. An empty table gives no rows.
@@ -28,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import documents, rows, store
+from panelspark.llm.common import documents, remainder, rows, store
 from panelspark.llm.components import components
 
 GROUP = 8
@@ -38,6 +40,9 @@ SEED = 42
 LANES = 4
 RECALL = 0.97
 SIMILARITY = 0.8
+JOIN_ROWS = 500_000
+SAMPLE_DOCS = 20_000
+COMMON = 200_000
 # one byte as eight byte lanes that hold its bits
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -278,10 +283,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     """doc_id, component_id over links of ``similarity`` or more on ``width``-word shingle sets.
 
     Documents of one shingle set are copies. Every other set is linked to its closest fingerprints under each node (the
-    closest before it and the closest of all) and to one set of its own fingerprint, after an exact check of the pair.
+    closest before it and the closest of all) and to one set of its own fingerprint, after an exact check of the pair;
+    ``_missed`` adds every link between the groups found so.
     """
     bits = 64 * LANES
-    made = store(_set_fingerprints(docs, width), "fingerprints")
+    made = store(_features(docs, width, similarity, _common_shingles(docs, width)), "fingerprints")
     own = store(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "distinct-sets")
     prints = store(own.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
     n = prints.count()
@@ -314,22 +320,124 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     apart = close.join(prints.toDF("a", "u"), "a").join(prints.toDF("b", "v"), "b").select("u", "v")
     same = own.select("fp", F.col("least").alias("v")).join(prints.toDF("fp", "u"), "fp").filter("u < v").select("u", "v")
     named = store(apart.union(same).distinct(), "close-pairs")
-    nodes = components(_checked(docs, named, width, similarity))
+    links = store(_checked(docs, named, width, similarity), "links")
+    groups = store(own.select("least").distinct().join(components(links).toDF("least", "root"), "least", "left").select("least", F.coalesce("root", "least").alias("root")), "groups")
+    missed = _missed(made.join(own.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"], "left_semi"), groups, similarity)
+    nodes = components(links.union(_checked(docs, missed, width, similarity)))
     rooted = own.join(nodes.toDF("least", "root"), "least", "left").select("key", F.coalesce("root", "least").alias("component_id"))
-    return made.join(rooted, "key").select("doc_id", "component_id")
+    return made.select("doc_id", "key").join(rooted, "key").select("doc_id", "component_id")
 
 
-def _set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp over the distinct shingles and the digest (key) of every text's shingle set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary())])
+def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a bounded sample of documents has most often, sorted, and how often. It only sets an order of work."""
+    schema = pa.schema([("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in documents(batches):
+            for t in texts:
+                yield rows(schema, shingle=np.unique(shingle_hashes(t, width)).view(np.int64))
+
+    sample = docs.filter(remainder(max(1, docs.count() // SAMPLE_DOCS)) == 0).select("doc_id", "text").mapInArrow(run, "shingle bigint")
+    often = sample.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    found, times = (often.column(c).to_numpy() for c in ("shingle", "count"))
+    order = np.argsort(found.view(np.uint64))
+    return found.view(np.uint64)[order], times[order]
+
+
+def prefix(held: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set (sorted hashes), so many that two sets of the similarity share one of theirs.
+
+    Any total order over the shingles gives that; rare ones first keeps the groups small.
+    """
+    names, times = common
+    size = len(held) - math.ceil(similarity * len(held) - 1e-9) + 1
+    if not len(names) or not len(held):
+        return held[:size]
+    at = np.minimum(np.searchsorted(names, held), len(names) - 1)
+    return held[np.lexsort([held, np.where(names[at] == held, times[at], 0)])[:size]]
+
+
+def parity(held: np.ndarray) -> np.ndarray:
+    """How often (odd or even) each value of the low hash bits occurs, as bits: where two sets' bits differ the sets do."""
+    wide = max(64, 1 << max(0, len(held) - 1).bit_length())
+    counts = np.bincount((held & np.uint64(wide - 1)).astype(np.int64), minlength=wide)
+    return np.packbits(counts & 1 == 1, bitorder="little").view("<u8")
+
+
+def _features(docs: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Of every text's shingle set: fp, digest (key), size, parity bits and prefix."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary()), ("size", pa.int32()), ("parity", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in documents(batches):
             sets = [np.unique(shingle_hashes(t, width)) for t in texts]
             yield rows(schema, doc_id=batch.column("doc_id"), fp=[majority(_mixed(h, LANES)).tobytes() for h in sets],
-                       key=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets])
+                       key=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], size=[len(h) for h in sets],
+                       parity=[parity(h).tobytes() for h in sets], prefix=[prefix(h, similarity, common).tobytes() for h in sets])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp binary, key binary, size int, parity binary, prefix binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp binary, key binary")
+def _missed(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different groups that may have the similarity: none that has it is left out.
+
+    Two such sets share a shingle of their prefixes and their sizes are within the similarity; then their parity bits
+    must not differ more often than the sets may.
+    """
+    shards = max(1, -(-(sets.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * JOIN_ROWS)))
+    dealt_schema = pa.schema([("shard", pa.int32()), ("token", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("size", pa.int32())])
+    pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), "<u8")
+            each = [np.repeat(batch.column(c).to_numpy(), batch.column("length").to_numpy()) for c in ("node", "root", "size")]
+            shard = (_mixed(tokens, 1)[:, 0] % np.uint64(shards)).astype(np.int32)
+            yield rows(dealt_schema, shard=shard, token=tokens.view(np.int64), **dict(zip(("node", "root", "size"), each)))
+
+    def leaf(held: pa.Table) -> pa.Table:
+        token, node, root, size = (held.column(c).to_numpy() for c in ("token", "node", "root", "size"))
+        order = np.lexsort([size, token])
+        token, node, root, size = token[order], node[order], root[order], size[order]
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        keep = np.repeat(several, np.diff(np.append(start, len(token))))
+        token, root, size = token[keep], root[keep], size[keep]
+        names, at = np.unique(node[keep], return_inverse=True)
+        codes, waiting, i, step = np.zeros(0, np.int64), [], np.arange(len(token)), 0
+        while len(i):  # pairs ``step`` places apart in one run; sizes rise, so a pair too far apart ends its item
+            step += 1
+            i = i[i + step < len(token)]
+            i = i[(token[i] == token[i + step]) & (size[i] >= similarity * size[i + step] - 1e-9)]
+            two = i[root[i] != root[i + step]]
+            waiting.append(np.minimum(at[two], at[two + step]) * len(names) + np.maximum(at[two], at[two + step]))
+            if not len(i) or sum(map(len, waiting)) > JOIN_ROWS:
+                codes, waiting = np.unique(np.concatenate([codes, *waiting])), []
+        return pa.table({"u": names[codes // max(1, len(names))], "v": names[codes % max(1, len(names))]}, schema=pair)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = batch.column("first").to_pylist(), batch.column("second").to_pylist()
+            most = (batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-6
+            widths, fine = np.array([(len(a), len(b)) for a, b in zip(first, second)]).reshape(-1, 2), np.zeros(batch.num_rows, bool)
+            for w in np.unique(widths, axis=0):
+                here = np.flatnonzero((widths == w).all(axis=1))
+                x, y = (np.frombuffer(b"".join(side[k] for k in here), "<u8").reshape(len(here), -1) for side in (first, second))
+                while x.shape[1] != y.shape[1]:
+                    if x.shape[1] < y.shape[1]:
+                        x, y = y, x
+                    half = x.shape[1] // 2
+                    x = x[:, :half] ^ x[:, half:]
+                fine[here] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[here]
+            yield batch.select(["u", "v"]).filter(pa.array(fine))
+
+    named = sets.withColumnRenamed("doc_id", "node")
+    tokens = named.join(groups.toDF("node", "root"), "node").select("node", "root", "size", "prefix", F.expr("length(prefix) div 8 AS length"))
+    dealt = tokens.mapInArrow(deal, "shard int, token bigint, node bigint, root bigint, size int")
+    pairs = dealt.groupBy("shard").applyInArrow(leaf, "u bigint, v bigint").distinct()
+    bits = named.select("node", "size", "parity")
+    both = pairs.join(bits.toDF("u", "m", "first"), "u").join(bits.toDF("v", "n", "second"), "v")
+    return store(both.mapInArrow(possible, "u bigint, v bigint").distinct(), "missed-pairs")
 
 
 def _checked(docs: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:

@@ -37,3 +37,37 @@ def test_repeated_passage(spark):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     assert all(len(a & b) >= 0.85 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
     assert found(spark, texts) == {k: k - k % 2 for k in range(12)}
+
+
+def family(rng, size, own):
+    """Texts of one template, each with words of its own at its end."""
+    shared = words(rng, 240)
+    return [" ".join([*shared, *words(rng, own)]) for _ in range(size)]
+
+
+def test_no_link_behind_closer_neighbours(spark, monkeypatch):
+    """A link that the fingerprint search does not offer is found all the same."""
+    rng = np.random.default_rng(3)
+    texts = family(rng, 60, 40)
+    copy = texts[20].split()
+    copy[265:270] = words(rng, 5)
+    texts.append(" ".join(copy))
+    monkeypatch.setattr(simhash.GrayIndex, "pairs", lambda self, *_: iter(()))
+    got = found(spark, texts)
+    assert got == {k: 20 if k == 60 else k for k in range(61)}
+
+
+def test_prefix_and_parity_keep_every_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a = np.unique(pool[:n])
+        b = np.unique(np.append(rng.permutation(a)[:int(n * rng.uniform(0.7, 1))], pool[n:n + int(rng.integers(0, n // 4 + 1))]))
+        common = (np.sort(pool[::3]), rng.integers(3, 9, len(pool[::3])))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)))
+            x, y = sorted((simhash.parity(a), simhash.parity(b)), key=len)
+            while len(y) > len(x):
+                y = y[:len(y) // 2] ^ y[len(y) // 2:]
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-6
