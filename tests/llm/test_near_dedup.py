@@ -71,3 +71,16 @@ def test_prefix_and_parity_keep_every_pair():
             while len(y) > len(x):
                 y = y[:len(y) // 2] ^ y[len(y) // 2:]
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-6
+
+
+def test_shard_sizes_do_not_change_the_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for name, value in (("SHARD_ROWS", 8), ("SHARD_MOST", 10), ("JOIN_ROWS", 50)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(simhash, "RECALL", 0.3)  # few masks, so that the search itself must lose links
+    texts = family(rng, 15, 62)
+    texts += [" ".join(t.split()[:-12]) for t in texts[:5]]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    close = {(a, b) for a in range(20) for b in range(a + 1, 20) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert close == {(k, k + 15) for k in range(5)}
+    assert found(spark, texts) == {k: k - 15 if k > 14 else k for k in range(20)}
