@@ -91,13 +91,13 @@ def _metrics(s, d):
 
 register("K6_year_table", "scenario:s period:d last:f4 ret:f4 max_dd_pct:f4", _metrics)
 register("K7_stress", "scenario:s full:f3 h1:f3 h2:f3 random_mean:f3 random_worst:f3 random_p5:f3 random_p95:f3 robust:i",
-         lambda s, d: al.stress(trade_set(s, d)[1], TEN, "rsi_14", SPLIT, draws=30))
+         lambda s, d: al.stress(trade_set(s, d)[1], TEN, "rsi_14", SPLIT, draws=100))
 
 
 def _random_top(s, d):
     """Mean net of random top-2-per-day selections over many draws."""
     _, trades = trade_set(s, d)
-    drawn = al.random_orders(trades, 20)
+    drawn = al.random_orders(trades, 200)
     chosen = al.top_k_with_holding(drawn, F.col("luck").cast("double"), 2)
     return chosen.join(trades.select("sid", "net"), "sid").groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.avg("net").alias("net"))
 
@@ -323,7 +323,7 @@ def _uplift(s, d):
     chosen = al.top_k_with_holding(scored, F.col("score"), 2).select("sid").withColumn("picked", F.lit(1))
     marked = scored.join(chosen, "sid", "left").withColumn("picked", F.coalesce("picked", F.lit(0)))
     real = marked.groupBy("half").agg(F.avg(F.when(F.col("picked") == 1, F.col("net"))).alias("selected"), F.avg(F.when(F.col("picked") == 0, F.col("net"))).alias("unselected"))
-    drawn = al.top_k_with_holding(al.random_orders(trades, 20), F.col("luck").cast("double"), 2).join(trades.select("sid", "half", "net"), "sid")
+    drawn = al.top_k_with_holding(al.random_orders(trades, 200), F.col("luck").cast("double"), 2).join(trades.select("sid", "half", "net"), "sid")
     draws = drawn.groupBy("half", "scenario").agg(F.avg("net").alias("m")).join(real, "half")
     beaten = draws.groupBy("half").agg(F.avg("m").alias("random"), stats.share(F.col("selected") > F.col("m")).alias("draws_beaten"))
     return real.join(beaten, "half")
