@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage. SQL cannot express them; the tests hold them against brute force."""
+"""Registered queries of this subpackage. Those without a SQL twin are held against brute force by the tests."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import ann, bpe, langid, media, packing, quality, simhash, substrings, token_output, toxicity
+from panelspark.llm import ann, bpe, langid, media, oracles, packing, prefix_trie, quality, simhash, substrings, token_output, toxicity
 from panelspark.llm.common import table
 
 END_ID = 1
@@ -56,6 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_output, op2_bpe, op3_simhash, op4_substring_dedup, op5_media, op6_toxicity, op7_quality, op8_nearest, op9_language, op10_packing)}
-ORACLES: dict[str, str] = {}
+    op1_token_output, op2_bpe, op3_simhash, op4_substring_dedup, op5_media, op6_toxicity, op7_quality, op8_nearest, op9_language, op10_packing, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op13_prefix_trie": oracles.PREFIX_TRIE}
