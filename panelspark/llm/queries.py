@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import ann, bpe, langid, lexical, media, oracles, packing, prefix_trie, quality, simhash, substrings, token_output, toxicity
+from panelspark.llm import ann, bpe, langid, lexical, media, oracles, packing, pii, prefix_trie, quality, simhash, substrings, token_output, toxicity
 from panelspark.llm.common import table
 
 END_ID = 1
@@ -56,6 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,5 +69,5 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_output, op2_bpe, op3_simhash, op4_substring_dedup, op5_media, op6_toxicity, op7_quality, op8_nearest, op9_language, op10_packing, op12_lexical_search, op13_prefix_trie)}
+    op1_token_output, op2_bpe, op3_simhash, op4_substring_dedup, op5_media, op6_toxicity, op7_quality, op8_nearest, op9_language, op10_packing, op11_pii, op12_lexical_search, op13_prefix_trie)}
 ORACLES: dict[str, str] = {"op12_lexical_search": oracles.LEXICAL_SEARCH, "op13_prefix_trie": oracles.PREFIX_TRIE}
