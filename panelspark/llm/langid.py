@@ -7,7 +7,8 @@ coefficients fold into one matrix and batches are scored by a matrix product.
 
 The model is fitted on at most ``PER_LANGUAGE`` texts of each language (a documented bound, chosen by a hash of doc_id)
 outside fold 0 of 5. Null texts and texts without a letter are ``und`` with score 0, and so is everything when there is
-nothing to learn from. Ties go to the language that sorts first.
+nothing to learn from. Ties go to the language that sorts first. Texts of any length are scored whole; repeated rows score alike
+and count once in the sample, texts under one doc_id are told apart by their hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ LANDMARKS = 256
 RIDGE = 1e-2
 BATCH = 64
 UNKNOWN = "und"
+MARGIN = 0.9
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -56,38 +58,72 @@ def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Languages with the folded matrix ``weights`` (slots x languages) and ``bias``."""
+    """Languages with the folded matrix ``weights`` (slots x languages) and ``bias``; fitted on texts or their presence vectors."""
 
-    def __init__(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, texts: list[str] | np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        x = texts if isinstance(texts, np.ndarray) else presence(texts)
         self.languages = sorted(set(languages))
         y = np.array([[float(lang == own) for own in self.languages] for lang in languages])
-        every = max(1, len(texts) // landmarks)
-        z = presence(texts[::every][:landmarks])
+        every = max(1, len(x) // landmarks)
+        z = x[::every][:landmarks]
         values, vectors = np.linalg.eigh(kernel(z, z).astype(float))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        blocks = [kernel(presence(texts[a:a + BATCH]), z) @ root for a in range(0, len(texts), BATCH)]
-        phi = np.concatenate(blocks)
+        phi = np.concatenate([kernel(x[a:a + BATCH], z) @ root for a in range(0, len(x), BATCH)])
         self.bias = y.mean(axis=0)
-        coefficients = np.linalg.solve(phi.T @ phi + ridge * len(texts) / landmarks * np.eye(phi.shape[1]), phi.T @ (y - self.bias))
+        coefficients = np.linalg.solve(phi.T @ phi + ridge * len(x) / landmarks * np.eye(phi.shape[1]), phi.T @ (y - self.bias))
         self.weights = ((z / np.sqrt(np.maximum(z.sum(axis=1), 1))[:, None]).T @ (root @ coefficients)).astype(np.float32)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] + self.bias
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        x = presence(texts)
-        s = (x @ self.weights) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] + self.bias
+        s = self.scores(presence(texts))
         best = s.argmax(axis=1)
         return [(self.languages[b], float(min(1.0, max(0.0, s[i, b])))) for i, b in enumerate(best.tolist())]
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model of documents with text and lang; languages alternate in the order of the landmarks."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
+    """Presence vectors (as bits on the way) and languages of at most ``per_language`` texts of each language.
+
+    Rows are drawn by a hash of doc_id, half as many again as needed, before they are ranked, so a language that has most
+    documents sends few. What reaches the driver is 4 KB a text, however long it is.
+    """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+    share = F.lit(1.5 * per_language * (1 << 20)) / F.col("n")
+    drawn = known.select("doc_id", "lang", F.xxhash64("text").alias("name")).join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    drawn = drawn.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share).drop("n").distinct()
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "name")
+    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
     chosen = store(chosen, "language-sample")  # its size decides how it is joined
-    rows_ = known.join(chosen, ["doc_id", "lang"]).toPandas()  # per_language rows of each language
-    rows_ = rows_[rows_["text"].map(has_letter)].sort_values(["place", "lang", "doc_id"]) if len(rows_) else rows_
-    return Model(rows_["text"].tolist(), rows_["lang"].tolist()) if len(rows_) else None
+    texts = known.withColumn("name", F.xxhash64("text")).join(chosen, ["doc_id", "lang", "name"])
+
+    def each(some: list[str]) -> list[tuple]:
+        return [(np.packbits(presence([t])[0].astype(bool)).tobytes() if has_letter(t) else None,) for t in some]
+
+    marked = annotated(texts, each, "marks binary").filter("marks IS NOT NULL").select("place", "lang", "doc_id", "name", "marks").distinct()
+    found = marked.toPandas().sort_values(["place", "lang", "doc_id", "name"])
+    x = np.array([np.unpackbits(np.frombuffer(m, np.uint8)) for m in found["marks"]], np.float32).reshape(-1, SLOTS)
+    return x, found["lang"].tolist()
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+    """A model of documents with text and lang; languages alternate in the order of the landmarks."""
+    x, languages = sample(docs, per_language)
+    return Model(x, languages) if languages else None
+
+
+def rejection_score(docs: DataFrame, model: Model | None) -> float:
+    """The score under which a text is in no known language: ``MARGIN`` of the least score a rightly told text of ``docs`` has.
+
+    ``docs`` are labelled documents that the model was not fitted on (``sample`` of them counts); 0 where nothing tells.
+    """
+    x, languages = sample(docs) if model is not None else (None, [])
+    if not languages:
+        return 0.0
+    s = model.scores(x)
+    right = np.array(model.languages)[s.argmax(axis=1)] == np.array(languages)
+    return float(MARGIN * s.max(axis=1)[right].min()) if right.any() else 0.0
 
 
 def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
