@@ -73,7 +73,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     usable = ratings.filter("grade IS NOT NULL").filter(remainder(3) != 1).select("doc_id", F.col("grade").cast("int").alias("grade"))
     made = bounded_sample(usable, docs, sample_rows).mapInArrow(run, "doc_id bigint, grade int, own binary")
-    sample = made.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    least = F.min(F.struct("grade", "own")).alias("least")  # of rows with one doc_id: the same one in every run
+    sample = made.groupBy("doc_id").agg(least).select("doc_id", "least.*").toPandas().sort_values("doc_id")
     y = sample["grade"].to_numpy(int)
     if not len(y):
         return [], {}
@@ -83,27 +84,34 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     own = Design(slot_lists(sample, "own"))
     slots = np.unique(np.concatenate([own.informative(y > k, LEAST_DOCS, CHI2) for k in range(top)]))
     row, col = own.kept(slots)
-    n = len(y)
+    goal = Objective(y, top, row, col, len(slots))
+    share = [float(np.clip((y <= k).mean(), 1e-3, 1 - 1e-3)) for k in range(top)]
+    start = np.log(np.array(share) / (1 - np.array(share)))
+    x = adam(np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-2)), np.zeros(len(slots))]), lambda x: goal(x)[1])
+    return goal.thresholds(x).tolist(), dict(zip(slots.tolist(), x[top:].tolist()))
+
+
+class Objective:
+    """Mean negative log likelihood of the grades + ridge; parameters: first threshold, logs of the steps to the next, weights."""
 
-    def thresholds(x: np.ndarray) -> np.ndarray:
-        return x[0] + np.concatenate([[0.0], np.cumsum(np.exp(x[1:top]))])
+    def __init__(self, y: np.ndarray, top: int, row: np.ndarray, col: np.ndarray, k: int):
+        self.y, self.top, self.row, self.col, self.k = y, top, row, col, k
 
-    def gradient(x: np.ndarray) -> np.ndarray:
-        t, w = thresholds(x), x[top:]
-        z = np.bincount(row, w[col], minlength=n)
+    def thresholds(self, x: np.ndarray) -> np.ndarray:
+        return x[0] + np.concatenate([[0.0], np.cumsum(np.exp(x[1:self.top]))])
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        y, top, n = self.y, self.top, len(self.y)
+        t, w = self.thresholds(x), x[top:]
+        z = np.bincount(self.row, w[self.col], minlength=n)
         upper = np.where(y < top, sigmoid(t[np.minimum(y, top - 1)] - z), 1.0)
         lower = np.where(y > 0, sigmoid(t[np.maximum(y - 1, 0)] - z), 0.0)
-        inside = np.maximum(upper - lower, 1e-9) * n
-        du, dl = upper * (1 - upper) / inside, lower * (1 - lower) / inside
+        inside = np.maximum(upper - lower, 1e-9)
+        loss = -np.mean(np.log(inside)) + RIDGE * (w @ w) / 2
+        du, dl = upper * (1 - upper) / (inside * n), lower * (1 - lower) / (inside * n)
         gt = -np.bincount(np.minimum(y, top - 1)[y < top], du[y < top], minlength=top) + np.bincount(y[y > 0] - 1, dl[y > 0], minlength=top)
         later = np.cumsum(gt[::-1])[::-1]  # a step moves all later thresholds
-        gz = du - dl
-        return np.concatenate([[later[0]], later[1:] * np.exp(x[1:top]), np.bincount(col, gz[row], minlength=len(slots)) + RIDGE * w])
-
-    share = [float(np.clip((y <= k).mean(), 1e-3, 1 - 1e-3)) for k in range(top)]
-    start = np.log(np.array(share) / (1 - np.array(share)))
-    x = adam(np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-2)), np.zeros(len(slots))]), gradient)
-    return thresholds(x).tolist(), dict(zip(slots.tolist(), x[top:].tolist()))
+        return float(loss), np.concatenate([[later[0]], later[1:] * np.exp(x[1:top]), np.bincount(self.col, (du - dl)[self.row], minlength=self.k) + RIDGE * w])
 
 
 def tails(text: str, thresholds: list[float], weights: dict[int, float]) -> list[float]:

@@ -1,12 +1,13 @@
 """Operator 6: toxicity by a counterfactual-regularised classifier.
 
-Logistic regression on the words a text holds and on their first letters (so that forms of a stem share weight). For every labelled text that names a group, a twin is made in which each
-identity term is swapped for another of its kind; the loss adds ``fairness`` times the squared change of the logit, so the
+Logistic regression on the words a text holds and on their first letters (so that forms of a stem share weight). For every labelled text that names a group, twins are made in which each
+identity term is swapped for the others of its kind (in four languages); the loss adds ``fairness`` times the squared change of the logit, so the
 weight cannot rest on which group is named. ``neutral`` mentions of a group then score as the rest of the text does.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows (a documented bound, chosen by a hash of doc_id) of the folds
 other than 1 of 3 and holds a few thousand weights. Null and empty texts score by the intercept; without labelled rows of
-both classes the score is the share of the class there is (0 without any). Repeated rows score alike.
+both classes the score is the share of the class there is (0 without any). Repeated rows score alike; of the rows of one doc_id
+the least one trains. Texts of any length are scored whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,38 +27,58 @@ FAIRNESS = 4.0
 RIDGE = 0.01
 LEAST_DOCS = 5
 CHI2 = 30.0
-# Identity terms by kind; a term is swapped for the next of its kind.
+# Identity terms by kind, in English, French, German and Spanish: fixed values. A term is swapped for the others of its kind.
 IDENTITIES = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("she", "he"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("she", "he"), ("her", "his"),
     ("muslims", "christians", "jews", "hindus", "atheists"), ("muslim", "christian", "jewish", "hindu", "atheist"),
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("immigrants", "natives"), ("immigrant", "native"), ("old", "young"), ("disabled", "able"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("fille", "garçon"), ("elle", "il"), ("elles", "ils"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "athées"), ("musulman", "chrétien", "juif", "hindou", "athée"),
+    ("noirs", "blancs", "asiatiques"), ("noir", "blanc", "asiatique"), ("immigrés", "autochtones"), ("vieux", "jeunes"), ("homosexuel", "hétérosexuel"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("sie", "er"), ("ihre", "seine"),
+    ("muslime", "christen", "juden", "hindus", "atheisten"), ("muslimisch", "christlich", "jüdisch", "hinduistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiatische"), ("einwanderer", "einheimische"), ("alte", "junge"), ("homosexuell", "heterosexuell"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("niña", "niño"), ("ella", "él"), ("ellas", "ellos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"), ("musulmán", "cristiano", "judío", "hindú", "ateo"),
+    ("negros", "blancos", "asiáticos"), ("negro", "blanco", "asiático"), ("inmigrantes", "nativos"), ("viejos", "jóvenes"), ("homosexuales", "heterosexuales"),
 )
 
 
-def swapped(found: set[str], kinds=IDENTITIES) -> set[str]:
-    """The words of the twin text: every identity term replaced by the next of its kind."""
-    other = {t: kind[(i + 1) % len(kind)] for kind in kinds for i, t in enumerate(kind)}
+def swapped(found: set[str], kinds=IDENTITIES, step: int = 1) -> set[str]:
+    """The words of a twin text: every identity term replaced by the one ``step`` places on in its kind."""
+    other = {t: kind[(i + step) % len(kind)] for kind in kinds for i, t in enumerate(kind)}
     return {other.get(w, w) for w in found}
 
 
+def twins(found: set[str], kinds=IDENTITIES) -> list[set[str]]:
+    """The different twins of a text: every other term of each kind is tried."""
+    out: list[set[str]] = []
+    longest = max((len(k) for k in kinds if found & set(k)), default=1)
+    for step in range(1, longest):
+        twin = swapped(found, kinds, step)
+        if twin != found and twin not in out:
+            out.append(twin)
+    return out
+
+
 def slots_of(found: set[str]) -> set[int]:
     activate("toxicity")
     return set().union(*map(word_slots.__getitem__, found))
 
 
 def _design(labelled: DataFrame, kinds) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("own", pa.binary()), ("twin", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("own", pa.binary()), ("twins", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in documents(batches):
             found = [words(t) for t in texts]
-            twins = [swapped(w, kinds) for w in found]
             yield rows(schema, doc_id=batch.column("doc_id"), toxic=batch.column("toxic"), own=[int_bytes(slots_of(w)) for w in found],
-                       twin=[int_bytes(slots_of(t)) if t != w else b"" for w, t in zip(found, twins)])
+                       twins=[[int_bytes(slots_of(t)) for t in twins(w, kinds)] for w in found])
 
-    made = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id bigint, toxic int, own binary, twin binary")
-    return made.dropDuplicates(["doc_id"])
+    made = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id bigint, toxic int, own binary, twins array<binary>")
+    least = F.min(F.struct("toxic", "own", "twins")).alias("least")  # of rows with one doc_id: the same one in every run
+    return made.groupBy("doc_id").agg(least).select("doc_id", "least.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fairness: float = FAIRNESS, kinds=IDENTITIES) -> tuple[float, dict[int, float]]:
@@ -70,32 +91,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fair
     if y.min() == y.max():
         return (500.0 if y[0] else -500.0), {}
     own = Design(slot_lists(sample, "own"))
-    has = np.flatnonzero(sample["twin"].map(len).to_numpy())
-    twin = Design(slot_lists(sample.iloc[has], "twin"))
+    of = np.repeat(np.arange(len(y)), sample["twins"].map(len).to_numpy(int))
+    twin = Design([np.frombuffer(t, "<i4") for some in sample["twins"] for t in some])
     slots = own.informative(y == 1, LEAST_DOCS, CHI2)
-    row, col = own.kept(slots)
-    t_row, t_col = twin.kept(slots)
-    n, k = len(y), len(slots)
-    place = np.full(n, -1)
-    place[has] = np.arange(len(has))
-    mine = place[row] >= 0
-
-    def gradient(x: np.ndarray) -> np.ndarray:
-        w = x[1:]
-        logit = x[0] + np.bincount(row, w[col], minlength=n)
-        miss = (sigmoid(logit) - y) / n
-        g = np.concatenate([[miss.sum()], np.bincount(col, miss[row], minlength=k)])
-        g[1:] += RIDGE * w / 100
-        if len(has):
-            change = np.bincount(place[row[mine]], w[col[mine]], minlength=len(has)) - np.bincount(t_row, w[t_col], minlength=len(has))
-            pull = 2 * fairness * change / len(has)
-            g[1:] += np.bincount(col[mine], pull[place[row[mine]]], minlength=k) - np.bincount(t_col, pull[t_row], minlength=k)
-        return g
-
-    x = adam(np.concatenate([[np.log(y.mean() / (1 - y.mean()))], np.zeros(k)]), gradient)
+    goal = Objective(y, *own.kept(slots), of, *twin.kept(slots), len(slots), fairness)
+    x = adam(np.concatenate([[np.log(y.mean() / (1 - y.mean()))], np.zeros(len(slots))]), lambda x: goal(x)[1])
     return float(x[0]), dict(zip(slots.tolist(), x[1:].tolist()))
 
 
+class Objective:
+    """Mean log loss + ridge + ``fairness`` x mean squared change of the score (before the sigmoid) between a text and its twins."""
+
+    def __init__(self, y, row, col, of, t_row, t_col, k: int, fairness: float):
+        self.y, self.row, self.col, self.of, self.t_row, self.t_col, self.k, self.fairness = y, row, col, of, t_row, t_col, k, fairness
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, n, pairs = x[1:], len(self.y), len(self.of)
+        own = np.bincount(self.row, w[self.col], minlength=n)
+        logit = x[0] + own
+        loss = np.mean(np.logaddexp(0, logit) - self.y * logit) + RIDGE * (w @ w) / 200
+        miss = (sigmoid(logit) - self.y) / n
+        g = np.concatenate([[miss.sum()], np.bincount(self.col, miss[self.row], minlength=self.k) + RIDGE * w / 100])
+        if pairs:
+            change = own[self.of] - np.bincount(self.t_row, w[self.t_col], minlength=pairs)
+            loss += self.fairness * np.mean(change ** 2)
+            pull = 2 * self.fairness * change / pairs
+            g[1:] += np.bincount(self.col, np.bincount(self.of, pull, minlength=n)[self.row], minlength=self.k)
+            g[1:] -= np.bincount(self.t_col, pull[self.t_row], minlength=self.k)
+        return float(loss), g
+
+
 def score_texts(texts: list[str], intercept: float, weights: dict[int, float]) -> list[float]:
     out = []
     for text in texts:
