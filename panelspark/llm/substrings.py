@@ -14,7 +14,9 @@ The work is four passes of narrow rows:
    the words of their repeats.
 
 Words are runs of characters other than space and 0x09-0x0D. Null text has no words; documents of fewer words than a window
-keep all. Rows with the same doc_id are one origin: none repeats the other, but both lose what a smaller doc_id has.
+keep all. Rows with the same doc_id are one origin: none repeats the other, and each row loses what a smaller doc_id has of its own
+text (spans are kept by doc_id and text). Texts of any length are taken whole. A null doc_id is larger than all others: its row loses what
+others have, and nothing is lost to it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +36,8 @@ FILTER_BITS = 27
 SEGMENT_BITS = 19  # a segment of the bit table: 64 KB
 FLUSH = 1 << 21
 WHOLE = -1
+TEXT_SEED = 42  # that of the SQL function xxhash64, so that rows and tasks name a text alike
+NO_ID = (1 << 63) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
@@ -78,7 +83,7 @@ class Part:
         activate("substrings")
         raw = [t.encode() for t in texts]
         words = [r.split() for r in raw]
-        self.name = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
+        self.name = np.fromiter((xxhash.xxh64_intdigest(r, TEXT_SEED) for r in raw), np.uint64, len(raw)).view(np.int64)
         self.count = np.fromiter(map(len, words), np.int64, len(words))
         self.first = np.cumsum(self.count) - self.count
         get = _hashes.__getitem__
@@ -144,7 +149,7 @@ def _scan(docs: DataFrame, each: Callable[[Part, np.ndarray], tuple[np.ndarray,
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch, texts in documents(batches):
-            got = each(Part(texts), batch.column("doc_id").to_numpy(zero_copy_only=False))
+            got = each(Part(texts), pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False))
             held.append(got)
             size += len(got[0])
             if size >= FLUSH:
@@ -153,11 +158,11 @@ def _scan(docs: DataFrame, each: Callable[[Part, np.ndarray], tuple[np.ndarray,
         if size:
             yield flush(*map(np.concatenate, zip(*held)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, at: the starts of the windows of each document that another text with a smaller doc_id also has."""
+    """doc_id, name (of the text), at: the starts of the windows of each text that a smaller doc_id also has."""
     spark = docs.sparkSession
     width = window // 2
     send = spark.sparkContext.broadcast
@@ -200,24 +205,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BIT
         holds = total[start + window - width + 1] > total[start]
         start, h = start[holds], h[holds]
         if not len(start):
-            return h, np.zeros(0, np.int32), ids[:0], np.zeros(0, np.int32)
+            return h, np.zeros(0, np.int32), ids[:0], part.name[:0], np.zeros(0, np.int32)
         second = rolling(part.keys, window, _BASES[1])[start]
-        return h, (second >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[part.doc[start]], part.at[start].astype(np.int32)
+        return h, (second >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[part.doc[start]], part.name[part.doc[start]], part.at[start].astype(np.int32)
 
-    def plain(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32())])
-        return rows(schema, h=h.view(np.int64), g=g, doc_id=doc, at=at)
+    def plain(h: np.ndarray, g: np.ndarray, doc: np.ndarray, name: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("name", pa.int64()), ("at", pa.int32())])
+        return rows(schema, h=h.view(np.int64), g=g, doc_id=doc, name=name, at=at)
 
-    windows = store(_scan(docs, extended, plain, "h bigint, g int, doc_id bigint, at int"), "windows")
+    windows = store(_scan(docs, extended, plain, "h bigint, g int, doc_id bigint, name bigint, at int"), "windows")
     least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "g", "least")
-    return windows.join(least, ["h", "g"]).filter("doc_id > least").select("doc_id", "at")
+    # read from files, both sides of the join are plain exchanges, and a window that very many texts hold is split among tasks
+    return windows.join(store(least, "repeated-windows"), ["h", "g"]).filter("doc_id > least").select("doc_id", "name", "at")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of documents whose whole text a smaller doc_id also has."""
-    named = store(docs.filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    """doc_id, name of texts that a smaller doc_id also has as a whole."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    named = store(docs.filter("text IS NOT NULL").select(doc_id, F.xxhash64("text").alias("name"), F.sha2("text", 256).alias("digest")), "digests")
     least = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
-    return named.join(least, "digest").filter("doc_id > least").select("doc_id").distinct()
+    return named.join(store(least, "repeated-texts"), "digest").filter("doc_id > least").select("doc_id", "name").distinct()
 
 
 def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -233,10 +240,11 @@ def cleaned(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BIT
 
     A document's repeat starts are one list, bounded by its own words; -1 stands for the whole of a copy.
     """
-    found = repeats(docs, window, filter_bits).union(copies(docs).select("doc_id", F.lit(WHOLE).alias("at")))
-    spans = found.groupBy(F.col("doc_id").alias("_origin")).agg(F.collect_set("at").alias("_starts"))
-    joined = docs.join(spans, docs.doc_id == F.col("_origin"), "left").drop("_origin")
-    names = [c for c in joined.columns if c != "_starts"]
+    found = repeats(docs, window, filter_bits).union(copies(docs).select("doc_id", "name", F.lit(WHOLE).alias("at")))
+    spans = found.groupBy(F.col("doc_id").alias("_origin"), F.col("name").alias("_name")).agg(F.collect_set("at").alias("_starts"))
+    own = F.coalesce(docs.doc_id.cast("long"), F.lit(NO_ID)) == F.col("_origin")
+    joined = docs.join(spans, own & (F.xxhash64(docs.text) == F.col("_name")), "left").drop("_origin", "_name")
+    names = [c for c in joined.columns if c not in ("_starts", "n_words", "n_removed", "kept")]
     schema = joined.select(names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
