@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import documents, remainder, rows, store
+from panelspark.llm.common import documents, rows, store
 from panelspark.llm.components import components
 
 GROUP = 8
@@ -41,8 +42,11 @@ LANES = 4
 RECALL = 0.97
 SIMILARITY = 0.8
 JOIN_ROWS = 500_000
-SAMPLE_DOCS = 20_000
-COMMON = 200_000
+JOIN_MOST = 4 * JOIN_ROWS
+SHORT_RUN = 64
+PARITY_BITS = 2048
+COUNTERS = 1 << 22  # shingle counts that set the order of the prefixes; a fixed size, as errors only cost work
+SEGMENT = 1 << 16
 # one byte as eight byte lanes that hold its bits
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
@@ -287,7 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     ``_missed`` adds every link between the groups found so.
     """
     bits = 64 * LANES
-    made = store(_features(docs, width, similarity, _common_shingles(docs, width)), "fingerprints")
+    features = store(_features(docs, width), "fingerprints")
+    made = features.filter("segment IS NULL").select("doc_id", "fp", "key")
     own = store(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "distinct-sets")
     prints = store(own.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
     n = prints.count()
@@ -322,39 +327,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     named = store(apart.union(same).distinct(), "close-pairs")
     links = store(_checked(docs, named, width, similarity), "links")
     groups = store(own.select("least").distinct().join(components(links).toDF("least", "root"), "least", "left").select("least", F.coalesce("root", "least").alias("root")), "groups")
-    missed = _missed(made.join(own.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"], "left_semi"), groups, similarity)
+    sent = docs.sparkSession.sparkContext.broadcast(_shingle_counts(features))
+    prefixes = store(_prefixes(docs, width, similarity, sent).join(own.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"], "left_semi"), "shingle-prefixes")
+    missed = _missed(prefixes.dropDuplicates(["key", "doc_id"]), groups, similarity, sent)
     nodes = components(links.union(_checked(docs, missed, width, similarity)))
     rooted = own.join(nodes.toDF("least", "root"), "least", "left").select("key", F.coalesce("root", "least").alias("component_id"))
     return made.select("doc_id", "key").join(rooted, "key").select("doc_id", "component_id")
 
 
-def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a bounded sample of documents has most often, sorted, and how often. It only sets an order of work."""
-    schema = pa.schema([("shingle", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in documents(batches):
-            for t in texts:
-                yield rows(schema, shingle=np.unique(shingle_hashes(t, width)).view(np.int64))
-
-    sample = docs.filter(remainder(max(1, docs.count() // SAMPLE_DOCS)) == 0).select("doc_id", "text").mapInArrow(run, "shingle bigint")
-    often = sample.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
-    found, times = (often.column(c).to_numpy() for c in ("shingle", "count"))
-    order = np.argsort(found.view(np.uint64))
-    return found.view(np.uint64)[order], times[order]
+def prefix(held: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """``rarest`` where ``common`` has some shingles (sorted) and how often they occur; the others count as 0."""
+    names, times = common
+    if not len(names) or not len(held):
+        return rarest(held, similarity, np.zeros(len(held), np.int64))
+    at = np.minimum(np.searchsorted(names, held), len(names) - 1)
+    return rarest(held, similarity, np.where(names[at] == held, times[at], 0))
 
 
-def prefix(held: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def rarest(held: np.ndarray, similarity: float, times: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set (sorted hashes), so many that two sets of the similarity share one of theirs.
 
     Any total order over the shingles gives that; rare ones first keeps the groups small.
     """
-    names, times = common
     size = len(held) - math.ceil(similarity * len(held) - 1e-9) + 1
-    if not len(names) or not len(held):
-        return held[:size]
-    at = np.minimum(np.searchsorted(names, held), len(names) - 1)
-    return held[np.lexsort([held, np.where(names[at] == held, times[at], 0)])[:size]]
+    return held[np.lexsort([held, times])[:size]]
 
 
 def parity(held: np.ndarray) -> np.ndarray:
@@ -364,80 +360,207 @@ def parity(held: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1 == 1, bitorder="little").view("<u8")
 
 
-def _features(docs: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Of every text's shingle set: fp, digest (key), size, parity bits and prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary()), ("size", pa.int32()), ("parity", pa.binary()), ("prefix", pa.binary())])
+def _features(docs: DataFrame, width: int) -> DataFrame:
+    """Of every text's shingle set: fp, digest (key); and, as rows of their own, each task's counts of shingles by counter."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary()), ("segment", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+
+    def counted(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, part in enumerate(table.reshape(-1, SEGMENT)):
+            at = np.flatnonzero(part)
+            if len(at):
+                full = len(at) > SEGMENT // 4
+                yield rows(schema, doc_id=[None], fp=[None], key=[None], segment=[s], places=[None if full else at.astype("<u2").tobytes()],
+                           counts=[(part if full else part[at]).astype("<u4").tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, waiting = np.zeros(COUNTERS, np.int64), []
         for batch, texts in documents(batches):
             sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+            waiting += sets
+            if sum(map(len, waiting)) > COUNTERS:
+                table, waiting = table + _counters(waiting), []
+            none = [None] * len(sets)
             yield rows(schema, doc_id=batch.column("doc_id"), fp=[majority(_mixed(h, LANES)).tobytes() for h in sets],
-                       key=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], size=[len(h) for h in sets],
-                       parity=[parity(h).tobytes() for h in sets], prefix=[prefix(h, similarity, common).tobytes() for h in sets])
+                       key=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], segment=none, places=none, counts=none)
+        yield from counted(table + _counters(waiting))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp binary, key binary, size int, parity binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp binary, key binary, segment int, places binary, counts binary")
 
 
-def _missed(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of different groups that may have the similarity: none that has it is left out.
+def _counters(sets: list[np.ndarray]) -> np.ndarray:
+    held = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    return np.bincount((held & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
 
-    Two such sets share a shingle of their prefixes and their sizes are within the similarity; then their parity bits
-    must not differ more often than the sets may.
-    """
-    shards = max(1, -(-(sets.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * JOIN_ROWS)))
-    dealt_schema = pa.schema([("shard", pa.int32()), ("token", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("size", pa.int32())])
-    pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_counts(features: DataFrame) -> np.ndarray:
+    """How many documents have a shingle of each counter: all documents counted, added up segment by segment on the executors."""
+    schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), "<u8")
-            each = [np.repeat(batch.column(c).to_numpy(), batch.column("length").to_numpy()) for c in ("node", "root", "size")]
-            shard = (_mixed(tokens, 1)[:, 0] % np.uint64(shards)).astype(np.int32)
-            yield rows(dealt_schema, shard=shard, token=tokens.view(np.int64), **dict(zip(("node", "root", "size"), each)))
+            for s, places, counts in zip(batch.column("segment").to_pylist(), batch.column("places"), batch.column("counts")):
+                table = held.setdefault(s, np.zeros(SEGMENT, np.int64))
+                table[np.frombuffer(places.as_py(), "<u2") if places.is_valid else slice(None)] += np.frombuffer(counts.as_py(), "<u4")
+        for s, table in held.items():
+            yield rows(schema, segment=[s], counts=[np.minimum(table, 0xFFFFFFFF).astype("<u4").tobytes()])
 
-    def leaf(held: pa.Table) -> pa.Table:
-        token, node, root, size = (held.column(c).to_numpy() for c in ("token", "node", "root", "size"))
+    table = np.zeros((COUNTERS // SEGMENT, SEGMENT), np.uint32)
+    parts = features.filter("segment IS NOT NULL").select("segment", "places", "counts").repartition("segment")
+    for r in parts.mapInArrow(run, "segment int, counts binary").collect():
+        table[r.segment] = np.frombuffer(r.counts, "<u4")
+    return table.ravel()
+
+
+def _prefixes(docs: DataFrame, width: int, similarity: float, sent) -> DataFrame:
+    """doc_id, key, size, parity bits (folded to ``PARITY_BITS`` at most) and prefix of every text's shingle set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("parity", pa.binary()), ("prefix", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in documents(batches):
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+            yield rows(schema, doc_id=batch.column("doc_id"), key=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], size=[len(h) for h in sets],
+                       parity=[folded(parity(h), PARITY_BITS // 64).tobytes() for h in sets],
+                       prefix=[rarest(h, similarity, sent.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]).tobytes() for h in sets])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key binary, size int, parity binary, prefix binary")
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (along the last axis, a power of two of words) folded to ``words`` at most."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+class _Run:
+    """Rows of a shard of the prefix join: shingle, set, group, size, place of the shingle in the prefix, parity bits."""
+
+    def __init__(self, held: pa.Table, similarity: float):
+        self.similarity = similarity
+        token, size = held.column("token").to_numpy(), held.column("size").to_numpy().astype(np.int64)
         order = np.lexsort([size, token])
-        token, node, root, size = token[order], node[order], root[order], size[order]
+        token, root = token[order], held.column("root").to_numpy()[order]
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         several = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-        keep = np.repeat(several, np.diff(np.append(start, len(token))))
-        token, root, size = token[keep], root[keep], size[keep]
-        names, at = np.unique(node[keep], return_inverse=True)
-        codes, waiting, i, step = np.zeros(0, np.int64), [], np.arange(len(token)), 0
-        while len(i):  # pairs ``step`` places apart in one run; sizes rise, so a pair too far apart ends its item
-            step += 1
-            i = i[i + step < len(token)]
-            i = i[(token[i] == token[i + step]) & (size[i] >= similarity * size[i + step] - 1e-9)]
-            two = i[root[i] != root[i + step]]
-            waiting.append(np.minimum(at[two], at[two + step]) * len(names) + np.maximum(at[two], at[two + step]))
-            if not len(i) or sum(map(len, waiting)) > JOIN_ROWS:
+        order = order[np.repeat(several, np.diff(np.append(start, len(token))))]
+        self.token, self.size, self.root = (held.column(c).to_numpy()[order] for c in ("token", "size", "root"))
+        self.size = self.size.astype(np.int64)
+        self.place = held.column("place").to_numpy()[order].astype(np.int64)
+        self.names, self.at = np.unique(held.column("node").to_numpy()[order], return_inverse=True)
+        self.parity = held.column("parity").combine_chunks().take(pa.array(order))
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Codes of the pairs of rows (size of i up to that of j) that sizes, places and parity bits leave open."""
+        m, n = self.size[i], self.size[j]
+        least = np.ceil(self.similarity / (1 + self.similarity) * (m + n) - 1e-9)  # shingles such sets have in common
+        # at the first shingle that both have, no more than the rest of either can follow
+        keep = (self.root[i] != self.root[j]) & (m >= self.similarity * n - 1e-9) & (np.minimum(m - self.place[i], n - self.place[j]) >= least)
+        i, j = i[keep], j[keep]
+        a, b = np.minimum(self.at[i], self.at[j]), np.maximum(self.at[i], self.at[j])
+        codes, first = np.unique(a * len(self.names) + b, return_index=True)
+        return codes[self._alike(i[first], j[first])]
+
+    def _alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the parity bits, where both rows carry them, differ no more often than the sets may."""
+        fine = np.ones(len(i), bool)
+        for at in range(0, len(i), 65_536):
+            part = slice(at, at + 65_536)
+            x, y = self.parity.take(pa.array(i[part])), self.parity.take(pa.array(j[part]))
+            wide = [np.asarray(pc.fill_null(pc.binary_length(c), 0)) // 8 for c in (x, y)]
+            most = (self.size[i[part]] + self.size[j[part]]) * (1 - self.similarity) / (1 + self.similarity) + 1e-6
+            ok = fine[part]
+            for w in np.unique(np.stack(wide, axis=1), axis=0).tolist():
+                if not min(w):
+                    continue
+                here = np.flatnonzero((wide[0] == w[0]) & (wide[1] == w[1]))
+                bits = [folded(np.frombuffer(b"".join(c.take(pa.array(here)).to_pylist()), "<u8").reshape(len(here), -1), min(w)) for c in (x, y)]
+                ok[here] = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= most[here]
+        return fine
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.append(True, self.token[1:] != self.token[:-1])) if len(self.token) else np.zeros(0, np.int64)
+        length = np.diff(np.append(start, len(self.token)))
+        codes, waiting = np.zeros(0, np.int64), []
+
+        def gather(found: np.ndarray) -> None:
+            nonlocal codes, waiting
+            waiting.append(found)
+            if sum(map(len, waiting)) > JOIN_ROWS:
                 codes, waiting = np.unique(np.concatenate([codes, *waiting])), []
-        return pa.table({"u": names[codes // max(1, len(names))], "v": names[codes % max(1, len(names))]}, schema=pair)
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, step = np.flatnonzero(np.repeat(length <= SHORT_RUN, length)), 0
+        while len(i):  # short runs: pairs ``step`` places apart; sizes rise, so a pair too far apart ends its item
+            step += 1
+            i = i[i + step < len(self.token)]
+            i = i[(self.token[i] == self.token[i + step]) & (self.size[i] >= self.similarity * self.size[i + step] - 1e-9)]
+            gather(self.possible(i, i + step))
+        for a, n in zip(start[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist()):
+            # a long run is mostly one group: only what is not of the largest group is held against all
+            names, of, times = np.unique(self.root[a:a + n], return_inverse=True, return_counts=True)
+            other = np.flatnonzero(of != np.argmax(times))
+            block = max(1, 4_000_000 // n)
+            for at in range(0, len(other), block):
+                x = np.repeat(other[at:at + block], n)
+                y = np.tile(np.arange(n), len(x) // n)
+                apart = (of[x] != of[y]) & ((of[y] == np.argmax(times)) | (x < y))
+                x, y = x[apart], y[apart]
+                gather(self.possible(a + np.minimum(x, y), a + np.maximum(x, y)))
+        codes = np.unique(np.concatenate([codes, *waiting]))
+        return self.names[codes // max(1, len(self.names))], self.names[codes % max(1, len(self.names))]
+
+
+def _missed(sets: DataFrame, groups: DataFrame, similarity: float, sent) -> DataFrame:
+    """Pairs (u, v) of different groups that may have the similarity: none that has it is left out.
+
+    Two such sets share a shingle of their prefixes. Rows of a shingle that over ``SHORT_RUN`` documents may have carry parity
+    bits, so that pairs are tested where they meet and few leave. Shards of over ``JOIN_MOST`` rows are counted by shingle; a
+    shingle of over ``JOIN_ROWS`` sets is dealt as pairs of tiles: of the sets outside its largest group with all others.
+    """
+    shards = max(1, -(-(sets.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * JOIN_ROWS)))
+    dealt_schema = pa.schema([("shard", pa.int32()), ("token", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("parity", pa.binary())])
+    pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second = batch.column("first").to_pylist(), batch.column("second").to_pylist()
-            most = (batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-6
-            widths, fine = np.array([(len(a), len(b)) for a, b in zip(first, second)]).reshape(-1, 2), np.zeros(batch.num_rows, bool)
-            for w in np.unique(widths, axis=0):
-                here = np.flatnonzero((widths == w).all(axis=1))
-                x, y = (np.frombuffer(b"".join(side[k] for k in here), "<u8").reshape(len(here), -1) for side in (first, second))
-                while x.shape[1] != y.shape[1]:
-                    if x.shape[1] < y.shape[1]:
-                        x, y = y, x
-                    half = x.shape[1] // 2
-                    x = x[:, :half] ^ x[:, half:]
-                fine[here] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[here]
-            yield batch.select(["u", "v"]).filter(pa.array(fine))
+            length = batch.column("length").to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), length)
+            for a in range(0, len(of), 500_000):  # parity bits are repeated per shingle: bounded parts
+                part = of[a:a + 500_000]
+                some = batch.slice(part[0], part[-1] - part[0] + 1)
+                tokens = np.frombuffer(b"".join(some.column("prefix").to_pylist()), "<u8")
+                skip = a - int((np.cumsum(length) - length)[part[0]])
+                tokens = tokens[skip:skip + len(part)]
+                place = np.arange(a, a + len(part)) - (np.cumsum(length) - length)[part]
+                rare = sent.value[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] <= SHORT_RUN
+                shard = (_mixed(tokens, 1)[:, 0] % np.uint64(shards)).astype(np.int32)
+                yield rows(dealt_schema, shard=shard, token=tokens.view(np.int64), place=place.astype(np.int32), parity=batch.column("parity").take(pa.array(part, mask=rare)),
+                           **{c: batch.column(c).to_numpy()[part] for c in ("node", "root", "size")})
+
+    def leaf(held: pa.Table) -> pa.Table:
+        u, v = _Run(held, similarity).pairs()
+        return pa.table({"u": u, "v": v}, schema=pair)
 
     named = sets.withColumnRenamed("doc_id", "node")
-    tokens = named.join(groups.toDF("node", "root"), "node").select("node", "root", "size", "prefix", F.expr("length(prefix) div 8 AS length"))
-    dealt = tokens.mapInArrow(deal, "shard int, token bigint, node bigint, root bigint, size int")
-    pairs = dealt.groupBy("shard").applyInArrow(leaf, "u bigint, v bigint").distinct()
-    bits = named.select("node", "size", "parity")
-    both = pairs.join(bits.toDF("u", "m", "first"), "u").join(bits.toDF("v", "n", "second"), "v")
-    return store(both.mapInArrow(possible, "u bigint, v bigint").distinct(), "missed-pairs")
+    tokens = store(named.join(groups.toDF("node", "root"), "node").select("node", "root", "size", "parity", "prefix", F.expr("length(prefix) div 8 AS length")), "prefixes")
+    dealt = tokens.mapInArrow(deal, "shard int, token bigint, node bigint, root bigint, size int, place int, parity binary")
+    large = dealt.groupBy("shard").count().filter(F.col("count") > JOIN_MOST).select("shard")
+    hot = store(dealt.join(large, "shard", "left_semi").groupBy("token", "root").count(), "hot-shingles")
+    sides = hot.groupBy("token").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("main")).filter(F.col("n") > JOIN_ROWS)
+    tiles = lambda n: F.ceil(n / JOIN_ROWS).cast("int")
+    sides = store(sides.select("token", F.col("main.root").alias("main"), tiles(F.col("main.count")).alias("mains"), tiles(F.col("n") - F.col("main.count")).alias("others")), "hot-shingles")
+    if sides.isEmpty():
+        return store(dealt.groupBy("shard").applyInArrow(leaf, "u bigint, v bigint").distinct(), "missed-pairs")
+    pairs = dealt.join(sides, "token", "left_anti").groupBy("shard").applyInArrow(leaf, "u bigint, v bigint")
+    tile = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    own = dealt.join(sides.filter("others > 0"), "token").withColumn("is_main", F.col("root") == F.col("main"))
+    own = own.withColumn("tile", tile(F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+    meets = F.expr("""IF(is_main, transform(sequence(0, others - 1), a -> named_struct('a', a, 'b', tile, 'm', true)), concat(
+        transform(sequence(0, mains - 1), b -> named_struct('a', tile, 'b', b, 'm', true)),
+        transform(sequence(0, others - 1), b -> named_struct('a', least(b, tile), 'b', greatest(b, tile), 'm', false))))""")
+    met = own.withColumn("task", F.explode(meets)).select("task", *dealt.columns)
+    return store(pairs.union(met.groupBy("token", "task").applyInArrow(leaf, "u bigint, v bigint")).distinct(), "missed-pairs")
 
 
 def _checked(docs: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -449,7 +572,7 @@ def _checked(docs: DataFrame, named: DataFrame, width: int, similarity: float) -
         for batch, texts in documents(batches):
             yield rows(schema, doc_id=batch.column("doc_id"), shingles=[np.unique(shingle_hashes(t, width)).tobytes() for t in texts])
 
-    held = store(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
+    held = store(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, shingles binary").distinct(), "shingle-sets")  # texts of one doc_id: any of them may link
     both = named.join(held.toDF("u", "first"), "u").join(held.toDF("v", "second"), "v")
     pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -462,4 +585,4 @@ def _checked(docs: DataFrame, named: DataFrame, width: int, similarity: float) -
                 fine.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(fine, pa.bool_()))
 
-    return both.mapInArrow(check, "u bigint, v bigint")
+    return both.mapInArrow(check, "u bigint, v bigint").distinct()
