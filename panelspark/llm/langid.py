@@ -51,6 +51,15 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def packed(texts: list[str]) -> np.ndarray:
+    """Presence vectors as bits, 4 KB a text."""
+    return np.concatenate([np.zeros((0, SLOTS // 8), np.uint8), *(np.packbits(presence([t]).astype(bool), axis=1) for t in texts)])
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
 def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Normalised presence kernel of the rows of two presence matrices."""
     size = np.sqrt(np.outer(x.sum(axis=1), z.sum(axis=1)))
@@ -58,18 +67,18 @@ def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Languages with the folded matrix ``weights`` (slots x languages) and ``bias``; fitted on texts or their presence vectors."""
+    """Languages with the folded matrix ``weights`` (slots x languages) and ``bias``; fitted on texts or on ``packed`` ones."""
 
     def __init__(self, texts: list[str] | np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        x = texts if isinstance(texts, np.ndarray) else presence(texts)
+        x = texts if isinstance(texts, np.ndarray) else packed(texts)
         self.languages = sorted(set(languages))
         y = np.array([[float(lang == own) for own in self.languages] for lang in languages])
         every = max(1, len(x) // landmarks)
-        z = x[::every][:landmarks]
+        z = unpacked(x[::every][:landmarks])
         values, vectors = np.linalg.eigh(kernel(z, z).astype(float))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        phi = np.concatenate([kernel(x[a:a + BATCH], z) @ root for a in range(0, len(x), BATCH)])
+        phi = np.concatenate([kernel(unpacked(x[a:a + BATCH]), z) @ root for a in range(0, len(x), BATCH)])
         self.bias = y.mean(axis=0)
         coefficients = np.linalg.solve(phi.T @ phi + ridge * len(x) / landmarks * np.eye(phi.shape[1]), phi.T @ (y - self.bias))
         self.weights = ((z / np.sqrt(np.maximum(z.sum(axis=1), 1))[:, None]).T @ (root @ coefficients)).astype(np.float32)
@@ -84,14 +93,15 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
-    """Presence vectors (as bits on the way) and languages of at most ``per_language`` texts of each language.
+    """Packed presence vectors and languages of at most ``per_language`` texts of each language.
 
     Rows are drawn by a hash of doc_id, half as many again as needed, before they are ranked, so a language that has most
     documents sends few. What reaches the driver is 4 KB a text, however long it is.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     share = F.lit(1.5 * per_language * (1 << 20)) / F.col("n")
-    drawn = known.select("doc_id", "lang", F.xxhash64("text").alias("name")).join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    counts = store(known.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")  # a row per language: its size decides the join
+    drawn = known.select("doc_id", "lang", F.xxhash64("text").alias("name")).join(counts, "lang")
     drawn = drawn.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share).drop("n").distinct()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "name")
     chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
@@ -99,12 +109,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarra
     texts = known.withColumn("name", F.xxhash64("text")).join(chosen, ["doc_id", "lang", "name"])
 
     def each(some: list[str]) -> list[tuple]:
-        return [(np.packbits(presence([t])[0].astype(bool)).tobytes() if has_letter(t) else None,) for t in some]
+        return [(packed([t]).tobytes() if has_letter(t) else None,) for t in some]
 
     marked = annotated(texts, each, "marks binary").filter("marks IS NOT NULL").select("place", "lang", "doc_id", "name", "marks").distinct()
     found = marked.toPandas().sort_values(["place", "lang", "doc_id", "name"])
-    x = np.array([np.unpackbits(np.frombuffer(m, np.uint8)) for m in found["marks"]], np.float32).reshape(-1, SLOTS)
-    return x, found["lang"].tolist()
+    return np.frombuffer(b"".join(found["marks"]), np.uint8).reshape(-1, SLOTS // 8), found["lang"].tolist()
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -121,7 +130,7 @@ def rejection_score(docs: DataFrame, model: Model | None) -> float:
     x, languages = sample(docs) if model is not None else (None, [])
     if not languages:
         return 0.0
-    s = model.scores(x)
+    s = np.concatenate([model.scores(unpacked(x[a:a + BATCH])) for a in range(0, len(x), BATCH)])
     right = np.array(model.languages)[s.argmax(axis=1)] == np.array(languages)
     return float(MARGIN * s.max(axis=1)[right].min()) if right.any() else 0.0
 
