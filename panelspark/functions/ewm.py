@@ -21,54 +21,47 @@ def _block_rows(alpha: float) -> int:
     return max(1, int(600 / -math.log1p(-alpha)))
 
 
-def ewm_scan(df: DataFrame, specs: dict[str, tuple[str, float]], s: Series = PANEL) -> DataFrame:
-    """Add ``{out: (input column, alpha)}``. Leading nulls are skipped; a null after the start repeats the last value."""
+Spec = tuple[str, float] | tuple[str, float, str]
+
+
+def ewm_scan(df: DataFrame, specs: dict[str, Spec], s: Series = PANEL) -> DataFrame:
+    """Add ``{out: (input column, alpha)}``. Leading nulls are skipped; a null after the start repeats the last value.
+
+    A third element names a column that is null exactly where the input is: recursions of one decay over such inputs
+    share their blocks, and with them a sort.
+    """
     return df if not specs else _combine(_partials(df, specs, s), specs, s, df.columns)
 
 
-def _names(out: str) -> tuple[str, str, str, str]:
-    return f"__{out}_n", f"__{out}_b", f"__{out}_j", f"__{out}_p"
+def _names(out: str, spec: Spec) -> tuple[str, str, str, str]:
+    known, rows = spec[-1] if len(spec) > 2 else spec[0], _block_rows(spec[1])
+    return f"__n_{known}", f"__b{rows}_{known}", f"__j{rows}_{known}", f"__{out}_p"
 
 
-def _partials(df: DataFrame, specs: dict[str, tuple[str, float]], s: Series) -> DataFrame:
-    counts = {}
-    for out, (x, _) in specs.items():
-        counts[_names(out)[0]] = F.count(F.col(x)).over(s.so_far()) - 1
-    df = df.withColumns(counts)
-    places = {}
-    for out, (_, alpha) in specs.items():
-        n, b, j, _p = _names(out)
-        rows = _block_rows(alpha)
+def _partials(df: DataFrame, specs: dict[str, Spec], s: Series) -> DataFrame:
+    counts, places, sums = {}, {}, {}
+    for out, spec in specs.items():
+        n, b, j, p = _names(out, spec)
+        rows, keep = _block_rows(spec[1]), 1.0 - spec[1]
+        counts[n] = F.count(F.col(n.removeprefix("__n_"))).over(s.so_far()) - 1
         places[b] = F.floor(F.col(n) / rows)
         places[j] = (F.col(n) - F.floor(F.col(n) / rows) * rows).cast("double")
-    df = df.withColumns(places)
-    sums = {}
-    for out, (x, alpha) in specs.items():
-        n, b, j, p = _names(out)
-        keep = 1.0 - alpha
-        keys = [F.col(k) for k in s.keys]
-        block = (Window.partitionBy(*keys, F.col(b)).orderBy(*s.order)
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        weight = F.when(F.col(n) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        scaled = F.when(F.col(x).isNotNull(), weight * F.col(x) * F.pow(F.lit(keep), -F.col(j)))
+        block = Window.partitionBy(*s.keys, b).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+        weight = F.when(F.col(n) == 0, F.lit(1.0)).otherwise(F.lit(spec[1]))
+        scaled = F.when(F.col(spec[0]).isNotNull(), weight * F.col(spec[0]) * F.pow(F.lit(keep), -F.col(j)))
         sums[p] = F.pow(F.lit(keep), F.col(j)) * F.sum(scaled).over(block)
-    return df.withColumns(sums)
+    return df.withColumns(counts).withColumns(places).withColumns(sums)
 
 
-def _combine(df: DataFrame, specs: dict[str, tuple[str, float]], s: Series, keep_columns: list[str]) -> DataFrame:
-    carries = {}
-    for out, (x, alpha) in specs.items():
-        n, b, j, p = _names(out)
-        rows = _block_rows(alpha)
-        ends = F.when((F.col(j) == rows - 1) & F.col(x).isNotNull(), F.col(p))
+def _combine(df: DataFrame, specs: dict[str, Spec], s: Series, keep_columns: list[str]) -> DataFrame:
+    carries, result = {}, {}
+    for out, spec in specs.items():
+        n, b, j, p = _names(out, spec)
+        ends = F.when((F.col(j) == _block_rows(spec[1]) - 1) & F.col(spec[0]).isNotNull(), F.col(p))
         carries[f"__{out}_c"] = F.last(ends, ignorenulls=True).over(s.so_far(before=True))
-    df = df.withColumns(carries)
-    result = {}
-    for out, (x, alpha) in specs.items():
-        n, b, j, p = _names(out)
-        decayed = F.pow(F.lit(1.0 - alpha), F.col(j) + 1) * F.coalesce(F.col(f"__{out}_c"), F.lit(0.0))
+        decayed = F.pow(F.lit(1.0 - spec[1]), F.col(j) + 1) * F.coalesce(F.col(f"__{out}_c"), F.lit(0.0))
         result[out] = F.when(F.col(n) >= 0, F.col(p) + decayed)
-    return df.withColumns(result).select(*keep_columns, *specs)
+    return df.withColumns(carries).withColumns(result).select(*keep_columns, *specs)
 
 
 def span_alpha(span: int) -> float:

@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+LINEAR = 40  # frames from here on are sums of running values, not recomputed row by row
+BLOCK = 25
+
 
 @dataclass(frozen=True)
 class Series:
@@ -42,15 +45,29 @@ class Series:
     def so_far(self, before: bool = False) -> WindowSpec:
         return self.spec.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
 
+    def known(self, x: Column, n: int, prior: bool = False) -> Column:
+        """How many of the last ``n`` values are known, as a difference of running counts."""
+        return self._since(F.count(x), n, prior)
+
+    def _since(self, aggregate: Column, n: int, prior: bool) -> Column:
+        """A running count or sum here less the one ``n`` rows ago: Spark keeps running frames, but goes over a moving one on every row."""
+        head = self.so_far(before=prior)
+        tail = self.spec.rowsBetween(Window.unboundedPreceding, -n - int(prior))
+        return aggregate.over(head) - F.coalesce(aggregate.over(tail), F.lit(0))
+
     def _roll(self, aggregate: Column, x: Column, n: int, least: int | None, prior: bool) -> Column:
-        frame = self.frame(n, prior)
-        return F.when(F.count(x).over(frame) >= (n if least is None else least), aggregate.over(frame))
+        return F.when(self.known(x, n, prior) >= (n if least is None else least), aggregate.over(self.frame(n, prior)))
 
     def mean(self, x: Column, n: int, least: int | None = None, prior: bool = False) -> Column:
-        return self._roll(F.avg(x), x, n, least, prior)
+        if n < LINEAR:
+            return self._roll(F.avg(x), x, n, least, prior)
+        return F.try_divide(self.total(x, n, least, prior), self.known(x, n, prior))
 
     def total(self, x: Column, n: int, least: int | None = None, prior: bool = False) -> Column:
-        return self._roll(F.sum(x), x, n, least, prior)
+        """Sum of the last ``n``. Wide frames difference running sums; over a key's rows that costs about rows x 1e-16 of the largest value."""
+        if n < LINEAR:
+            return self._roll(F.sum(x), x, n, least, prior)
+        return F.when(self.known(x, n, prior) >= (n if least is None else least), self._since(F.sum(x), n, prior))
 
     def highest(self, x: Column, n: int, least: int | None = None, prior: bool = False) -> Column:
         return self._roll(F.max(x), x, n, least, prior)
@@ -58,6 +75,15 @@ class Series:
     def lowest(self, x: Column, n: int, least: int | None = None, prior: bool = False) -> Column:
         return self._roll(F.min(x), x, n, least, prior)
 
+    def wide(self, pick, x: Column, block: Column, n: int, least: int | None = None, prior: bool = False) -> Column:
+        """Extreme of the last ``n`` values of ``x`` from ``block``, a column with that of its last ``BLOCK``: ``n / BLOCK`` lags.
+
+        ``pick`` is ``F.greatest`` or ``F.least``; both skip nulls, and overlapping blocks do no harm.
+        """
+        places = sorted({*range(0, n - BLOCK + 1, BLOCK), n - BLOCK})
+        values = [self.lag(block, o + int(prior)) if o + int(prior) else block for o in places]
+        return F.when(self.known(x, n, prior) >= (n if least is None else least), pick(*values) if len(values) > 1 else values[0])
+
     def std(self, x: Column, n: int, population: bool = False, least: int | None = None) -> Column:
         return self._roll(F.stddev_pop(x) if population else F.stddev_samp(x), x, n, least, False)
 
@@ -65,13 +91,16 @@ class Series:
         return self._roll(F.percentile(x, F.lit(0.5)), x, n, least, False)
 
     def beta(self, y: Column, x: Column, n: int, least: int, population: bool = False) -> Column:
-        """Covariance over variance of ``x`` for the last ``n`` rows where both are known."""
-        frame = self.frame(n)
+        """Covariance over variance of ``x`` for the last ``n`` rows where both are known, from differences of running sums.
+
+        Both are changes around zero, so sums of products do not cancel.
+        """
         both = y.isNotNull() & x.isNotNull()
         y2, x2 = F.when(both, y), F.when(both, x)
-        cov = (F.covar_pop(y2, x2) if population else F.covar_samp(y2, x2)).over(frame)
-        var = (F.var_pop(x2) if population else F.var_samp(x2)).over(frame)
-        return F.when(F.count(x2).over(frame) >= least, F.try_divide(cov, var))
+        sx, sy, sxy, sxx = (self._since(F.sum(v), n, False) for v in (x2, y2, x2 * y2, x2 * x2))
+        known = self.known(x2, n)
+        var = sxx - F.try_divide(sx * sx, known)
+        return F.when(known >= max(least, 1 if population else 2), F.try_divide(sxy - F.try_divide(sx * sy, known), F.when(var > sxx * 1e-12, var)))
 
     def rank_in_window(self, x: Column, n: int) -> Column:
         """Percent rank (average ties) of the last value among its own last ``n``; needs all ``n``."""

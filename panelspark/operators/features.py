@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import clip, flag, holds, month_start, nonzero, pct, pivot_levels, ratio, week_friday, week_monday
 from ..functions.events import crossed_above, last_value_at, rows_since, segment
-from ..functions.ewm import blank_head, ewm_scan, span_alpha
-from ..functions.windows import PANEL as S, by_key
+from ..functions.ewm import Spec, blank_head, ewm_scan, span_alpha
+from ..functions.windows import BLOCK, PANEL as S, by_key
 
 
 def prices() -> list[Column]:
@@ -37,37 +37,82 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
+def _inputs() -> Thunks:
+    """Lags and short extremes that later stages read."""
+    C, H, L, O, V = prices()
+    return {
+        "r": lambda: S.row(),
+        "__v": lambda: V.cast("double"),
+        "__pc": lambda: S.lag(C), "__ppc": lambda: S.lag(C, 2), "__ph": lambda: S.lag(H), "__pl": lambda: S.lag(L), "__po": lambda: S.lag(O),
+        "__hb": lambda: S.highest(H, BLOCK, 1), "__lb": lambda: S.lowest(L, BLOCK, 1),
+        "__cbx": lambda: S.highest(C, BLOCK, 1), "__cbn": lambda: S.lowest(C, BLOCK, 1),
+    }
+
+
+def _changes() -> Thunks:
+    """Inputs of the recursions, and the breakout events that cut a key into stretches."""
+    C, H, L, O, V = prices()
+    pc = c("__pc")
+    change = C - pc
+    return {
+        "__d": lambda: change,
+        "__gain": lambda: F.when(change > 0, change).when(change.isNotNull(), 0.0),
+        "__loss": lambda: F.when(change < 0, -change).when(change.isNotNull(), 0.0),
+        "__tr": lambda: F.greatest(H - L, F.abs(H - pc), F.abs(L - pc)),
+        "hi_60_prior": lambda: S.wide(F.greatest, H, c("__hb"), 60, 30, prior=True),
+    }
+
+
+def _breakouts() -> Thunks:
+    C, H, L, O, V = prices()
+    return {"__brk": lambda: crossed_above(C, c("hi_60_prior"))}
+
+
+def _stretches() -> Thunks:
+    brk = c("__brk")
+    return {
+        "brk_level": lambda: last_value_at(c("hi_60_prior"), brk), "__seg": lambda: segment(brk),
+        "since_brk_60": lambda: rows_since(brk),
+    }
+
+
+def _inside_stretches() -> Thunks:
+    """Windows that start at each breakout; they need a sort of their own, so they come while rows are narrow."""
+    C, H, L, O, V = prices()
+    seg = Window.partitionBy("isin", "__seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return {
+        "low_since_brk": lambda: F.min(L).over(seg),
+        "closes_above_brk": lambda: F.sum(flag(C > c("brk_level"))).over(seg),
+    }
+
+
 def _base() -> Thunks:
-    """Lags, rolling extremes and averages: everything one window deep."""
+    """Rolling extremes and averages: everything one window deep."""
     C, H, L, O, V = prices()
-    volume = V.cast("double")
+    volume = c("__v")
     columns = {f"sma_{n}": (lambda n=n: S.mean(C, n)) for n in SMA_SPANS}
     columns |= {f"ret_{n}d": (lambda n=n: pct(C, S.lag(C, n))) for n in RETURN_SPANS}
     columns |= {
-        "r": lambda: S.row(),
-        "__v": lambda: volume,
-        "__pc": lambda: S.lag(C), "__ppc": lambda: S.lag(C, 2), "__ph": lambda: S.lag(H), "__pl": lambda: S.lag(L), "__po": lambda: S.lag(O),
         "__std20": lambda: S.std(C, 20, population=True),
         "mom_12_1": lambda: pct(S.lag(C, 22), S.lag(C, 252)),
-        "high_52w": lambda: S.highest(H, 250, 60),
-        "low_52w": lambda: S.lowest(L, 250, 60),
+        "high_52w": lambda: S.wide(F.greatest, H, c("__hb"), 250, 60),
+        "low_52w": lambda: S.wide(F.least, L, c("__lb"), 250, 60),
         "off_high_10": lambda: pct(C, S.highest(H, 10, 5)),
         "hi_20_prior": lambda: S.highest(H, 20, 10, prior=True),
-        "hi_60_prior": lambda: S.highest(H, 60, 30, prior=True),
-        "hi_250_prior": lambda: S.highest(H, 250, 60, prior=True),
+        "hi_250_prior": lambda: S.wide(F.greatest, H, c("__hb"), 250, 60, prior=True),
         "lo_20_prior": lambda: S.lowest(L, 20, 10, prior=True),
-        "base_hi_60": lambda: S.highest(H, 60, 40, prior=True),
-        "__base_lo": lambda: S.lowest(L, 60, 40, prior=True),
+        "base_hi_60": lambda: S.wide(F.greatest, H, c("__hb"), 60, 40, prior=True),
+        "__base_lo": lambda: S.wide(F.least, L, c("__lb"), 60, 40, prior=True),
         "lo7_prior": lambda: S.lowest(C, 7, prior=True),
         "hi7_prior": lambda: S.highest(C, 7, prior=True),
         "close_hi_20": lambda: S.highest(C, 20, prior=True),
-        "close_hi_500": lambda: S.highest(C, 500, prior=True),
+        "close_hi_500": lambda: S.wide(F.greatest, C, c("__cbx"), 500, prior=True),
         "close_pos": lambda: clip(ratio(C - L, nonzero(H - L)), 0, 1),
         "gap_pct": lambda: pct(O, S.lag(C)),
         "__span10": lambda: S.highest(H, 10) - S.lowest(L, 10),
         "__hi10": lambda: S.highest(H, 10),
         "__sma10v": lambda: S.mean(V, 10), "__sma40v": lambda: S.mean(V, 40), "__sma10vf": lambda: S.mean(volume, 10),
-        "base_depth": lambda: pct(C, S.highest(H, 40, 20)),
+        "base_depth": lambda: pct(C, S.wide(F.greatest, H, c("__hb"), 40, 20)),
         "turnover_est": lambda: F.coalesce(c("turnover"), C * V),
         "vol_sma_20": lambda: S.mean(V, 20, 10),
         "__low3": lambda: S.lowest(L, 3, 1),
@@ -92,10 +137,6 @@ def _second() -> Thunks:
     change = C - pc
     body = F.abs(C - O)
     columns = {
-        "__d": lambda: change,
-        "__gain": lambda: F.when(change > 0, change).when(change.isNotNull(), 0.0),
-        "__loss": lambda: F.when(change < 0, -change).when(change.isNotNull(), 0.0),
-        "__tr": lambda: F.greatest(H - L, F.abs(H - pc), F.abs(L - pc)),
         "bb_mid": lambda: mid, "bb_upper": lambda: mid + sd * 2, "bb_lower": lambda: mid - sd * 2,
         "bb_bandwidth": lambda: ratio((mid + sd * 2) - (mid - sd * 2), mid) * 100,
         "bb_pct_b": lambda: ratio(C - (mid - sd * 2), (mid + sd * 2) - (mid - sd * 2)),
@@ -128,18 +169,17 @@ def _second() -> Thunks:
         "two_up": lambda: flag((C > pc) & (pc > c("__ppc"))),
         "pb_days": lambda: rows_since(H >= c("__hi10")),
         "pb_vol_dry": lambda: ratio(c("__v3"), S.lag(c("__sma10vf"), 3)),
-        "__brk": lambda: crossed_above(C, c("hi_60_prior")),
-        "range_500_pct": lambda: pct(c("close_hi_500"), S.lowest(C, 500, prior=True)),
+        "range_500_pct": lambda: pct(c("close_hi_500"), S.wide(F.least, C, c("__cbn"), 500, prior=True)),
     }
     return columns
 
 
-def _scans() -> dict[str, tuple[str, float]]:
+def _scans() -> dict[str, Spec]:
     """Exponential recursions: output -> (input column, decay)."""
     specs = {f"__ema_{n}": ("adj_close", span_alpha(n)) for n in EMA_SPANS}
     return specs | {
-        "__gain14": ("__gain", 1 / 14), "__loss14": ("__loss", 1 / 14),
-        "__gain2": ("__gain", 1 / 2), "__loss2": ("__loss", 1 / 2),
+        "__gain14": ("__gain", 1 / 14, "__d"), "__loss14": ("__loss", 1 / 14, "__d"),
+        "__gain2": ("__gain", 1 / 2, "__d"), "__loss2": ("__loss", 1 / 2, "__d"),
         "__atr": ("__tr", 1 / 14), "__vema": ("__v", span_alpha(21)),
     }
 
@@ -204,11 +244,14 @@ def _width_rank(df: DataFrame) -> DataFrame:
     """
     month = c("__m_per")
     turn = F.coalesce(F.lag(month).over(S.spec) != month, F.lit(True))
-    # The width is constant inside a month, so the month's first row carries it.
-    seen = F.collect_list(F.when(turn, F.struct(c("m_cpr_width").alias("w")))).over(S.frame(12 * 31 + 31))
-    df = df.withColumn("__widths", F.slice(seen, F.greatest(F.size(seen) - 11, F.lit(1)), 12))
+    # The width is constant inside a month, so the month's first row carries it. The frame is the last 12 months by their
+    # number: it changes once a month, so its 12 values are gathered once a month and not for every row.
+    df = df.withColumns({"__turn": turn, "__width_of": F.when(turn, F.struct(c("m_cpr_width").alias("w")))})
+    df = df.withColumn("__month_no", F.sum(F.col("__turn").cast("int")).over(S.so_far()))
+    last12 = Window.partitionBy("isin").orderBy("__month_no").rangeBetween(-11, 0)
+    df = df.withColumn("__widths", F.sort_array(F.collect_list(F.when(c("__turn"), F.struct(c("__month_no").alias("k"), c("__width_of.w").alias("w")))).over(last12)))
     earlier = F.slice(c("__widths"), 1, F.size("__widths") - 1)
-    smaller = F.size(F.filter(earlier, lambda x: x["w"] < c("m_cpr_width")))
+    smaller = F.size(F.filter(earlier, lambda x: x["w"] < c("m_cpr_width")))  # by month, this one last
     known = F.size(F.filter(c("__widths"), lambda x: x["w"].isNotNull()))
     rank = F.when((known >= 6) & (F.size(earlier) > 0), smaller / F.size(earlier))
     return df.withColumn("m_cpr_width_rank", rank)
@@ -233,8 +276,7 @@ def _derived() -> Thunks:
         "doji": lambda: flag(c("body_pct") <= 0.1),
         "rsi_turn_up": lambda: flag(c("rsi_14") > S.lag(c("rsi_14"))),
         "since_spring": lambda: rows_since(spring), "spring_low": lambda: last_value_at(L, spring),
-        "brk_level": lambda: last_value_at(c("hi_60_prior"), brk), "__seg": lambda: segment(brk),
-        "since_brk_60": lambda: rows_since(brk), "brk_vol": lambda: last_value_at(vol_vs, brk),
+        "brk_vol": lambda: last_value_at(vol_vs, brk),
         "above_m_p": lambda: flag(C > c("m_p")),
         "__r1vol": lambda: crossed_above(C, c("m_r1")) & holds(c("__v") > c("vol_ema_21")),
         "levels_basis": lambda: F.lit("adjusted"),
@@ -249,7 +291,6 @@ def _derived() -> Thunks:
 def _last() -> Thunks:
     """Event segments and everything that reads a derived column."""
     C, H, L, O, V = prices()
-    seg = Window.partitionBy("isin", "__seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     prior15 = S.highest(c("dist_ema_21"), 15, 5, prior=True)
     columns = {
         "ext_ema21_15": lambda: prior15,
@@ -259,8 +300,6 @@ def _last() -> Thunks:
         "contract_ratio": lambda: ratio(c("contract_c"), c("contract_a")),
         "any_reversal": lambda: flag((c("bull_engulf") == 1) | (c("hammer") == 1) | (c("close_above_prev_high") == 1)),
         "dist_spring_low": lambda: pct(C, c("spring_low")), "atr_to_spring": lambda: ratio(C - c("spring_low"), c("atr_14")),
-        "low_since_brk": lambda: F.min(L).over(seg),
-        "closes_above_brk": lambda: F.sum(flag(C > c("brk_level"))).over(seg),
         "since_r1_vol_breakout": lambda: rows_since(c("__r1vol")),
     }
     columns |= {f"since_{n}_cross": (lambda n=n: rows_since(c(f"__x_{n}"))) for n in CROSS_LEVELS}
@@ -282,7 +321,8 @@ def build_features(bars: DataFrame, wanted: Iterable[str] | None = None, min_bar
     Keys with fewer than ``min_bars`` bars are dropped. ``wanted`` limits the panel to some feature
     columns: stages are resolved backwards, so only what those columns read is planned.
     """
-    stages = [_base(), _second(), _recursive(), _derived(), _last(), _cushion()]
+    stages = [_inputs(), _changes(), _breakouts(), _stretches(), _inside_stretches(), _recursive(), _base(), _second(), _derived(), _last(), _cushion()]
+    scanned, levelled = 5, 6  # the recursions come before stage 5, period levels before stage 6: sorts of their own, on narrow rows
     scans = _scans()
     everything = wanted is None
     need = set() if everything else set(wanted) | {"r"}
@@ -290,10 +330,10 @@ def build_features(bars: DataFrame, wanted: Iterable[str] | None = None, min_bar
     for i, stage in reversed(list(enumerate(stages))):
         made = {n: thunk() for n, thunk in stage.items() if everything or n in need}
         need |= _names(made.values())
-        if i == 2:  # the recursions sit between the second stage and this one
+        if i == scanned:
             scans = {o: spec for o, spec in scans.items() if everything or o in need}
-            need |= {x for x, _ in scans.values()}
-        if i == 3:
+            need |= {x for spec in scans.values() for x in (spec[0], spec[-1]) if isinstance(x, str)}
+        if i == levelled:
             weekly = everything or any(n.startswith("w_") for n in need)
             ranked = everything or "m_cpr_width_rank" in need
             monthly = everything or ranked or any(n.startswith("m_") for n in need)
@@ -302,9 +342,9 @@ def build_features(bars: DataFrame, wanted: Iterable[str] | None = None, min_bar
 
     df = by_key(bars)
     for i, made in enumerate(chosen):
-        if i == 2:
+        if i == scanned:
             df = ewm_scan(df, scans)
-        if i == 3:
+        if i == levelled:
             df = period_levels(df, week_monday(c("date")), "w") if weekly else df
             df = period_levels(df, month_start(c("date")), "m") if monthly else df
             df = _three_weeks(df) if tight else df

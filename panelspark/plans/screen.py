@@ -39,8 +39,8 @@ def screen_panel(bars: DataFrame, rules: Sequence[rule_ops.Rule], index_bars: Da
     panel = build_features(bars, wanted)
     if jump_pct is not None:
         panel = quality.with_contamination(panel, actions, jump_pct)
-    for name, expression in fresh.items():
-        panel = market.add_fresh_flags(panel, {name: expression})
+    if fresh:  # none of them reads another fresh flag, so all share one stage
+        panel = market.add_fresh_flags(panel, fresh)
     if ranked:
         panel = cross.add_relative_strength(panel)
     if gated:
