@@ -109,10 +109,13 @@ def open_trades(panel: DataFrame, signals: DataFrame, exit: Exit) -> DataFrame:
         return df.withColumns({"risk": F.lit(None).cast("double"), "risk_pct": F.lit(None).cast("double")})
     df = df.withColumn("risk", _stop_distance(exit, F.col("entry")))
     df = df.withColumn("risk_pct", F.col("risk") / F.col("entry") * 100)
-    x = F.col("risk_pct")
+    return df.filter(_accepted(exit, F.col("risk_pct")))
+
+
+def _accepted(exit: Exit, x: Column) -> Column:
     low = (x >= exit.risk_min) if exit.inclusive else (x > exit.risk_min)
     high = (x <= exit.risk_max) if exit.inclusive else (x < exit.risk_max)
-    return df.filter(holds(low & high))
+    return holds(low & high)
 
 
 def first_touch(panel: DataFrame, signals: DataFrame, exit: Exit, excursions: bool = False) -> DataFrame:
@@ -121,119 +124,168 @@ def first_touch(panel: DataFrame, signals: DataFrame, exit: Exit, excursions: bo
     ``signals`` are rows of the positioned panel and carry ``sid``, a unique id.
     """
     trades = open_trades(panel, signals, exit)
-    brought = {*PATH, "last_r", "next_open", *exit.extra}
-    asked = {"atr_pct", "low5_prior", *re.findall(r"\w+", exit.trigger or "")} - brought
+    asked = _asked(exit)
     steps = ["sid", "isin", "r", "entry", "risk"]
     # Only what the exit reads is multiplied by the horizon and shuffled; the signal's other columns meet the outcome by sid.
     narrow = trades.select(*steps, *[c for c in trades.columns if c in asked and c not in steps])
-    events = _events(future_path(panel, narrow, exit.cap, exit.extra), exit, excursions)
+    path = _walked(future_path(panel, narrow, exit.cap, exit.extra), [exit], excursions)
+    path, events = _events(path, exit, excursions)
     made = ("entry", "risk", "risk_pct")
     kept = trades.select("sid", *[c for c in signals.columns if c not in ("sid", *made)], *made)
-    return _price(kept.join(events, "sid"), exit, excursions)
+    out = kept.join(path.groupBy("sid").agg(*[e.alias(n) for n, e in events.items()]), "sid")
+    found = _outcome(exit, excursions, {n: F.col(n) for n in events})
+    first = {n: found.pop(n) for n in ("scaled", "exit", "bars", "why", "gross") if n in found}
+    return out.withColumns(first).filter(holds(F.col("exit") > 0)).withColumns(found).drop(*events)
 
 
-def _events(path: DataFrame, exit: Exit, excursions: bool) -> DataFrame:
-    """Per sid: the first row of each kind of exit and the last row of the path."""
-    high, low, close, opn = (F.col(n) for n in ("adj_high", "adj_low", "adj_close", "adj_open"))
-    entry, risk, k = F.col("entry"), F.col("risk"), F.col("k")
-    is_last = (F.col("r") + k) >= F.col("last_r")
-    walk = Window.partitionBy("sid").orderBy("k")
-    so_far, before = walk.rowsBetween(Window.unboundedPreceding, 0), walk.rowsBetween(Window.unboundedPreceding, -1)
+def many_touches(panel: DataFrame, signals: DataFrame, cells: dict[str, Exit], excursions: bool = False,
+                 only: dict[str, Column] | None = None) -> DataFrame:
+    """``first_touch`` of the same signals under several exits, stacked with a ``cell`` column: one path for all of them.
+
+    The path is as long as the longest cap and carries the risk of every cell; one aggregate takes the first events of all
+    cells, and a row per cell leaves it. ``only`` limits a cell to the signals that meet a condition.
+    """
+    only = only or {}
+    entry = F.col("next_open")
+    trades = signals.withColumn("entry", entry).filter((F.col("r") < F.col("last_r")) & holds(entry > 0))
+    marks = {}
+    for i, (name, exit) in enumerate(cells.items()):
+        risk = F.lit(None).cast("double") if exit.stop is None else _stop_distance(exit, F.col("entry"))
+        marks |= {f"risk_{i}": risk, f"ok_{i}": holds(only.get(name, F.lit(True))) & (F.lit(True) if exit.stop is None else _accepted(exit, risk / F.col("entry") * 100))}
+    trades = trades.withColumns(marks).filter(" OR ".join(f"ok_{i}" for i in range(len(cells))))
+    asked, extra = set().union(*map(_asked, cells.values())), list(dict.fromkeys(e for x in cells.values() for e in x.extra))
+    steps = ["sid", "isin", "r", "entry", *marks]
+    narrow = trades.select(*steps, *[c for c in trades.columns if c in asked - set(extra) and c not in steps])
+    path = _walked(future_path(panel, narrow, max(x.cap for x in cells.values()), extra), list(cells.values()), excursions)
+    events: dict[str, Column] = {}
+    for i, exit in enumerate(cells.values()):
+        path, own = _events(path, exit, excursions, f"_{i}")
+        inside = F.col(f"ok_{i}") & (F.col("k") <= exit.cap)
+        events |= {n: (F.max if n.startswith("__end") else F.min)(F.when(inside, e)) for n, e in own.items()}
+    kept = trades.select("sid", *[c for c in signals.columns if c not in ("sid", "entry", "risk", "risk_pct")], "entry", *marks)
+    out = kept.join(path.groupBy("sid").agg(*[e.alias(n) for n, e in events.items()]), "sid")
+    rows = []
+    for i, (name, exit) in enumerate(cells.items()):
+        risk = F.col(f"risk_{i}")
+        found = _outcome(exit, excursions, {n.removesuffix(f"_{i}"): F.col(n) for n in events if n.endswith(f"_{i}")}, risk, risk / F.col("entry") * 100)
+        columns = {"cell": F.lit(name), "risk": risk, "risk_pct": risk / F.col("entry") * 100, "scaled": F.lit(None).cast("boolean"), **found}
+        rows.append(F.when(F.col(f"ok_{i}") & holds(found["exit"] > 0), F.struct(*[x.alias(n) for n, x in columns.items()])))
+    names = [c for c in kept.columns if c not in marks]
+    return out.select(*names, F.explode(F.array_compact(F.array(*rows))).alias("__o")).select(*names, "__o.*")
+
+
+def _asked(exit: Exit) -> set[str]:
+    """The signal's columns that an exit reads on its path."""
+    return {"atr_pct", "low5_prior", *re.findall(r"\w+", exit.trigger or "")} - {*PATH, "last_r", "next_open", *exit.extra}
+
+
+def _walked(path: DataFrame, exits: Sequence[Exit], excursions: bool) -> DataFrame:
+    """The path with what several exits read: range in price, running low and high, peak."""
+    low, high, entry = F.col("adj_low"), F.col("adj_high"), F.col("entry")
     path = path.withColumn("atr_abs", F.col("atr_pct") / 100 * entry if "atr_pct" in path.columns else F.lit(None).cast("double"))
-    if excursions or exit.manage or (exit.trigger and "peak" in exit.trigger):
+    if excursions or any(x.manage or (x.trigger and "peak" in x.trigger) for x in exits):
+        so_far = Window.partitionBy("sid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
         path = path.withColumns({"run_low": F.min(low).over(so_far), "run_high": F.max(high).over(so_far)})
         path = path.withColumn("peak", F.greatest(entry, F.col("run_high")))
+    return path
 
-    stop = entry - risk
-    level = stop
+
+def _events(path: DataFrame, exit: Exit, excursions: bool, tag: str = "") -> tuple[DataFrame, dict[str, Column]]:
+    """The path with the exit's stop level, and its events: the first row of each kind and the last row (min and max with a tag: their arguments)."""
+    high, low, close, opn = (F.col(n) for n in ("adj_high", "adj_low", "adj_close", "adj_open"))
+    entry, risk, k = F.col("entry"), F.col("risk" + tag), F.col("k")
+    is_last = (F.col("r") + k) >= F.col("last_r")
+    walk = Window.partitionBy("sid").orderBy("k")
+    so_far, before = walk.rowsBetween(Window.unboundedPreceding, 0), walk.rowsBetween(Window.unboundedPreceding, -1)
+    level = stop = entry - risk
     if exit.manage:
         one_r = entry + risk
         traded = F.when(high >= one_r, k)
         # +1R must have traded on an earlier row before a raised stop is live.
-        path = path.withColumns({"__armed": F.min(traded).over(so_far).isNotNull(),
-                                 "__armed_before": F.min(traded).over(before).isNotNull(),
-                                 "__half_px": F.when(high >= one_r, F.greatest(opn, one_r))})
+        path = path.withColumns({f"__armed{tag}": F.min(traded).over(so_far).isNotNull(),
+                                 f"__armed_before{tag}": F.min(traded).over(before).isNotNull(),
+                                 f"__half_px{tag}": F.when(high >= one_r, F.greatest(opn, one_r))})
         if exit.manage == "breakeven":
-            raised = F.when(F.col("__armed_before"), entry)
+            raised = F.when(F.col(f"__armed_before{tag}"), entry)
         elif exit.manage == "half":
-            raised = F.max(F.when(F.col("__armed"), F.col("peak") - F.col("atr_abs") * 2)).over(before)
+            raised = F.max(F.when(F.col(f"__armed{tag}"), F.col("peak") - F.col("atr_abs") * 2)).over(before)
         else:
-            raised = F.max(F.when(F.col("__armed_before"), F.col("low5_prior"))).over(so_far)
+            raised = F.max(F.when(F.col(f"__armed_before{tag}"), F.col("low5_prior"))).over(so_far)
         level = F.greatest(stop, raised)
-    path = path.withColumn("__stop", level)
+    path = path.withColumn(f"__stop{tag}", level)
 
     live = k > exit.stop_from
     row = F.struct(k.alias("k"), opn.alias("o"), close.alias("c"), F.col("next_open").alias("no"), is_last.alias("last"),
-                   F.col("__stop").alias("s"), *([F.col("run_low").alias("lo"), F.col("run_high").alias("hi")] if excursions else []))
-    events = {"__end": F.max(row)}
+                   F.col(f"__stop{tag}").alias("s"), *([F.col("run_low").alias("lo"), F.col("run_high").alias("hi")] if excursions else []))
+    events = {"__end": row}
     if exit.stop is not None:
-        touched = (low <= F.col("__stop")) if exit.stop_on == "low" else (close < F.col("__stop"))
+        touched = (low <= F.col(f"__stop{tag}")) if exit.stop_on == "low" else (close < F.col(f"__stop{tag}"))
         if exit.stop_on == "close" and exit.on_last == "ignore":
             live = live & ~is_last
-        events["__s"] = F.min(F.when(holds(touched & live), row))
+        events["__s"] = F.when(holds(touched & live), row)
     if exit.target is not None:
-        events["__t"] = F.min(F.when(holds(high >= entry + risk * exit.target), row))
+        events["__t"] = F.when(holds(high >= entry + risk * exit.target), row)
     if exit.trigger is not None:
         fires = holds(F.expr(exit.trigger))
         if exit.on_last == "ignore":
             fires = fires & ~is_last
-        events["__x"] = F.min(F.when(fires, row))
+        events["__x"] = F.when(fires, row)
     if exit.manage == "half":
-        events["__h"] = F.min(F.when(F.col("__half_px").isNotNull(), F.struct(k.alias("k"), F.col("__half_px").alias("p"))))
-    return path.groupBy("sid").agg(*[e.alias(n) for n, e in events.items()])
+        events["__h"] = F.when(F.col(f"__half_px{tag}").isNotNull(), F.struct(k.alias("k"), F.col(f"__half_px{tag}").alias("p")))
+    if tag:
+        return path, {n + tag: e for n, e in events.items()}
+    return path, {n: (F.max if n == "__end" else F.min)(e) for n, e in events.items()}
 
 
-def _price(out: DataFrame, exit: Exit, excursions: bool) -> DataFrame:
+def _outcome(exit: Exit, excursions: bool, event: dict[str, Column], risk: Column | None = None, risk_pct: Column | None = None) -> dict[str, Column]:
+    """Exit price, bars, reason and returns from the first events of a trade."""
     far = F.lit(10**9)
-    entry, risk = F.col("entry"), F.col("risk")
+    entry, end = F.col("entry"), event["__end"]
+    risk, pct_at_risk = (F.col("risk"), F.col("risk_pct")) if risk is None else (risk, risk_pct)
 
     def at(name: str) -> Column:
-        return F.coalesce(F.col(name)["k"], far) if name in out.columns else far
+        return F.coalesce(event[name]["k"], far) if name in event else far
 
-    ks, kt, kx, end = at("__s"), at("__t"), at("__x"), F.col("__end")
+    ks, kt, kx = at("__s"), at("__t"), at("__x")
     first = F.least(ks, kt, kx)
     stopped, won = (ks == first) & (ks < far), (kt == first) & (kt < far) & (ks != first)
     fired = (kx == first) & (kx < far) & ~stopped & ~won
 
-    def next_open(event: Column) -> tuple[Column, Column]:
+    def next_open(x: Column) -> tuple[Column, Column]:
         """Fill at the next open; on a key's last row there is none."""
-        last_fill = event["o"] if exit.on_last == "open" else event["c"]
-        return F.when(event["last"], last_fill).otherwise(event["no"]), F.when(event["last"], event["k"]).otherwise(event["k"] + 1)
+        last_fill = x["o"] if exit.on_last == "open" else x["c"]
+        return F.when(x["last"], last_fill).otherwise(x["no"]), F.when(x["last"], x["k"]).otherwise(x["k"] + 1)
 
     price, steps, why = end["c"], end["k"], F.lit("time")
     incl = end
     if exit.trigger is not None:
-        p, n = next_open(F.col("__x"))
+        p, n = next_open(event["__x"])
         price, steps, why = F.when(fired, p).otherwise(price), F.when(fired, n).otherwise(steps), F.when(fired, exit.why).otherwise(why)
-        incl = F.when(fired, F.col("__x")).otherwise(incl)
+        incl = F.when(fired, event["__x"]).otherwise(incl)
     if exit.target is not None:
         goal = entry + risk * exit.target
-        price = F.when(won, F.greatest(F.col("__t")["o"], goal)).otherwise(price)
+        price = F.when(won, F.greatest(event["__t"]["o"], goal)).otherwise(price)
         steps, why = F.when(won, kt).otherwise(steps), F.when(won, "target").otherwise(why)
-        incl = F.when(won, F.col("__t")).otherwise(incl)
+        incl = F.when(won, event["__t"]).otherwise(incl)
     if exit.stop is not None:
-        event = F.col("__s")
-        if exit.stop_on == "close":
-            p, n = next_open(event)
-        else:
-            p, n = F.least(event["o"], event["s"]), event["k"]
-        label = F.when(event["s"] > entry - risk, "tstop").otherwise("stop") if exit.manage else F.lit("stop")
+        x = event["__s"]
+        p, n = next_open(x) if exit.stop_on == "close" else (F.least(x["o"], x["s"]), x["k"])
+        label = F.when(x["s"] > entry - risk, "tstop").otherwise("stop") if exit.manage else F.lit("stop")
         price, steps, why = F.when(stopped, p).otherwise(price), F.when(stopped, n).otherwise(steps), F.when(stopped, label).otherwise(why)
-        incl = F.when(stopped, event).otherwise(incl)
+        incl = F.when(stopped, x).otherwise(incl)
     gross = (price / entry - 1) * 100
+    found = {}
     if exit.manage == "half":
-        exit_k = F.least(first, end["k"])
-        same_row = (stopped | won) & (F.least(ks, kt) == F.col("__h")["k"])
-        scaled = holds(F.col("__h")["k"] <= exit_k) & ~holds(same_row)
-        out = out.withColumn("scaled", scaled)
-        gross = F.when(scaled, gross / 2 + (F.col("__h")["p"] / entry - 1) * 50).otherwise(gross)
-    out = out.withColumns({"exit": price, "bars": steps, "why": why, "gross": gross})
-    out = out.filter(holds(F.col("exit") > 0))
-    columns = {"net": F.col("gross") - exit.cost, "exit_r": F.col("r") + F.col("bars"), "r_multiple": ratio(F.col("gross"), F.col("risk_pct"))}
+        half = event["__h"]
+        same_row = (stopped | won) & (F.least(ks, kt) == half["k"])
+        found["scaled"] = holds(half["k"] <= F.least(first, end["k"])) & ~holds(same_row)
+        gross = F.when(found["scaled"], gross / 2 + (half["p"] / entry - 1) * 50).otherwise(gross)
+    found |= {"exit": price, "bars": steps, "why": why, "gross": gross, "net": gross - exit.cost, "exit_r": F.col("r") + steps,
+              "r_multiple": ratio(gross, pct_at_risk)}
     if excursions:
-        columns["mae"] = (F.least(incl["lo"], F.col("exit")) / entry - 1) * 100
-        columns["mfe"] = (F.greatest(incl["hi"], F.col("exit")) / entry - 1) * 100
-    return out.withColumns(columns).drop("__end", "__s", "__t", "__x", "__h")
+        found["mae"] = (F.least(incl["lo"], price) / entry - 1) * 100
+        found["mfe"] = (F.greatest(incl["hi"], price) / entry - 1) * 100
+    return found
 
 
 def one_open_per_key(trades: DataFrame, by: Sequence[str] = ("isin",), start: str = "r", stop: str = "exit_r",
@@ -305,16 +357,7 @@ def with_sessions(trades: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def grid(panel: DataFrame, signals: DataFrame, cells: dict[str, Exit], non_overlapping: bool = True) -> DataFrame:
-    """Outcomes of the same signals under several exits, stacked with a ``cell`` column.
-
-    The cells are a short driver-side list; each is an independent branch over the same panel and shares
-    its exchange on the key.
-    """
-    parts = None
-    for name, exit in cells.items():
-        trades = first_touch(panel, signals, exit, excursions=True)
-        trades = one_open_per_key(cut_lineage(trades)) if non_overlapping else trades
-        part = trades.select("sid", "isin", "date", "r", "entry", "exit", "exit_r", "bars", "why", "net", "risk_pct",
-                             "r_multiple", "mae", "mfe").withColumn("cell", F.lit(name))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Outcomes of the same signals under several exits, stacked with a ``cell`` column; one path serves all cells."""
+    trades = many_touches(panel, signals, cells, excursions=True).select(
+        "sid", "isin", "date", "r", "entry", "exit", "exit_r", "bars", "why", "net", "risk_pct", "r_multiple", "mae", "mfe", "cell")
+    return one_open_per_key(cut_lineage(trades), ("isin", "cell")) if non_overlapping else trades

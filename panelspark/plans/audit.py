@@ -25,17 +25,11 @@ def fresh_signals(states: DataFrame, quiet: int = QUIET) -> DataFrame:
 
 
 def family_trades(panel: DataFrame, signals: DataFrame, families: dict[str, oc.Exit]) -> DataFrame:
-    """Outcomes of fresh signals under the exit of their rule's family; watchlist rules do not trade."""
-    family = {n: f for f, names in catalogue.FAMILY.items() for n in names}
-    parts = None
-    for name, exit in families.items():
-        mine = [r for r, f in family.items() if f == name]
-        chosen = signals.filter(F.col("rule").isin(mine)) if mine else None
-        if chosen is None:
-            continue
-        part = oc.first_touch(panel, chosen, exit).select("sid", "rule", "isin", "date", "r", "entry", "exit", "exit_r", "bars", "why", "net", "rs_rank", F.lit(name).alias("family"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Outcomes of fresh signals under the exit of their rule's family, on one path; watchlist rules do not trade."""
+    only = {f: F.col("rule").isin([n for n in names]) for f, names in catalogue.FAMILY.items() if f in families}
+    cells = {f: exit for f, exit in families.items() if f in only}
+    trades = oc.many_touches(panel, signals, cells, only=only)
+    return trades.select("sid", "rule", "isin", "date", "r", "entry", "exit", "exit_r", "bars", "why", "net", "rs_rank", F.col("cell").alias("family"))
 
 
 def strategy_audit(panel: DataFrame, rules: Sequence[ro.Rule], families: dict[str, oc.Exit] | None = None, slots: int = 10,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -293,9 +294,10 @@ register("T13_tagged_trades", KEY + "net:f3 rs_rank:n atr_pct:f4 vol_ratio:f4 mk
 def _regret(s, d):
     """Stopped trades that the unstopped baseline closed with a gain."""
     panel = positioned(s, d)
-    base = oc.first_touch(panel, signals(panel), oc.REVERSAL).select("sid", F.col("net").alias("base_net"))
-    tight = oc.first_touch(panel, signals(panel), oc.Exit(("pct", 10.0), trigger="adj_close > hi7_prior", why="reversal", cap=20, cost=0.3, on_last="close", extra=("hi7_prior",)))
-    return tight.join(base, "sid").groupBy("why").agg(F.count(F.lit(1)).alias("n"), stats.share(F.col("base_net") > 0).alias("would_have_won"))
+    tight = oc.Exit(("pct", 10.0), trigger="adj_close > hi7_prior", why="reversal", cap=20, cost=0.3, on_last="close", extra=("hi7_prior",))
+    both = oc.many_touches(panel, signals(panel), {"base": oc.REVERSAL, "tight": tight})
+    paired = both.groupBy("sid").agg(*[F.max(F.when(F.col("cell") == c, F.col(x))).alias(n) for n, c, x in (("why", "tight", "why"), ("base_net", "base", "net"))])
+    return paired.filter("why IS NOT NULL AND base_net IS NOT NULL").groupBy("why").agg(F.count(F.lit(1)).alias("n"), stats.share(F.col("base_net") > 0).alias("would_have_won"))
 
 
 register("T14_regret", "why:s n:i would_have_won:f4", _regret,
@@ -325,7 +327,20 @@ def _grid(s, d):
     return stats.lab_stats(cut_lineage(oc.grid(panel, signals(panel), CELLS)), ["cell"])
 
 
-register("T16_cell_grid", "cell:s n:i win:f4 net:f3 median:f3 payoff:f4 pf:f4 stopped:f4 bars:f4 exp_r:f4 days:i per_month:f4", _grid)
+def cell_sql(tag: str, greedy: bool, **exit) -> str:
+    """The CTEs of one exit with names of their own, to stand beside those of other exits after ``SIMPLE_SQL``."""
+    body = touch_sql(**exit).removeprefix(SIMPLE_SQL + ", ") + (", " + GREEDY if greedy else "")
+    return re.sub(r"\b(sg|sk|pa|ev|ew|ex|tx|tr|nx|gr|tk)\b", rf"\1_{tag}", body)
+
+
+LAB_SQL = ("count(*) AS n, avg(CASE WHEN net > 0 THEN 100.0 ELSE 0 END) AS win, avg(net) AS net, quantile_cont(net, 0.5) AS median, "
+           "avg(net) FILTER (net > 0) / -avg(net) FILTER (net <= 0) AS payoff, sum(net) FILTER (net > 0) / -sum(net) FILTER (net <= 0) AS pf, "
+           "avg(CASE WHEN why = 'stop' THEN 100.0 ELSE 0 END) AS stopped, avg(bars) AS bars, avg(net / risk_pct) AS exp_r, count(DISTINCT date) AS days, "
+           "count(*) / greatest(date_diff('day', min(date), max(date)) / 30.44, 1.0) AS per_month")
+CELL_SQL = {"tight": dict(target="1.0", cap=10, risk="entry * atr_pct / 100 * 0.1"), "wide": dict(target="1.0", cap=20, risk="entry * atr_pct / 100 * 0.4")}
+register("T16_cell_grid", "cell:s n:i win:f4 net:f3 median:f3 payoff:f4 pf:f4 stopped:f4 bars:f4 exp_r:f4 days:i per_month:f4", _grid,
+         SIMPLE_SQL + ", " + ", ".join(cell_sql(c, True, stop="atr", **x) for c, x in CELL_SQL.items()) + "@@ "
+         + " UNION ALL ".join(f"SELECT '{c}' AS cell, {LAB_SQL} FROM tk_{c}" for c in CELL_SQL))
 
 # ------------------------------------------------------------------ aggregations
 register("A9_trade_stats", "isin:s n:i target_pct:f4 stop_pct:f4 time_pct:f4 win:f4 avg:f3 avg_win:f3 avg_loss:f3 expectancy_r:f4 profit_factor:f4 avg_bars:f4 avg_risk:f4",

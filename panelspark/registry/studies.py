@@ -13,7 +13,7 @@ from ..session import cut_lineage
 from ..sources import panels
 from .base import BARS, register, roll
 from .cross import _BF, CAL, IX, OSC, index_bars
-from .outcomes import ALL, CELLS, COLUMNS, LOW, SESS, SIMPLE, TK, WIDE, _panel, positioned, reversal_trades, sessions, signals, tagged
+from .outcomes import ALL, CELLS, COLUMNS, LOW, RULE_SQL, SESS, SIMPLE, SIMPLE_SQL, TK, WIDE, _panel, cell_sql, positioned, reversal_trades, sessions, signals, tagged
 from .windows import KEY
 
 SPLIT = "1998-06-01"
@@ -296,21 +296,26 @@ register("V17_best_cells", "setup:s cell:s worse_net:f3 worse_win:f3",
          lambda s, d: va.best_cells(_cell_halves(s, d).select(F.lit("low7").alias("setup"), "cell", F.least("h1_net", "h2_net").alias("worse_net"), F.col("win").alias("worse_win"))))
 
 
+STOPS = {"0.1 ATR": oc.Exit(("atr", 0.1), target=2.0, **WIDE), "0.3 ATR": oc.Exit(("atr", 0.3), target=2.0, **WIDE), "8%": oc.Exit(("pct", 8.0), target=2.0), "15%": oc.Exit(("pct", 15.0), target=2.0)}
+
+
 def _rule_settings(s, d):
     """Outcomes of several rules under several stops, per half."""
     panel = oc.with_position(_panel(s, d, SIMPLE, extra=["atr_pct", "hi7_prior", "ema_21"]))
     found = ro.hits(panel, SIMPLE, ["isin", "date"], emit=False).select("isin", "date", "rule")
     sig = cut_lineage(panel.join(found, ["isin", "date"]).withColumn("sid", F.concat_ws("|", "rule", "isin", "r")))
     base = cut_lineage(panel.select("isin", "date", "r", "adj_open", "adj_high", "adj_low", "adj_close", "last_r", "next_open"))
-    parts = None
-    for label, exit in {"0.1 ATR": oc.Exit(("atr", 0.1), target=2.0, **WIDE), "0.3 ATR": oc.Exit(("atr", 0.3), target=2.0, **WIDE), "8%": oc.Exit(("pct", 8.0), target=2.0), "15%": oc.Exit(("pct", 15.0), target=2.0)}.items():
-        part = oc.first_touch(base, sig, exit).withColumn("setting", F.lit(label)).select("rule", "setting", "date", "gross", "why", "r_multiple", "bars", "risk_pct")
-        parts = part if parts is None else parts.unionByName(part)
+    trades = oc.many_touches(base, sig, STOPS)
     period = F.when(F.col("date") < F.lit(SPLIT).cast("date"), "IS").otherwise("OOS")
-    return stats.bracket_stats(parts.withColumn("period", period), ["rule", "setting", "period"])
+    return stats.bracket_stats(trades.withColumns({"period": period, "setting": F.col("cell")}), ["rule", "setting", "period"])
 
 
-register("V18_rules_by_stop", "rule:s setting:s period:s n:i stop_pct:f4 win:f4 avg:f3 expectancy_r:f4", _rule_settings)
+STOP_SQL = {"0.1 ATR": "entry * atr_pct / 100 * 0.1", "0.3 ATR": "entry * atr_pct / 100 * 0.3", "8%": "entry * 0.08", "15%": "entry * 0.15"}
+register("V18_rules_by_stop", "rule:s setting:s period:s n:i stop_pct:f4 win:f4 avg:f3 expectancy_r:f4", _rule_settings,
+         SIMPLE_SQL + ", " + ", ".join(cell_sql(f"{rule}_{i}", False, stop="any", target="2.0", cap=20, risk=risk, signal=f"r >= 60 AND {RULE_SQL[rule][0]}") for rule in RULE_SQL for i, risk in enumerate(STOP_SQL.values()))
+         + f"@@ SELECT rule, setting, CASE WHEN date < DATE '{SPLIT}' THEN 'IS' ELSE 'OOS' END AS period, count(*) AS n, avg(CASE WHEN why = 'stop' THEN 100.0 ELSE 0 END) AS stop_pct, "
+         "avg(CASE WHEN gross > 0 THEN 100.0 ELSE 0 END) AS win, avg(gross) AS avg, avg(r_multiple) AS expectancy_r FROM ("
+         + " UNION ALL ".join(f"SELECT '{rule}' AS rule, '{name}' AS setting, date, why, gross, r_multiple FROM tr_{rule}_{i}" for rule in RULE_SQL for i, name in enumerate(STOP_SQL)) + ") GROUP BY 1, 2, 3")
 
 
 def _uplift(s, d):
