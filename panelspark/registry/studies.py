@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions.order_stats import quantiles
-from ..operators import allocation as al, cross, gates, market, outcomes as oc, rules as ro, setups, stats, validation as va
+from ..operators import allocation as al, cross, gate_study as gs, gates, market, outcomes as oc, rules as ro, setups, stats, validation as va
 from ..operators.features import build_features
 from ..session import cut_lineage
 from ..sources import panels
@@ -255,6 +255,87 @@ register("V12_gate_evaluation", "gate:s half:s n_on:i n_off:i mean_on:f3 mean_of
          + ") @@ SELECT gate, half, count(*) FILTER (g = 1) AS n_on, count(*) FILTER (g = 0) AS n_off, avg(net) FILTER (g = 1) AS mean_on, avg(net) FILTER (g = 0) AS mean_off, avg(net) FILTER (g = 1) - avg(net) FILTER (g = 0) AS diff "
          "FROM fx JOIN gg USING (date) WHERE g IS NOT NULL GROUP BY 1, 2")
 register("V12_gate_pairs", "gate:s sessions:i share_on:f4", lambda s, d: va.time_in_market(va.gate_pairs(_gates(s, d).filter(F.col("gate").isin("nifty_above_50dma", "vix_below_20dma", "breadth50_gt_50")))))
+# ------------------------------------------------------------------ the gate study: every gate whose state SQL restates, two strategies
+def _over(fn, x, n, least=None):
+    return roll(fn, x, n, least, over="ORDER BY date")
+
+
+STATE_SQL = (f"gm AS (SELECT date, close AS c, {_over('avg', 'close', 20)} AS m20, {_over('avg', 'close', 50)} AS m50, {_over('avg', 'close', 200)} AS m200, {_over('max', 'close', 252)} AS top, "
+             f"({_over('max', 'high', 20)} / ({_over('min', 'low', 20)}) - 1) * 100 AS rng, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM ix WHERE index_name = 'ASIA'), "
+             f"gr0 AS (SELECT *, {_over('stddev_samp', 'ret', 20)} * sqrt(252) * 100 AS rv20, {_over('stddev_samp', 'ret', 60)} * sqrt(252) * 100 AS rv60, m20 / lag(m20, 10) OVER (ORDER BY date) - 1 AS slope, "
+             "c / lag(c, 252) OVER (ORDER BY date) - 1 AS r252, c / lag(c, 126) OVER (ORDER BY date) - 1 AS r126, c / lag(c, 20) OVER (ORDER BY date) - 1 AS r20, (c / top - 1) * 100 AS dd FROM gm), "
+             f"gv AS (SELECT date, close AS v, {_over('avg', 'close', 10)} AS v10, {_over('avg', 'close', 20)} AS v20, {_over('avg', 'close', 50)} AS v50, lag(close, 10) OVER (ORDER BY date) AS l10, lag(close, 5) OVER (ORDER BY date) AS l5, "
+             f"(close - {_over('avg', 'close', 60)}) / ({_over('stddev_samp', 'close', 60)}) AS z FROM ix WHERE index_name = 'AFRICA'), "
+             f"ge AS (SELECT date, close AS e, {_over('avg', 'close', 50)} AS e50, close / lag(close, 20) OVER (ORDER BY date) - 1 AS e20 FROM ix WHERE index_name = 'EUROPE'), "
+             f"gb AS (SELECT date, b50, b200, pct_pos_20d, lag(b50, 10) OVER (ORDER BY date) AS b50l, {_over('avg', 'b50', 20, 15)} AS b50m, {_over('avg', 'dispersion', 20)} AS disp, nhnl_10, nhnl_20, mcc_osc, ad_line, {_over('avg', 'ad_line', 50)} AS adm FROM ot), "
+             "st AS MATERIALIZED (SELECT * FROM gr0 LEFT JOIN gv USING (date) LEFT JOIN ge USING (date) LEFT JOIN gb USING (date) LEFT JOIN (SELECT date, hysteresis, thrust_on, e AS zw FROM gate) USING (date)), "
+             "qs AS (SELECT quantile_cont(z, 0.5) AS qz, quantile_cont(v - rv20, 0.5) AS qv, quantile_cont(rv20, 0.75) AS q20, quantile_cont(rv60, 0.75) AS q60, quantile_cont(rng, 0.5) AS qr, quantile_cont(disp, 0.5) AS qd "
+             f"FROM st WHERE date < DATE '{SPLIT}')")
+GATE_SQL = {
+    "nifty_above_200dma": "c > m200", "nifty_above_50dma": "c > m50", "nifty_above_20dma": "c > m20", "nifty_20dma_rising": "slope > 0", "golden_cross": "m50 > m200", "abs_mom_12m": "r252 > 0",
+    "abs_mom_6m": "r126 > 0", "not_deep_drawdown": "dd > -10", "midcap_above_50dma": "e > e50", "risk_appetite_mid": "e20 - r20 > 0", "vix_below_20dma": "v < v20", "vix_below_10dma": "v < v10",
+    "vix_below_50dma": "v < v50", "vix_below_15": "v < 15", "vix_falling_10d": "v < l10", "vix_falling_5d": "v < l5", "vix_z60_low": "z < qz", "no_vix_spike": "NOT v > v10 * 1.2", "vrp_high": "v - rv20 > qv",
+    "rvol20_not_high": "rv20 < q20", "rvol60_not_high": "rv60 < q60", "range20_low": "rng < qr", "breadth50_gt_50": "b50 > 50", "breadth200_gt_50": "b200 > 50", "breadth50_rising": "b50 > b50l",
+    "breadth50_sma20_gt_50": "b50m > 50", "breadth50_hysteresis": "hysteresis > 0.5", "nhnl20_positive": "nhnl_20 > 0", "zweig_ema_gt_50": "zw > 0.5", "zweig_thrust_window": "thrust_on > 0.5",
+    "mcclellan_osc_pos": "mcc_osc > 0", "ad_line_gt_sma50": "ad_line > adm", "nhnl_positive": "nhnl_10 > 0", "pct_pos_20d_gt_50": "pct_pos_20d > 50", "dispersion_low": "disp < qd",
+}
+STUDIED = list(GATE_SQL)
+MAIN = ["even", "odd"]
+PAIRED = gs.pairs(["nifty_above_50dma", "vix_below_20dma", "breadth50_gt_50", "breadth50_hysteresis", "range20_low"]) + [
+    gs.Combination("nifty_above_200dma AND NOT nifty_above_20dma", "nifty_above_200dma", "nifty_above_20dma", "AND_NOT"),
+    gs.Combination("breadth50_hysteresis OR zweig_thrust_window", "breadth50_hysteresis", "zweig_thrust_window", "OR")]
+
+
+def _study(s, d):
+    _, trades = trade_set(s, d)
+    trades = trades.select("date", "net", F.when(F.col("r") % 2 == 0, "even").otherwise("odd").alias("strategy"))
+    return trades, cut_lineage(gs.date_masks(_gates(s, d), STUDIED))
+
+
+def _judged(judge, wanted):
+    def run(s, d):
+        trades, masks = _study(s, d)
+        return judge(trades, masks, STUDIED, wanted, MAIN, F.lit(SPLIT).cast("date"))
+    return run
+
+
+_STUDY = (TS + ", " + XG.split(f"WITH RECURSIVE {BARS}, ")[1] + ", " + STATE_SQL + ", tt AS MATERIALIZED (SELECT date, net, half, CASE WHEN t % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy FROM fx), g1 AS MATERIALIZED ("
+          + " UNION ALL ".join(f"SELECT '{g}' AS gate, date, {e} AS g FROM st, qs" for g, e in GATE_SQL.items()) + "), ")
+
+
+def _study_sql(wanted):
+    """The states of the wanted combinations, one row per trade and gate: the plain way."""
+    how = {"AND": "a.g AND b.g", "OR": "a.g OR b.g", "AND_NOT": "a.g AND NOT b.g"}
+    states = " UNION ALL ".join(f"SELECT '{w.name}' AS gate, a.date, {how[w.mode]} AS g FROM g1 a JOIN g1 b ON b.date = a.date AND a.gate = '{w.a}' AND b.gate = '{w.b}' WHERE a.g IS NOT NULL AND b.g IS NOT NULL" for w in wanted)
+    return (_STUDY + f"gg AS MATERIALIZED ({states}), tg AS MATERIALIZED (SELECT gate, strategy, half, date, net, g FROM tt JOIN gg USING (date) UNION ALL SELECT gate, 'POOLED_MAIN', half, date, net, g FROM tt JOIN gg USING (date)), "
+            "c0 AS (SELECT gate, strategy, half, count(*) AS n_all, avg(net) AS mean_all, count(*) FILTER (g) AS n_on, avg(net) FILTER (g) AS mean_on, avg(CASE WHEN net > 0 THEN 100.0 ELSE 0 END) FILTER (g) AS win_on, count(*) FILTER (NOT g) AS n_off, "
+            "avg(net) FILTER (NOT g) AS mean_off, avg(CASE WHEN net > 0 THEN 100.0 ELSE 0 END) FILTER (NOT g) AS win_off FROM tg GROUP BY 1, 2, 3), "
+            "cs AS (SELECT gate, strategy, half, g, date, sum(net - CASE WHEN g THEN mean_on ELSE mean_off END) AS e, any_value(CASE WHEN g THEN n_on ELSE n_off END) AS m FROM tg JOIN c0 USING (gate, strategy, half) GROUP BY 1, 2, 3, 4, 5), "
+            "ct AS (SELECT gate, strategy, half, sum(e * e / (m * m)) AS var FROM cs GROUP BY 1, 2, 3), "
+            "cl AS MATERIALIZED (SELECT c0.*, mean_on - mean_off AS diff, CASE WHEN n_on >= 5 AND n_off >= 5 AND var > 0 THEN (mean_on - mean_off) / sqrt(var) END AS t_cluster, "
+            "CASE WHEN n_on >= 30 AND n_off >= 30 THEN 1 ELSE 0 END AS testable, CASE WHEN n_on >= 30 AND n_off >= 30 AND mean_on > mean_off THEN 1 ELSE 0 END AS pass FROM c0 JOIN ct USING (gate, strategy, half))")
+
+
+CELL_COLUMNS = "gate:s strategy:s half:s n_all:i mean_all:f3 n_on:i mean_on:f3 win_on:f3 n_off:i mean_off:f3 win_off:f3 diff:f3 t_cluster:f3 testable:i pass:i"
+VERDICT_COLUMNS = ("gate:s on_all:f3 on_h1:f3 on_h2:f3 n_testable:i n_pass:i n_evaluated:i n_dropped:i months_on:i months_off:i month_mean_on:f3 month_mean_off:f3 off_negative:f3 on_negative:f3 "
+                   "quarters:i quarter_wins:i promoted:i usable:i robust:i")
+VERDICT_SQL = (f", tm AS (SELECT gate, avg(CASE WHEN g THEN 100.0 ELSE 0 END) AS on_all, avg(CASE WHEN g THEN 100.0 ELSE 0 END) FILTER (date < DATE '{SPLIT}') AS on_h1, avg(CASE WHEN g THEN 100.0 ELSE 0 END) FILTER (date >= DATE '{SPLIT}') AS on_h2 FROM gg GROUP BY 1), "
+               "bo AS (SELECT gate, strategy, min(testable) * (count(*) = 2)::INT AS ts, min(pass) * (count(*) = 2)::INT AS ps FROM cl WHERE strategy <> 'POOLED_MAIN' GROUP BY 1, 2), bs AS (SELECT gate, sum(ts) AS n_testable, sum(ps) AS n_pass FROM bo GROUP BY 1), "
+               "po AS (SELECT gate, count(*) FILTER (diff >= 0.5 AND t_cluster >= 2.0) AS strong FROM cl WHERE strategy = 'POOLED_MAIN' GROUP BY 1), kn AS (SELECT gate, count(*) AS n_evaluated FROM tg WHERE strategy <> 'POOLED_MAIN' GROUP BY 1), "
+               "mo AS (SELECT gate, date_trunc('month', date) AS p, avg(net) AS m, count(*) AS k, avg(g::INT) AS o FROM tg WHERE strategy = 'POOLED_MAIN' GROUP BY 1, 2 HAVING count(*) >= 20), "
+               "ms AS (SELECT gate, count(*) FILTER (o >= 0.5) AS months_on, count(*) FILTER (o < 0.5) AS months_off, avg(m) FILTER (o >= 0.5) AS month_mean_on, avg(m) FILTER (o < 0.5) AS month_mean_off, "
+               "avg(CASE WHEN m < 0 THEN 100.0 ELSE 0 END) FILTER (o < 0.5) AS off_negative, avg(CASE WHEN m < 0 THEN 100.0 ELSE 0 END) FILTER (o >= 0.5) AS on_negative FROM mo GROUP BY 1), "
+               "qu AS (SELECT gate, date_trunc('quarter', date) AS p, avg(net) FILTER (g) - avg(net) FILTER (NOT g) AS df FROM tg WHERE strategy = 'POOLED_MAIN' GROUP BY 1, 2 HAVING count(*) FILTER (g) >= 20 AND count(*) FILTER (NOT g) >= 20), "
+               "qw AS (SELECT gate, count(*) AS quarters, count(*) FILTER (df > 0) AS quarter_wins FROM qu GROUP BY 1) "
+               "@@ SELECT gate, on_all, on_h1, on_h2, coalesce(n_testable, 0) AS n_testable, coalesce(n_pass, 0) AS n_pass, coalesce(n_evaluated, 0) AS n_evaluated, (SELECT count(*) FROM tt) - coalesce(n_evaluated, 0) AS n_dropped, "
+               "coalesce(months_on, 0) AS months_on, coalesce(months_off, 0) AS months_off, month_mean_on, month_mean_off, off_negative, on_negative, coalesce(quarters, 0) AS quarters, coalesce(quarter_wins, 0) AS quarter_wins, "
+               "(coalesce(n_testable, 0) = 2 AND coalesce(n_pass, 0) = 2)::INT AS promoted, (on_all >= 40)::INT AS usable, (coalesce(n_testable, 0) = 2 AND coalesce(n_pass, 0) = 2 AND on_all >= 40 AND strong = 2)::INT AS robust "
+               "FROM tm LEFT JOIN bs USING (gate) LEFT JOIN po USING (gate) LEFT JOIN kn USING (gate) LEFT JOIN ms USING (gate) LEFT JOIN qw USING (gate)")
+register("V12_gate_study", CELL_COLUMNS, _judged(gs.gate_cells, gs.singles(STUDIED)), _study_sql(gs.singles(STUDIED)) + "@@ SELECT * FROM cl")
+register("V12_gate_verdicts", VERDICT_COLUMNS, _judged(gs.gate_verdicts, gs.singles(STUDIED)), _study_sql(gs.singles(STUDIED)) + VERDICT_SQL)
+register("V12_gate_combinations", VERDICT_COLUMNS, _judged(gs.gate_verdicts, PAIRED), _study_sql(PAIRED) + VERDICT_SQL)
+register("X19_gate_states", "gate:s date:d on_value:n", lambda s, d: _gates(s, d).filter(F.col("gate").isin(STUDIED)).withColumnRenamed("on", "on_value"),
+         _STUDY.removesuffix(", ") + "@@ SELECT gate, date, g::INT AS on_value FROM g1")
 register("V13_null_expectation", "period:s features:i expected:f5",
          lambda s, d: va.monotonicity(va.feature_table(_binned(s, d))).groupBy("period").agg(F.count(F.lit(1)).alias("features")).withColumn("expected", F.col("features") * va.null_probability()),
          BINS + "@@ SELECT period, count(DISTINCT feature) AS features, count(DISTINCT feature) * 2 * (5.0 / 120) * (5.0 / 120) AS expected FROM bn WHERE bin IS NOT NULL GROUP BY 1")
