@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import activate, annotated, documents, remainder, rows
-from panelspark.llm.text_features import Design, adam, bounded_sample, int_bytes, sigmoid, slot_lists, word_slots, words
+from panelspark.llm.common import activate, annotated, documents, remainder, rows, store
+from panelspark.llm.text_features import adam, bounded_sample, int_bytes, sigmoid, word_slots, words
 
 SAMPLE_ROWS = 10_000
 THRESHOLD = 0.7
@@ -68,33 +68,82 @@ def slots_of(found: set[str]) -> set[int]:
 
 
 def _design(labelled: DataFrame, kinds) -> DataFrame:
+    """Per labelled text: its slots, and per twin the slots it gains (as ``slot``) and loses (as ``-1 - slot``)."""
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("own", pa.binary()), ("twins", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in documents(batches):
             found = [words(t) for t in texts]
-            yield rows(schema, doc_id=batch.column("doc_id"), toxic=batch.column("toxic"), own=[int_bytes(slots_of(w)) for w in found],
-                       twins=[[int_bytes(slots_of(t)) for t in twins(w, kinds)] for w in found])
+            slots = [slots_of(w) for w in found]
+            changed = [[(own, slots_of(t)) for t in twins(w, kinds)] for w, own in zip(found, slots)]
+            yield rows(schema, doc_id=batch.column("doc_id"), toxic=batch.column("toxic"), own=[int_bytes(s) for s in slots],
+                       twins=[[int_bytes([*(t - own), *(-1 - s for s in own - t)]) for own, t in each] for each in changed])
 
     made = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id bigint, toxic int, own binary, twins array<binary>")
     least = F.min(F.struct("toxic", "own", "twins")).alias("least")  # of rows with one doc_id: the same one in every run
     return made.groupBy("doc_id").agg(least).select("doc_id", "least.*")
 
 
+def _informative(design: DataFrame, n: int, positive: int) -> np.ndarray:
+    """Slots (sorted) of at least ``LEAST_DOCS`` texts whose chi-square against the label reaches ``CHI2``; counted on the executors."""
+    schema = pa.schema([("slot", pa.int32()), ("total", pa.int64()), ("hit", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(b, "<i4") for b in batch.column("own").to_pylist()]
+            slot, at = np.unique(np.concatenate([*own, np.zeros(0, np.int32)]), return_inverse=True)
+            toxic = np.repeat(batch.column("toxic").to_numpy(), [len(o) for o in own])
+            yield rows(schema, slot=slot, total=np.bincount(at, minlength=len(slot)), hit=np.bincount(at, toxic, len(slot)).astype(np.int64))
+
+    counts = design.mapInArrow(run, "slot int, total bigint, hit bigint").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
+    e = F.col("total") * F.lit(positive / n)
+    parts = sum((F.try_divide(F.lit(1.0), x) for x in (e, F.col("total") - e, positive - e, n - positive - F.col("total") + e)), F.lit(0.0))
+    kept = counts.filter((F.col("total") >= LEAST_DOCS) & ((F.col("hit") - e) * (F.col("hit") - e) * parts >= CHI2)).select("slot").collect()
+    return np.sort(np.array([r.slot for r in kept], np.int32))
+
+
+def _restricted(design: DataFrame, slots: np.ndarray) -> DataFrame:
+    """The design on the kept slots, by their place: own, and the twins' changes (place, or -1 - place where lost)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("own", pa.binary()), ("twins", pa.list_(pa.binary()))])
+
+    def kept(raw: bytes) -> bytes:
+        signed = np.frombuffer(raw, "<i4")
+        slot = np.where(signed < 0, -1 - signed, signed)
+        at = np.minimum(np.searchsorted(slots, slot), max(0, len(slots) - 1))
+        good = slots[at] == slot if len(slots) else np.zeros(len(slot), bool)
+        return np.where(signed < 0, -1 - at, at)[good].astype("<i4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows(schema, doc_id=batch.column("doc_id"), toxic=batch.column("toxic"), own=[kept(b) for b in batch.column("own").to_pylist()],
+                       twins=[[kept(t) for t in each] for each in batch.column("twins").to_pylist()])
+
+    return design.mapInArrow(run, "doc_id bigint, toxic int, own binary, twins array<binary>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fairness: float = FAIRNESS, kinds=IDENTITIES) -> tuple[float, dict[int, float]]:
-    """(intercept, weight by slot) from the labels (doc_id, toxic) of documents outside the held-out fold."""
+    """(intercept, weight by slot) from the labels (doc_id, toxic) of documents outside the held-out fold.
+
+    The sample stays on the executors until it is cut to the slots that tell the classes apart.
+    """
     usable = labels.filter("toxic IN (0, 1)").filter(remainder(3) != 1).select("doc_id", "toxic")
-    sample = _design(bounded_sample(usable, docs, sample_rows), kinds).toPandas().sort_values("doc_id")
-    y = sample["toxic"].to_numpy(float)
-    if not len(y):
+    design = store(_design(bounded_sample(usable, docs, sample_rows), kinds), "toxicity-sample")
+    n, positive = design.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
         return -500.0, {}
-    if y.min() == y.max():
-        return (500.0 if y[0] else -500.0), {}
-    own = Design(slot_lists(sample, "own"))
-    of = np.repeat(np.arange(len(y)), sample["twins"].map(len).to_numpy(int))
-    twin = Design([np.frombuffer(t, "<i4") for some in sample["twins"] for t in some])
-    slots = own.informative(y == 1, LEAST_DOCS, CHI2)
-    goal = Objective(y, *own.kept(slots), of, *twin.kept(slots), len(slots), fairness)
+    if positive in (0, n):
+        return (500.0 if positive else -500.0), {}
+    slots = _informative(design, n, positive)
+    sample = _restricted(design, slots).toPandas().sort_values("doc_id")
+    y = sample["toxic"].to_numpy(float)
+
+    def flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        held = [np.frombuffer(x, "<i4") for x in parts]
+        return np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate([*held, np.zeros(0, np.int32)]).astype(np.int64)
+
+    changes = [t for each in sample["twins"] for t in each]
+    pair, change = flat(changes)
+    goal = Objective(y, *flat(list(sample["own"])), pair, np.where(change < 0, -1 - change, change), np.where(change < 0, -1.0, 1.0), len(changes), len(slots), fairness)
     x = adam(np.concatenate([[np.log(y.mean() / (1 - y.mean()))], np.zeros(len(slots))]), lambda x: goal(x)[1])
     return float(x[0]), dict(zip(slots.tolist(), x[1:].tolist()))
 
@@ -102,22 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fair
 class Objective:
     """Mean log loss + ridge + ``fairness`` x mean squared change of the score (before the sigmoid) between a text and its twins."""
 
-    def __init__(self, y, row, col, of, t_row, t_col, k: int, fairness: float):
-        self.y, self.row, self.col, self.of, self.t_row, self.t_col, self.k, self.fairness = y, row, col, of, t_row, t_col, k, fairness
+    def __init__(self, y, row, col, pair, t_col, sign, pairs: int, k: int, fairness: float):
+        """Entries (row, col) of the texts; entries (pair, t_col, sign) of what the twins gain (1) and lose (-1)."""
+        self.y, self.row, self.col, self.pair, self.t_col, self.sign, self.pairs, self.k, self.fairness = y, row, col, pair, t_col, sign, pairs, k, fairness
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, n, pairs = x[1:], len(self.y), len(self.of)
-        own = np.bincount(self.row, w[self.col], minlength=n)
-        logit = x[0] + own
+        w, n = x[1:], len(self.y)
+        logit = x[0] + np.bincount(self.row, w[self.col], minlength=n)
         loss = np.mean(np.logaddexp(0, logit) - self.y * logit) + RIDGE * (w @ w) / 200
         miss = (sigmoid(logit) - self.y) / n
         g = np.concatenate([[miss.sum()], np.bincount(self.col, miss[self.row], minlength=self.k) + RIDGE * w / 100])
-        if pairs:
-            change = own[self.of] - np.bincount(self.t_row, w[self.t_col], minlength=pairs)
+        if self.pairs:
+            change = np.bincount(self.pair, self.sign * w[self.t_col], minlength=self.pairs)
             loss += self.fairness * np.mean(change ** 2)
-            pull = 2 * self.fairness * change / pairs
-            g[1:] += np.bincount(self.col, np.bincount(self.of, pull, minlength=n)[self.row], minlength=self.k)
-            g[1:] -= np.bincount(self.t_col, pull[self.t_row], minlength=self.k)
+            g[1:] += np.bincount(self.t_col, self.sign * (2 * self.fairness * change / self.pairs)[self.pair], minlength=self.k)
         return float(loss), g
 
 

@@ -21,9 +21,23 @@ def check_gradient(goal, x):
 
 
 def test_toxicity_gradient():
-    of = np.array([0, 0, 3, 7])
-    check_gradient(toxicity.Objective((RNG.random(12) < 0.5).astype(float), *entries(12, 6), of, *entries(4, 6), 6, 2.5), RNG.normal(size=7))
-    check_gradient(toxicity.Objective((RNG.random(12) < 0.5).astype(float), *entries(12, 6), of[:0], *entries(0, 6), 6, 2.5), RNG.normal(size=7))
+    y, own = (RNG.random(12) < 0.5).astype(float), entries(12, 6)
+    pair, col = entries(4, 6)
+    sign = RNG.choice([-1.0, 1.0], len(pair))
+    check_gradient(toxicity.Objective(y, *own, pair, col, sign, 4, 6, 2.5), RNG.normal(size=7))
+    check_gradient(toxicity.Objective(y, *own, pair[:0], col[:0], sign[:0], 0, 6, 2.5), RNG.normal(size=7))
+
+
+def test_penalty_is_the_squared_change_of_the_score():
+    """Twins as changes give the loss that whole twin texts give."""
+    y = np.array([1.0, 0.0, 1.0])
+    own, twin = RNG.random((3, 5)) < 0.5, RNG.random((3, 5)) < 0.5
+    gained, lost = np.nonzero(twin & ~own), np.nonzero(own & ~twin)
+    x = RNG.normal(size=6)
+    goal = toxicity.Objective(y, *np.nonzero(own), np.concatenate([gained[0], lost[0]]), np.concatenate([gained[1], lost[1]]), np.repeat([1.0, -1.0], [len(gained[0]), len(lost[0])]), 3, 5, 4.0)
+    logit = x[0] + own @ x[1:]
+    want = np.mean(np.logaddexp(0, logit) - y * logit) + toxicity.RIDGE * (x[1:] @ x[1:]) / 200 + 4.0 * np.mean((own @ x[1:] - twin @ x[1:]) ** 2)
+    assert abs(goal(x)[0] - want) < 1e-12
 
 
 def test_quality_gradient_and_dense_fit():
