@@ -127,3 +127,16 @@ def quantile_columns(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[s
         low, high = F.col(f"__lo_{out}"), F.col(f"__hi_{out}")
         result.append((low + (high - low) * (place - F.floor(place))).alias(out))
     return grouped.select(*by, *result)
+
+
+def row_numbers(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """(by..., out): the place of every row by ``value`` downwards, nulls last, ties in the order of ``by``, without a window over all.
+
+    The rows above a value come from ``positions``; a window only numbers rows of one and the same value. Nulls are one tie
+    below all values.
+    """
+    known = positions(df, [], value).select(F.col(value).alias("__v"), (F.col("total") - F.col("below") - F.col("cnt")).alias("__above"), "total")
+    total = df.agg(F.count(value).alias("__known"))  # one row
+    tied = df.select(*by, F.col(value).cast("double").alias("__v")).withColumn("__t", F.row_number().over(Window.partitionBy("__v").orderBy(*by)))
+    placed = tied.join(known.select("__v", "__above"), "__v", "left").crossJoin(total)
+    return placed.select(*by, (F.coalesce("__above", "__known") + F.col("__t")).cast("int").alias(out))

@@ -22,20 +22,47 @@ def point_in_time(panel: DataFrame, membership: DataFrame, date: str = "date") -
     return joined.drop("__i", "from_date", "to_date")
 
 
-def symbol_on(probes: DataFrame, history: DataFrame) -> DataFrame:
+BUCKET_DAYS = 512
+PART_ROWS = 200_000
+
+
+def _in_buckets(probes: DataFrame, history: DataFrame, key: str, part_rows: int) -> DataFrame:
+    """Probes (key, date, ...) with the history rows of their key that are live on their date: an interval join as an equi join.
+
+    Intervals are cut into buckets of ``BUCKET_DAYS``, so a probe meets the intervals that touch its bucket and not all of its key.
+    A key with more than ``part_rows`` interval pieces is split into parts by a hash of the row, and only its probes are
+    repeated, once per part. Probes without a live interval leave the join.
+    """
+    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / BUCKET_DAYS).cast("int")
+    last = probes.agg(F.max(bucket(F.col("date"))).alias("__last"))  # one row: open intervals reach the last bucket asked for
+    cut = history.withColumnRenamed(key, "__key").crossJoin(last).withColumn("__stop", F.least(F.coalesce(bucket(F.date_sub("to_date", 1)), F.col("__last")), F.col("__last")))
+    cut = cut.filter(bucket(F.col("from_date")) <= F.col("__stop")).withColumn("__bucket", F.explode(F.sequence(bucket(F.col("from_date")), F.col("__stop")))).drop("__last", "__stop")
+    parts = cut.groupBy("__key").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("__parts")).filter("__parts > 1")
+    spread = F.xxhash64("from_date", *[c for c in history.columns if c not in (key, "from_date", "to_date")])
+    cut = cut.join(parts, "__key", "left").withColumn("__part", F.pmod(spread, F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    asked = probes.join(parts.withColumnRenamed("__key", key), key, "left").withColumn("__bucket", bucket(F.col("date")))
+    asked = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    met = asked.join(cut, (F.col(key) == F.col("__key")) & (asked["__bucket"] == cut["__bucket"]) & (asked["__part"] == cut["__part"]) & live_on(F.col("date")))
+    return met.drop("__key", "__bucket", "__part")
+
+
+def symbol_on(probes: DataFrame, history: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Symbol per (isin, date): the latest live interval, else the earliest known symbol, else null."""
-    h = history.select(F.col("isin").alias("__i"), "symbol", "from_date", "to_date")
-    live = live_on(F.col("date"))
-    joined = probes.join(h, F.col("isin") == F.col("__i"), "left")
-    return joined.groupBy("isin", "date").agg(
-        F.coalesce(F.max_by(F.when(live, F.col("symbol")), F.when(live, F.col("from_date"))), F.min_by("symbol", "from_date")).alias("symbol"))
-
-
-def isins_for_symbol(probes: DataFrame, history: DataFrame) -> DataFrame:
-    """Every isin that traded under (symbol, date); several mean the symbol was reused."""
-    h = history.select(F.col("symbol").alias("__s"), "isin", "from_date", "to_date")
-    joined = probes.join(h, (F.col("symbol") == F.col("__s")) & live_on(F.col("date")), "left")
-    return joined.groupBy("symbol", "date").agg(F.array_sort(F.collect_set("isin")).alias("isins"))
+    asked = probes.select("isin", "date").distinct()
+    live = _in_buckets(asked, history.select("isin", "symbol", "from_date", "to_date"), "isin", part_rows)
+    live = live.groupBy("isin", "date").agg(F.max_by("symbol", "from_date").alias("__live"))
+    first = history.groupBy("isin").agg(F.min_by("symbol", "from_date").alias("__first"))
+    return asked.join(live, ["isin", "date"], "left").join(first, "isin", "left").select("isin", "date", F.coalesce("__live", "__first").alias("symbol"))
+
+
+def isins_for_symbol(probes: DataFrame, history: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(symbol, date, isin): a row for every isin that traded under a symbol on a date; several mean the symbol was reused.
+
+    Rows, not a set: a symbol may have any number of isins. A probe without any keeps one row with a null isin.
+    """
+    asked = probes.select("symbol", "date").distinct()
+    found = _in_buckets(asked, history.select("isin", "symbol", "from_date", "to_date"), "symbol", part_rows).select("symbol", "date", "isin").distinct()
+    return asked.join(found, ["symbol", "date"], "left")
 
 
 def reused_symbols(history: DataFrame) -> DataFrame:

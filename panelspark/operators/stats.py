@@ -86,6 +86,38 @@ def breakdown(hits: DataFrame, dimension: Column, horizons: Sequence[int], by: S
     return horizon_stats(long_horizons(tagged, horizons, [*by, "group"]), [*by, "group", "horizon"], "exc", "fwd")
 
 
+def breakdowns(hits: DataFrame, dimensions: dict[str, Column], horizons: Sequence[int], by: Sequence[str] = ("rule",), least: int = MIN_SAMPLE) -> DataFrame:
+    """Horizon statistics over all hits and by each of several dimensions: one aggregate with grouping sets, so one exchange.
+
+    (by..., dimension, group, horizon, n, ...): ``dimension`` is 'all' or a name of ``dimensions``; a hit without a group takes no
+    part in that dimension. Quartiles come from the order statistics of the same groups (``breakdown_quartiles``).
+    """
+    long = long_horizons(hits.withColumns(dimensions), horizons, [*by, *dimensions])
+    x, r = F.col("exc"), F.col("fwd")
+    sets = [[*by, "horizon"], *([*by, d, "horizon"] for d in dimensions)]
+    out = long.groupingSets(sets, *by, *dimensions, "horizon").agg(
+        *[F.grouping(d).alias(f"__g_{d}") for d in dimensions], F.count(x).alias("n"), (F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))) * 100).alias("win"), F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"), F.avg(r).alias("raw_mean"), (F.avg(F.when(r.isNotNull(), (r > 0).cast("double"))) * 100).alias("raw_win"))
+    which, group = F.lit("all"), F.lit("all")
+    for d in dimensions:
+        which = F.when(F.col(f"__g_{d}") == 0, F.lit(d)).otherwise(which)
+        group = F.when(F.col(f"__g_{d}") == 0, F.col(d).cast("string")).otherwise(group)
+    out = out.select(*by, which.alias("dimension"), group.alias("group"), "horizon", "n",
+                     *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("win", "mean", "std", "raw_mean", "raw_win")])
+    return out.filter(F.col("group").isNotNull())
+
+
+def breakdown_quartiles(hits: DataFrame, dimensions: dict[str, Column], horizons: Sequence[int], by: Sequence[str] = ("rule",), least: int = MIN_SAMPLE) -> DataFrame:
+    """(by..., dimension, group, horizon, median, p25, p75) for the groups of ``breakdowns``, exact and without a task per group."""
+    groups = F.array(*[F.struct(F.lit(d).alias("dimension"), x.cast("string").alias("group")) for d, x in {"all": F.lit("all"), **dimensions}.items()])
+    spread = hits.withColumn("__d", F.explode(groups)).withColumns({"dimension": F.col("__d.dimension"), "group": F.col("__d.group")}).filter(F.col("group").isNotNull())
+    long = long_horizons(spread, horizons, [*by, "dimension", "group"])
+    keys = [*by, "dimension", "group", "horizon"]
+    found = quantiles(long, keys, "exc", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    enough = long.groupBy(*keys).agg(F.count("exc").alias("__n")).filter(F.col("__n") >= least)
+    return found.join(enough.drop("__n"), keys, "left_semi")
+
+
 def years_positive(by_year: DataFrame, horizon: str = "20") -> DataFrame:
     known = by_year.filter((F.col("horizon") == horizon) & F.col("mean").isNotNull())
     return known.groupBy("rule").agg(F.count_if(F.col("mean") > 0).alias("years_positive"), F.count(F.lit(1)).alias("years_total"))

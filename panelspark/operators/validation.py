@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import holds, ratio
-from ..functions.order_stats import quantile_columns, ranks
+from ..functions.order_stats import quantile_columns, ranks, row_numbers
+from ..session import cut_lineage
 from .stats import share
 
 
@@ -143,15 +144,18 @@ def promotion(rho: DataFrame, mono: DataFrame, mono_min: float = 0.5) -> DataFra
 
 
 def split_scores(df: DataFrame, by: Sequence[str], value: str, first: Column) -> DataFrame:
-    """In-sample and out-of-sample means, degradation, and the in-sample rank of each candidate out of sample."""
+    """In-sample and out-of-sample means, degradation, and the place of each candidate by both (unknown last, ties by name).
+
+    Candidates may be keys of a panel, so no window spans all of them: places come from ``row_numbers``.
+    """
     a, b = F.when(first, F.col(value)), F.when(~first, F.col(value))
     out = df.groupBy(*by).agg(F.count(a).alias("n_is"), F.count(b).alias("n_oos"), F.avg(a).alias("is_mean"), F.avg(b).alias("oos_mean"))
-    rank_is = Window.partitionBy(F.lit(0)).orderBy(F.col("is_mean").desc_nulls_last(), *by)
-    rank_oos = Window.partitionBy(F.lit(0)).orderBy(F.col("oos_mean").desc_nulls_last(), *by)
-    # One row per candidate: a short, driver-defined list.
-    out = out.withColumns({"is_rank": F.row_number().over(rank_is), "oos_rank": F.row_number().over(rank_oos), "degradation": F.col("is_mean") - F.col("oos_mean")})
-    best = F.max("is_mean").over(Window.partitionBy(F.lit(0)))
-    return out.withColumn("near_best", holds(F.col("is_mean") >= best * 0.8).cast("int"))
+    scored = cut_lineage(out.withColumn("degradation", F.col("is_mean") - F.col("oos_mean")))
+    best = scored.agg((F.max("is_mean") * 0.8).alias("__best"))  # one row
+    ranked = scored.crossJoin(best).withColumn("near_best", holds(F.col("is_mean") >= F.col("__best")).cast("int")).drop("__best")
+    for name, mean in (("is_rank", "is_mean"), ("oos_rank", "oos_mean")):
+        ranked = ranked.join(row_numbers(scored, by, mean, name), list(by))
+    return ranked
 
 
 # ------------------------------------------------------------------ filter search

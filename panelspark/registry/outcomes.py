@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions.core import cap_band
 from ..operators import cross, market, outcomes as oc, rules as ro, stats
 from ..operators.features import build_features
 from ..plans.screen import screen_panel
@@ -385,6 +386,25 @@ register("A7_concentration", "rule:s n:i names:i winners:i top10_share:f4 median
          HX + ", nm AS (SELECT rule, isin, sum(exc_20d) AS s, count(exc_20d) AS c FROM hx WHERE exc_20d IS NOT NULL GROUP BY 1, 2), nr AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY s DESC) AS p FROM nm) "
          "@@ SELECT rule, sum(c) AS n, count(*) AS names, count(*) FILTER (s > 0) AS winners, CASE WHEN sum(greatest(s, 0)) > 0 THEN sum(CASE WHEN p <= 10 THEN greatest(s, 0) ELSE 0 END) / sum(greatest(s, 0)) * 100 END AS top10_share, "
          "(SELECT median(exc_20d) FROM hx z WHERE z.rule = nr.rule) AS median FROM nr GROUP BY rule HAVING sum(c) >= 20")
+# Fixed values of the fixture: traded value times 0.03 stands for a size in crore, so that all three bands have members.
+def banded():
+    return {"cap_band": cap_band(F.col("size")), "year": F.year("date")}
+
+
+def sized_hits(s, d):
+    panel = cross.add_forward_returns(cut_lineage(_panel(s, d, SIMPLE).withColumn("size", F.col("volume") * F.col("adj_close") * 0.03)))
+    return cut_lineage(ro.hits(panel, SIMPLE, ["isin", "date", "size", *[f"{x}_{k}d" for x in ("exc", "fwd") for k in cross.HORIZONS]], emit=False))
+
+
+def _breakdowns(s, d):
+    hits = sized_hits(s, d)
+    keys = ["rule", "dimension", "group", "horizon"]
+    return stats.breakdowns(hits, banded(), cross.HORIZONS).join(stats.breakdown_quartiles(hits, banded(), cross.HORIZONS), keys, "left").withColumnRenamed("group", "part")
+
+
+_PARTS = {"all": "'all'", "cap_band": "CASE WHEN volume * adj_close * 0.03 >= 100000 THEN 'Mega' WHEN volume * adj_close * 0.03 >= 20000 THEN 'Large' ELSE 'Mid' END", "year": "CAST(year(date) AS VARCHAR)"}
+register("A8_breakdowns", "rule:s dimension:s part:s horizon:s " + STAT_COLUMNS, _breakdowns,
+         HX + "@@ " + " UNION ALL ".join(_hs(f"rule, '{n}' AS dimension, {x} AS part", k) for n, x in _PARTS.items() for k in (1, 5, 20)))
 register("A8_by_year", "rule:s year:s horizon:s " + STAT_COLUMNS,
          lambda s, d: stats.breakdown(hits_with_returns(s, d), F.year("date").cast("string"), cross.HORIZONS).withColumnRenamed("group", "year"),
          HX + "@@ " + " UNION ALL ".join(_hs("rule, CAST(year(date) AS VARCHAR) AS year", k) for k in (1, 5, 20)))

@@ -334,7 +334,7 @@ register("J3b_symbol_on", KEY + "symbol:s", lambda s, d: dims.symbol_on(_probes(
          "@@ SELECT pr.isin, pr.date, coalesce(sh.symbol, e.first_symbol) AS symbol FROM pr JOIN e ON e.isin = pr.isin LEFT JOIN sh ON sh.isin = pr.isin AND from_date <= pr.date AND (to_date IS NULL OR to_date > pr.date)")
 register("J3b_isins_for_symbol", "symbol:s date:d n:i first_isin:s",
          lambda s, d: dims.isins_for_symbol(s.sql("SELECT symbol, DATE(day) AS date FROM VALUES ('1'), ('2'), ('5') AS a(symbol), VALUES ('1996-01-01'), ('1998-07-01') AS b(day)"), dims.symbol_history(_sightings(s, d)))
-         .select("symbol", "date", F.size("isins").alias("n"), F.col("isins")[0].alias("first_isin")),
+         .groupBy("symbol", "date").agg(F.count("isin").alias("n"), F.min("isin").alias("first_isin")),
          f"WITH {HIST}, q AS (SELECT * FROM (VALUES ('1'), ('2'), ('5')) a(symbol), (VALUES (DATE '1996-01-01'), (DATE '1998-07-01')) b(date)) "
          "@@ SELECT q.symbol, q.date, count(DISTINCT isin) AS n, min(isin) AS first_isin FROM q LEFT JOIN sh ON sh.symbol = q.symbol AND from_date <= q.date AND (to_date IS NULL OR to_date > q.date) GROUP BY 1, 2")
 FACTOR = f"{ACTIONS}, fa AS (SELECT bars.*, coalesce((SELECT product(ratio) FROM ac WHERE ac.isin = bars.isin AND ex_date > bars.date), 1.0) AS adj_factor FROM bars)"
