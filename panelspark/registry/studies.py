@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..functions.order_stats import quantiles
-from ..operators import allocation as al, cross, gate_study as gs, gates, market, outcomes as oc, rules as ro, setups, stats, validation as va
+from ..operators import allocation as al, cross, filter_lattice as fl, gate_study as gs, gates, market, outcomes as oc, rules as ro, setups, stats, validation as va
 from ..operators.features import build_features
 from ..session import cut_lineage
 from ..sources import panels
@@ -205,6 +206,35 @@ def _leaders(s, d):
 register("V10_filter_leaders", "candidate:s half:s n_kept:i mean_kept:f3 win_kept:f5", _leaders)
 
 
+LATTICE_RULE = fl.Rule(least_per_month=0.5)  # the fixture has few trades a month
+BAD, GOOD = -5.0, 3.0
+
+
+def _lattice(s, d):
+    """Every filter at the in-sample median of its feature, and their combinations of two and three."""
+    trades, long, _ = _search(s, d)
+    tests = va.threshold_candidates(long, [0.5], F.col("half") == "H1").withColumn("candidate", F.concat_ws(" ", "feature", "op"))
+    leaders = cut_lineage(fl.numbered(tests.select("candidate"), ["candidate"]))
+    flagged = trades.select("sid", "half", "date", "net", (F.col("net") < BAD).alias("bad"), (F.col("net") > GOOD).alias("good"))
+    return cut_lineage(fl.combinations(fl.masked(flagged, va.kept_by_candidate(long, tests), leaders), leaders, LATTICE_RULE))
+
+
+_SIX = [f"{f} {op}" for f in sorted(FEATURES) for op in ("<=", ">=")]
+_COMBOS = [c for k in (1, 2, 3) for c in itertools.combinations(_SIX, k)]
+LATTICE = (TS + ", " + LONG_SQL + ", ca AS (SELECT feature, quantile_cont(x, 0.5) AS thr FROM lg WHERE half = 'H1' GROUP BY 1), ck AS MATERIALIZED (SELECT lg.isin, lg.t, feature || ' ' || op AS candidate, "
+           "coalesce(CASE op WHEN '>=' THEN x >= thr ELSE x <= thr END, false) AS keep FROM lg JOIN ca USING (feature), (VALUES ('>='), ('<=')) o(op)), cm(filter, k, candidate) AS (VALUES "
+           + ", ".join(f"('{' AND '.join(c)}', {len(c)}, '{x}')" for c in _COMBOS for x in c)
+           + "), kp AS (SELECT filter, k, isin, t, bool_and(keep) AS m FROM cm JOIN ck USING (candidate) GROUP BY 1, 2, 3, 4), ag AS (SELECT half, count(*) AS n_all, avg(net) AS bm, avg((net > 0)::INT) AS bw, count(*) FILTER (net < -5) AS ab, count(*) FILTER (net > 3) AS ag, "
+           "greatest(date_diff('day', min(date), max(date)) / 30.44, 1.0) AS months FROM fx GROUP BY 1), "
+           "rs AS (SELECT filter, k, half, count(*) FILTER (m) AS n_kept, avg((net > 0)::INT) FILTER (m) AS win_kept, avg(net) FILTER (m) AS mean_kept, avg((net < -5)::INT) FILTER (m) AS bad_kept, avg((net > 0)::INT) FILTER (NOT m) AS win_removed, "
+           "avg(net) FILTER (NOT m) AS mean_removed, count(*) FILTER (NOT m AND net < -5) AS lb, count(*) FILTER (NOT m AND net > 3) AS lgd FROM kp JOIN fx ON fx.isin = kp.isin AND fx.t = kp.t GROUP BY 1, 2, 3), "
+           "rr AS MATERIALIZED (SELECT rs.*, n_all, n_kept * 1.0 / n_all AS kept_pct, n_kept / months AS kept_per_month, lb * 1.0 / greatest(ab, 1) AS bad_removed_share, lgd * 1.0 / greatest(ag, 1) AS good_removed_share, "
+           "CASE WHEN lb > 0 THEN lgd * 1.0 / lb END AS cost, ag * 1.0 / greatest(ab, 1) AS cost_by_chance, win_kept > bw AND mean_kept > bm AND n_kept >= 30 AND n_kept / months >= 0.5 AND lgd * 1.0 / nullif(lb, 0) < ag * 1.0 / greatest(ab, 1) AS ok FROM rs JOIN ag USING (half)), "
+           "ps AS MATERIALIZED (SELECT rr.*, CASE WHEN count(*) FILTER (coalesce(ok, false)) OVER (PARTITION BY filter) = 2 THEN 1 ELSE 0 END AS passes FROM rr)")
+register("V10_filter_lattice", "filter:s k:i half:s n_all:i n_kept:i kept_pct:f4 kept_per_month:f4 win_kept:f5 mean_kept:f3 bad_kept:f5 win_removed:f5 mean_removed:f3 bad_removed_share:f5 good_removed_share:f5 cost:f4 cost_by_chance:f4 passes:i", _lattice,
+         LATTICE + "@@ SELECT * FROM ps")
+
+
 def _active(s, d):
     trades, long, tests = _search(s, d)
     return va.months_active(va.kept_by_candidate(long, tests), trades, 5).join(tests.select("candidate", "feature", "op", "threshold"), "candidate")
@@ -344,7 +374,7 @@ register("V13_null_expectation", "period:s features:i expected:f5",
 def _audit(s, d):
     from ..plans.audit import strategy_audit
     families = {k: replace(v, stop=("atr", 0.2)) for k, v in oc.FAMILIES.items()}
-    return strategy_audit(_panel(s, d, SIMPLE, extra=["atr_pct", "ema_21", "hi7_prior", "rs_rank"]), SIMPLE, families, slots=5)
+    return strategy_audit(_panel(s, d, ALL, extra=["atr_pct", "ema_21", "hi7_prior", "rs_rank"]), ALL, families, slots=5)
 
 
 register("V14_strategy_audit", "rule:s n_signals_raw:i n_signals_fresh:i n_trades:i n_signals_taken:n win_pct:f4 mean_ret_pct:f3 median_ret_pct:f3 stopped_pct:f4 capped_pct:f4 cagr_pct:f3 max_dd_pct:f4", _audit)
