@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions.core import cap_band
+from ..functions.windows import PANEL as S
 from ..operators import cross, market, outcomes as oc, rules as ro, stats
 from ..operators.features import build_features
 from ..plans.screen import screen_panel
@@ -35,12 +36,13 @@ SIMPLE = _pick("momentum_leaders", "trend_stack", "volume_shocker", "double_seve
 SIMPLE_SQL = (RECURSION + f", q0 AS (SELECT b.*, {SMA[20].replace('isin', 'b.isin').replace('BY date', 'BY b.date')} AS s20, "
               f"{SMA[50].replace('isin', 'b.isin').replace('BY date', 'BY b.date')} AS s50, {SMA[200].replace('isin', 'b.isin').replace('BY date', 'BY b.date')} AS s200, "
               "CASE WHEN b.r <= 14 THEN NULL WHEN l14 = 0 AND g14 > 0 THEN 100.0 WHEN l14 = 0 THEN 50.0 ELSE 100 - 100 / (1 + g14 / l14) END AS rsi_14, "
-              "CASE WHEN b.r > 14 THEN atr / b.adj_close * 100 END AS atr_pct, CASE WHEN b.r >= 21 THEN e21 END AS ema_21 "
+              "CASE WHEN b.r > 14 THEN atr / b.adj_close * 100 END AS atr_pct, CASE WHEN b.r >= 21 THEN e21 END AS ema_21, CASE WHEN b.r >= 50 THEN e50 END AS ema_50 "
               "FROM bars b JOIN walk w ON w.isin = b.isin AND w.r = b.r), "
               f"q1 AS (SELECT *, {pct_sql('adj_close', lag('adj_close'))} AS ret_1d, {pct_sql('adj_close', lag('adj_close', 60))} AS ret_60d, "
               f"{pct_sql('adj_close', lag('adj_close', 120))} AS ret_120d, {pct_sql(lag('adj_close', 22), lag('adj_close', 252))} AS mom_12_1, "
               f"volume / ({roll('avg', 'volume', 20, 10)}) AS vol_ratio, {roll('min', 'adj_close', 7, None, True)} AS lo7, {roll('max', 'adj_close', 7, None, True)} AS hi7, "
-              f"{roll('min', 'adj_low', 5, None, True)} AS low5, lead(adj_open) OVER ({W}) AS next_open FROM q0)")
+              f"{roll('min', 'adj_low', 5, None, True)} AS low5, {roll('min', 'adj_low', 10, None, True)} AS low10, lead(ema_21) OVER ({W}) AS next_ema, "
+              f"adj_close < ema_21 AND {lag('adj_close')} < {lag('ema_21')} AS below2, lead(adj_open) OVER ({W}) AS next_open FROM q0)")
 RULE_SQL = {"momentum_leaders": ("mom_12_1 > 15 AND ret_60d > 12 AND ret_120d > 15 AND adj_close > s50 AND s50 > s200", "ret_60d"),
             "trend_stack": ("adj_close > s20 AND s20 > s50 AND s50 > s200 AND rsi_14 < 70", "ret_60d"),
             "volume_shocker": ("vol_ratio > 3 AND ret_1d > 2 AND adj_close > s20", "vol_ratio"),
@@ -132,7 +134,7 @@ def touch_sql(stop="", stop_on="low", target="", trigger="", cap=20, on_last="ig
     run = "max(b.adj_high) OVER (PARTITION BY s.isin, s.r ORDER BY b.r) AS rh"
     path = (f"sg AS MATERIALIZED (SELECT *, next_open AS entry, {risk} AS risk FROM (SELECT *, next_open AS entry FROM q1 WHERE {signal} AND next_open IS NOT NULL)), "
             f"sk AS MATERIALIZED (SELECT * FROM sg WHERE {'risk > 0' if stop else 'true'}), "
-            f"pa AS (SELECT s.isin, s.r AS t, s.date, s.entry, s.risk, s.atr_pct AS satr, b.r - s.r AS k, b.adj_open, b.adj_high, b.adj_low, b.adj_close, b.ema_21, b.hi7, b.next_open AS no, "
+            f"pa AS (SELECT s.isin, s.r AS t, s.date, s.entry, s.risk, s.atr_pct AS satr, b.r - s.r AS k, b.adj_open, b.adj_high, b.adj_low, b.adj_close, b.ema_21, b.ema_50, b.low10, b.below2, b.hi7, b.next_open AS no, "
             f"b.r = b.last_r AS is_last, {run} FROM sk s JOIN q1 b ON b.isin = s.isin AND b.r BETWEEN s.r + 1 AND s.r + {cap}), ")
     ls = " AND NOT is_last" if on_last == "ignore" else ""
     st = ("adj_low <= entry - risk" if stop_on == "low" else "adj_close < entry - risk" + ls) if stop else "false"
@@ -167,6 +169,43 @@ register("T4_trailing_exit", OUT, outcome(TRAIL),
          touch_sql(stop="atr", trigger="adj_close < greatest(entry, rh) - satr / 100 * entry * 0.3", why="chandelier", cap=40, cost=0.3, risk="entry * atr_pct / 100 * 0.5") + "@@ SELECT * FROM tr")
 
 
+# What ends a trade beside its stop, and stops that act on closes; the fixture's stops are narrower than the studies'.
+TRAILS = {"ema21": ("adj_close < ema_21", "ema_21"), "ema50": ("adj_close < ema_50", "ema_50"), "low10": ("adj_close < low10_prior", "low10_prior"), "chandelier": ("adj_close < peak - atr_abs * 3", None)}
+TRAIL_CELLS = {n: oc.Exit(("atr", 0.5), trigger=t, why=n, cap=40, cost=0.3, extra=(x,) if x else (), **WIDE) for n, (t, x) in TRAILS.items()}
+TRAIL_SQL = {"ema21": "adj_close < ema_21", "ema50": "adj_close < ema_50", "low10": "adj_close < low10", "chandelier": "adj_close < greatest(entry, rh) - satr / 100 * entry * 3"}
+_CLOSE = dict(why="exit", cap=20, cost=0.3, stop_on="close", stop_from=1, **WIDE)
+CLOSE_CELLS = {
+    "wide": oc.Exit(("atr", 0.3), trigger="adj_close > hi7_prior", extra=("hi7_prior",), **_CLOSE),
+    "narrow": oc.Exit(("atr", 0.25), trigger="adj_close > hi7_prior", extra=("hi7_prior",), **_CLOSE),
+    "structure": oc.Exit(("price", "structure"), trigger="adj_close > hi7_prior", extra=("hi7_prior",), **_CLOSE),
+    "fifth day": oc.Exit(("atr", 0.3), trigger="adj_close > hi7_prior or (k >= 6 and adj_close < entry)", extra=("hi7_prior",), **_CLOSE),
+    "two closes": oc.Exit(("atr", 0.3), trigger="adj_close > hi7_prior or (k >= 3 and below2)", extra=("hi7_prior", "below2"), **(_CLOSE | {"stop_on": "low"})),
+}
+CLOSE_SQL = {
+    "wide": dict(trigger="adj_close > hi7", risk="entry * atr_pct / 100 * 0.3"), "narrow": dict(trigger="adj_close > hi7", risk="entry * atr_pct / 100 * 0.25"),
+    "structure": dict(trigger="adj_close > hi7", risk="entry - least(entry - entry * atr_pct / 100 * 0.3, coalesce(next_ema - entry * atr_pct / 100 * 0.1, entry))"),
+    "fifth day": dict(trigger="adj_close > hi7 OR (k >= 6 AND adj_close < entry)", risk="entry * atr_pct / 100 * 0.3"),
+    "two closes": dict(trigger="adj_close > hi7 OR (k >= 3 AND below2)", risk="entry * atr_pct / 100 * 0.3", stop_on="low"),
+}
+
+
+def _cells(cells):
+    """Outcomes under several exits, one path for all."""
+    def run(s, d):
+        panel = cut_lineage(oc.with_position(build_features(panels.week_panel(s, d), [*COLUMNS, "ema_50", "low10_prior"])))
+        panel = panel.withColumn("below2", F.coalesce((F.col("adj_close") < F.col("ema_21")) & (S.lag(F.col("adj_close")) < S.lag(F.col("ema_21"))), F.lit(False)))
+        part = F.col("next_open") * F.col("atr_pct") / 100
+        panel = cut_lineage(panel.withColumn("structure", F.least(F.col("next_open") - part * 0.3, F.coalesce(S.lead(F.col("ema_21")) - part * 0.1, F.col("next_open")))))
+        return oc.many_touches(panel, signals(panel), cells)
+    return run
+
+
+def _cells_sql(exits, **shared):
+    tags = {n: n.replace(" ", "_") for n in exits}
+    return (SIMPLE_SQL + ", " + ", ".join(cell_sql(tags[n], False, stop="any", **(shared | x)) for n, x in exits.items()) + "@@ "
+            + " UNION ALL ".join(f"SELECT isin, date, '{n}' AS cell, entry, exit, bars, why, net FROM tr_{t}" for n, t in tags.items()))
+
+
 def _walk_sql(manage: str) -> str:
     """Stop management as a row-by-row recursion, an independent formulation of the raised stop."""
     arm = "(NOT w.armed AND b.adj_high >= w.entry + w.risk)"
@@ -241,6 +280,27 @@ register("T9_confirm_entry", KEY + "entry_k:n entry:f4", _confirm_entry,
          SIMPLE_SQL + f", q2 AS (SELECT *, {lag('adj_high')} AS ph FROM q1), sg AS (SELECT * FROM q2 WHERE adj_close < lo7 AND r < last_r), "
          "pa AS (SELECT s.isin, s.date, b.r - s.r + 1 AS k, b.next_open AS px, b.adj_close > b.ph AND b.next_open IS NOT NULL AS hit FROM sg s JOIN q2 b ON b.isin = s.isin AND b.r BETWEEN s.r + 1 AND s.r + 3) "
          "@@ SELECT isin, date, min(k) FILTER (hit) AS entry_k, arg_min(px, k) FILTER (hit) AS entry FROM pa GROUP BY 1, 2")
+
+
+def _patterns(kind, within):
+    def run(s, d):
+        from ..operators.setups import alternative_entry
+        panel = positioned(s, d)
+        return alternative_entry(panel, signals(panel), kind, within)
+    return run
+
+
+_WAIT = (SIMPLE_SQL + f", q2 AS (SELECT *, {lag('adj_low')} AS pl, {lag('adj_close')} AS pc FROM q1), sg AS (SELECT * FROM q2 WHERE adj_close < lo7 AND r < last_r), "
+         "pa AS MATERIALIZED (SELECT s.isin, s.date, s.adj_close AS sc, s.adj_low AS sl, s.adj_high AS sh, b.r - s.r AS k, b.adj_open AS o, b.adj_low AS l, b.adj_high AS h, b.adj_close AS c, b.pl, b.pc, b.next_open AS no "
+         "FROM sg s JOIN q2 b ON b.isin = s.isin AND b.r BETWEEN s.r + 1 AND s.r + {within}), ")
+register("T9_shakeout_entry", KEY + "entry_k:n entry:f4", _patterns("shakeout", 5),
+         _WAIT.format(within=5).removesuffix(", ") + "@@ SELECT isin, date, min(k + 1) FILTER (l < pl AND c > pc AND no IS NOT NULL) AS entry_k, arg_min(no, k) FILTER (l < pl AND c > pc AND no IS NOT NULL) AS entry FROM pa GROUP BY 1, 2")
+register("T9_retest_entry", KEY + "entry_k:n entry:f4", _patterns("retest", 10),
+         _WAIT.format(within=10) + "ft AS (SELECT isin, date, min(k) FILTER (l <= sc) AS f FROM pa GROUP BY 1, 2) @@ SELECT isin, date, max(k) FILTER (k = f AND c > sl AND least(sc, o) > sl) AS entry_k, "
+         "max(least(sc, o)) FILTER (k = f AND c > sl AND least(sc, o) > sl) AS entry FROM pa JOIN ft USING (isin, date) GROUP BY 1, 2")
+register("T9_hold_break_entry", KEY + "entry_k:n entry:f4", _patterns("hold_break", 10),
+         _WAIT.format(within=10) + "bk AS (SELECT isin, date, coalesce(min(k) FILTER (l < sl), 999) AS f FROM pa GROUP BY 1, 2) @@ SELECT isin, date, min(k) FILTER (k >= 3 AND k < f AND h > sh) AS entry_k, "
+         "arg_min(greatest(sh, o), k) FILTER (k >= 3 AND k < f AND h > sh) AS entry FROM pa JOIN bk USING (isin, date) GROUP BY 1, 2")
 CLOSE_STOP = oc.Exit(("atr", 0.2), trigger="adj_close > hi7_prior", why="reversal", cap=20, cost=0.3, stop_on="close", stop_from=1, extra=("hi7_prior",), **WIDE)
 register("T10_close_stop", OUT, outcome(CLOSE_STOP),
          touch_sql(stop="atr", stop_on="close", trigger="adj_close > hi7", why="reversal", cap=20, cost=0.3, stop_from=1, risk="entry * atr_pct / 100 * 0.2") + "@@ SELECT * FROM tr")
@@ -334,6 +394,10 @@ def cell_sql(tag: str, greedy: bool, **exit) -> str:
     return re.sub(r"\b(sg|sk|pa|ev|ew|ex|tx|tr|nx|gr|tk)\b", rf"\1_{tag}", body)
 
 
+register("T4_exit_variants", KEY + "cell:s entry:f4 exit:f4 bars:i why:s net:f3", _cells(TRAIL_CELLS),
+         _cells_sql({n: dict(trigger=t, why=n) for n, t in TRAIL_SQL.items()}, cap=40, cost=0.3, risk="entry * atr_pct / 100 * 0.5"))
+register("T10_close_stops", KEY + "cell:s entry:f4 exit:f4 bars:i why:s net:f3", _cells(CLOSE_CELLS), _cells_sql(CLOSE_SQL, why="exit", cap=20, cost=0.3, stop_on="close", stop_from=1))
+
 LAB_SQL = ("count(*) AS n, avg(CASE WHEN net > 0 THEN 100.0 ELSE 0 END) AS win, avg(net) AS net, quantile_cont(net, 0.5) AS median, "
            "avg(net) FILTER (net > 0) / -avg(net) FILTER (net <= 0) AS payoff, sum(net) FILTER (net > 0) / -sum(net) FILTER (net <= 0) AS pf, "
            "avg(CASE WHEN why = 'stop' THEN 100.0 ELSE 0 END) AS stopped, avg(bars) AS bars, avg(net / risk_pct) AS exp_r, count(DISTINCT date) AS days, "
