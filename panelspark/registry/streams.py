@@ -8,14 +8,33 @@ from ..operators.features import build_features
 from ..sources import panels
 from ..streaming import ingest, positions
 from .base import BARS, MINUTES, register
+from .outcomes import GREEDY, touch_sql
 from .upkeep import shared_path
 from .windows import KEY
 
 
-def _files(df, path: str):
-    """Write ``df`` by the tasks that derive it and stream the files back; one batch takes all that is there."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+BATCHES = 5
+
+
+def _files(df, path: str, part=None):
+    """Write ``df`` in ``BATCHES`` parts, one after the other, and stream them back, a part per batch.
+
+    ``part`` (0, 1, ...) says which part a row belongs to; rows are dealt by a hash where it is not given.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(BATCHES)) if part is None else part
+    held = df.withColumn("__part", part.cast("int"))
+    held.write.mode("overwrite").partitionBy("__part").parquet(path + "-parts")
+    spark = df.sparkSession
+    for i in range(BATCHES):
+        spark.read.schema(held.schema).parquet(path + "-parts").filter(F.col("__part") == i).select(df.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _in_order(df, time: str):
+    """Parts by equal shares of the time span: later rows come in later batches."""
+    span = df.agg(F.min(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("lo"), F.max(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("hi")).first()
+    width = max(1, (span.hi - span.lo) // BATCHES + 1)
+    return F.floor((F.unix_timestamp(F.col(time).cast("timestamp")) - span.lo) / width)
 
 
 def _drain(stream, root: str, mode: str):
@@ -53,7 +72,8 @@ def _hours(s, d):
     root = shared_path(s)
     minutes = panels.minute_panel(s, d)
     closing = minutes.agg(F.max("ts").alias("ts")).selectExpr("'closing' AS isin", "ts + INTERVAL 1 DAY AS ts")
-    out = _drain(ingest.stream_hour_bars(_files(minutes.unionByName(closing, allowMissingColumns=True), root + "/in")), root, "append")
+    rows = minutes.unionByName(closing, allowMissingColumns=True)
+    out = _drain(ingest.stream_hour_bars(_files(rows, root + "/in", _in_order(rows, "ts"))), root, "append")
     return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -65,7 +85,7 @@ register("ST2_stream_hours", "isin:s hour:s open:f4 high:f4 low:f4 close:f4 volu
 def _versions(s, d):
     root = shared_path(s)
     rows = panels.minute_panel(s, d).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")).select("isin", "ts", "close", "event_id")
-    out = _drain(ingest.stream_keep_last(_files(rows, root + "/in"), "event_id"), root, "update")
+    out = _drain(ingest.stream_keep_last(_files(rows, root + "/in", _in_order(rows, "ts")), "event_id"), root, "update")
     last = out.groupBy("isin", "ts").agg(F.max_by("close", "__batch").alias("close"), F.max("event_id").alias("event_id"))
     return last.withColumn("stamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
@@ -87,10 +107,15 @@ register("ST4_provisional_bars", KEY + "adj_close:f4 volume:i", _provisional, f"
 
 
 def _lifecycle(s, d):
+    """Bars in several batches, one in eight of them a batch late; a bar of each key far ahead lets the last ones go through."""
     root = shared_path(s)
     panel = build_features(panels.week_panel(s, d), ["hi7_prior", "atr_pct", "new_lo7"])
     bars = panel.select("isin", "date", "adj_open", "adj_close", "hi7_prior", "atr_pct", F.col("new_lo7").alias("signal"))
-    stream = positions.stream_positions(_files(bars, root + "/in"), 0.2, 20)
+    ahead = bars.groupBy("isin").agg(F.date_add(F.max("date"), DELAY + 30).alias("date"))
+    late = F.pmod(F.xxhash64("isin", "date"), F.lit(8)) == 0
+    rows = bars.unionByName(ahead, allowMissingColumns=True)
+    part = F.least(_in_order(rows, "date") + F.when(late & F.col("adj_open").isNotNull(), 1).otherwise(0), F.lit(BATCHES - 1))
+    stream = positions.stream_positions(_files(rows, root + "/in", part), 0.2, 20, delay=DELAY)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(provider)
     s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -100,4 +125,8 @@ def _lifecycle(s, d):
         s.conf.set(provider, before)
 
 
-register("ST5_position_lifecycle", "isin:s entry_date:d exit_date:d entry:f4 exit:f4 bars:i why:s", _lifecycle)
+DELAY = 1200  # days: more than a batch of the fixture spans, so that a bar one batch late still takes its place
+register("ST5_position_lifecycle", "isin:s entry_date:d exit_date:d entry:f4 exit:f4 bars:i why:s", _lifecycle,
+         touch_sql(stop="atr", stop_on="close", trigger="adj_close > hi7", why="reversal", cap=20, risk="entry * atr_pct / 100 * 0.2") + ", " + GREEDY
+         + "@@ SELECT tk.isin, a.date AS entry_date, b.date AS exit_date, entry, exit, bars, why FROM tk JOIN bars a ON a.isin = tk.isin AND a.r = tk.t + 1 JOIN bars b ON b.isin = tk.isin AND b.r = tk.exit_r "
+         "WHERE NOT (why = 'time' AND bars < 20)")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import keep_last, upsert_columns
@@ -12,34 +13,48 @@ from ..session import cut_lineage
 from ..sources.bars import SESSION_OFFSET, write_partitions
 
 
-def merge_into(path: str, key: list[str], order: Column, columns: list[str]) -> Callable[[DataFrame, int], None]:
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path in it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def merge_into(path: str, key: list[str], order: Column, columns: list[str], log: str = "merge") -> Callable[[DataFrame, int], None]:
     """A batch function that merges column-wise into a year-partitioned table.
 
-    Only the years a batch touches are read and rewritten; replaying a batch changes nothing, so a
-    restarted query is safe. The merged rows are materialised before the files they came from are replaced.
+    Only the years a batch touches are read and rewritten. The merged rows are first written beside the table, under the
+    batch's own name (``log`` tells streams into one table apart; readers skip the folder), and then replace the years. When a
+    crash breaks the replacement, the replayed batch finds its rows there, whole, and replaces again: it never reads the broken
+    table. A batch replayed later than that changes nothing, so a restarted query is safe at any point.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = cut_lineage(keep_last(batch.select(*columns, order.alias("__order")), key, F.col("__order")).drop("__order"))
-        years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]  # a handful of partitions
-        if not years:
-            return
-        try:
-            stored = spark.read.parquet(path).filter(F.col("year").isin(years)).select(*columns)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            stored = fresh.limit(0)
-        merged = cut_lineage(upsert_columns(stored, fresh, key).drop("change"))
-        write_partitions(merged, path)
+        beside = f"{path}/_beside/{log}-{batch_id}"
+        files, done = _folder(spark, beside + "/_SUCCESS")
+        if not files.exists(done):
+            fresh = cut_lineage(keep_last(batch.select(*columns, order.alias("__order")), key, F.col("__order")).drop("__order"))
+            years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]  # a handful of partitions
+            if not years:
+                return
+            try:
+                stored = spark.read.parquet(path).filter(F.col("year").isin(years)).select(*columns)
+            except Exception as error:  # the first batch finds no table
+                if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+                    raise
+                stored = fresh.limit(0)
+            upsert_columns(stored, fresh, key).drop("change").write.mode("overwrite").parquet(beside)
+        write_partitions(spark.read.parquet(beside), path)
+        files, folder = _folder(spark, beside)
+        files.delete(folder, True)
 
     return apply
 
 
 def stream_merge(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: Column, columns: list[str]) -> StreamingQuery:
-    """Merge a stream of late or provisional bars into a table, once through the available data."""
-    return (stream.writeStream.foreachBatch(merge_into(path, key, order, columns))
+    """Merge a stream of late or provisional bars into a table, through the available data, batch by batch."""
+    log = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return (stream.writeStream.foreachBatch(merge_into(path, key, order, columns, log))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

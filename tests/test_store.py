@@ -178,3 +178,87 @@ def test_hour_bars_start_at_a_quarter_past(spark):
     df = spark.sql("SELECT 'A' AS isin, ts, 1D AS open, 2D AS high, 0D AS low, CAST(minute(ts) AS DOUBLE) AS close, 1L AS volume FROM (SELECT explode(sequence(TIMESTAMP_NTZ'2024-01-01 09:15:00', TIMESTAMP_NTZ'2024-01-01 11:14:00', INTERVAL 1 MINUTE)) AS ts)")
     got = io.hour_bars(df).orderBy("hour").collect()
     assert [(str(r.hour), r.volume, r.close) for r in got] == [("2024-01-01 09:15:00", 60, 14.0), ("2024-01-01 10:15:00", 60, 14.0)]
+
+
+def test_a_crash_while_years_are_replaced_loses_nothing(spark, tmp_path, monkeypatch):
+    """The replayed batch finds its rows beside the table and does not read what the crash left."""
+    from panelspark.streaming import ingest
+    path, source = str(tmp_path / "table"), str(tmp_path / "in")
+    columns = ["isin", "date", "close"]
+
+    def run(name):
+        stream = spark.readStream.schema("isin string, date date, close double, seq int").parquet(f"{source}/{name}")
+        ingest.stream_merge(stream, path, str(tmp_path / f"state-{name}"), ["isin", "date"], F.col("seq"), columns).awaitTermination()
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "isin string, date string, close double, seq int").withColumn("date", F.to_date("date")).write.parquet(f"{source}/{name}")
+
+    def table():
+        return sorted((r.isin, str(r.date), r.close) for r in spark.read.parquet(path).select(*columns).collect())
+
+    put("one", [("A", "2023-05-01", 1.0, 1), ("B", "2023-06-01", 2.0, 1), ("A", "2024-01-02", 3.0, 1)])
+    run("one")
+    put("two", [("A", "2023-05-01", 9.0, 1), ("C", "2024-02-01", 4.0, 1)])
+    real = ingest.write_partitions
+
+    def broken(df, to, *more):
+        for year in ("2023", "2024"):  # the stored years are gone, the new ones not there yet
+            files, folder = ingest._folder(spark, f"{to}/year={year}")
+            files.delete(folder, True)
+        raise RuntimeError("power cut")
+
+    monkeypatch.setattr(ingest, "write_partitions", broken)
+    with pytest.raises(Exception):
+        run("two")
+    monkeypatch.setattr(ingest, "write_partitions", real)
+    run("two")
+    want = [("A", "2023-05-01", 9.0), ("A", "2024-01-02", 3.0), ("B", "2023-06-01", 2.0), ("C", "2024-02-01", 4.0)]
+    assert table() == want
+    run("two")  # nothing new
+    assert table() == want
+    files, beside = ingest._folder(spark, f"{path}/_beside")
+    assert not files.exists(beside) or not list(files.listStatus(beside))
+
+
+def test_bars_inside_the_delay_take_their_place():
+    """Shuffled batches give the rows of one batch in order; a bar later than the delay is reported."""
+    import random
+
+    import pandas as pd
+
+    from panelspark.streaming.positions import Positions
+
+    class Held(list):
+        def exists(self):
+            return bool(self)
+        def get(self):
+            return iter(list(self)) if self.many else self[0]
+        def put(self, rows):
+            self[:] = rows
+        def clear(self):
+            self[:] = []
+        def update(self, value):
+            self[:] = [value]
+
+    def follow(batches, delay):
+        one = Positions(1.0, 20, delay=delay)
+        one.state, one.waiting = Held(), Held()
+        one.state.many, one.waiting.many = False, True
+        out = [f for b in batches for f in one.handleInputRows(("A",), iter([b]), None)]
+        return [(str(r.entry_date), str(r.exit_date), r.exit, r.bars, r.why) for f in out for r in f.itertuples()]
+
+    r = random.Random(3)
+    start = dt.date(2024, 1, 1)
+    rows = [(start + dt.timedelta(days=k), 10 + r.random(), 10 + r.random(), 10.4, 5.0, int(r.random() < 0.3)) for k in range(120)]
+    rows.append((start + dt.timedelta(days=400), 10.0, 10.0, None, None, None))
+    frame = pd.DataFrame(rows, columns=["date", "adj_open", "adj_close", "hi7_prior", "atr_pct", "signal"])
+    whole = follow([frame], 30)
+    assert len(whole) > 3 and all(w[-1] != "late" for w in whole)
+    order = list(range(120))
+    for i in range(0, 120, 20):  # shuffled inside 20 days
+        part = order[i:i + 20]
+        r.shuffle(part)
+        order[i:i + 20] = part
+    shuffled = [frame.iloc[order[i:i + 17]] for i in range(0, 120, 17)] + [frame.iloc[120:]]
+    assert follow(shuffled, 30) == whole
+    assert [w for w in follow([frame.iloc[20:], frame.iloc[:1]], 30) if w[-1] == "late"] == [("2024-01-01", "2024-01-01", None, 0, "late")]
