@@ -74,7 +74,7 @@ class Positions(StatefulProcessor):
             return bars.sort_values("date", kind="stable")
         names = [f.split()[0] for f in BAR.split(", ")]
         held = pd.DataFrame(list(self.waiting.get()), columns=names) if self.waiting.exists() else bars[names].iloc[:0]
-        bars = (pd.concat([held, bars[names]]) if len(held) else bars[names]).sort_values("date", kind="stable")
+        bars = pd.DataFrame([*held.itertuples(index=False, name=None), *bars[names].itertuples(index=False, name=None)], columns=names).sort_values("date", kind="stable")
         due = bars["date"] <= bars["date"].max() - datetime.timedelta(days=self.delay)
         rest = [tuple(None if pd.isna(v) else v for v in row) for row in bars[~due].astype(object).itertuples(index=False)]
         self.waiting.put(rest) if rest else self.waiting.clear()
