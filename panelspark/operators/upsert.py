@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.core import holds
 from ..schema import ADJ_BLOCK, coerce
@@ -13,12 +13,19 @@ from ..schema import ADJ_BLOCK, coerce
 WRAP = 2 ** 32
 
 
+# Types whose values an aggregate can overwrite in place, so that it hashes and does not sort
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def keep_last(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     """One row per key: the last by ``order`` (which must be unique inside a key).
 
-    ``max_by`` has a map-side partial, so a key repeated very often is reduced before the shuffle.
+    ``max_by`` has a map-side partial, so a key repeated very often is reduced before the shuffle. Columns of fixed width
+    are taken one by one, in a hash aggregate that sorts nothing; with other columns the row is taken as a struct.
     """
     rest = [c for c in df.columns if c not in key]
+    if all(isinstance(df.schema[c].dataType, _FIXED) for c in rest):
+        return df.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(df.columns)
     latest = F.max_by(F.struct(*rest), order).alias("__row")
     return df.groupBy(*key).agg(latest).select(*key, *[F.col("__row")[c].alias(c) for c in rest]).select(df.columns)
 

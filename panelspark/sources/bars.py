@@ -14,12 +14,18 @@ SESSION_OFFSET = "15 minutes"
 SESSION_OPEN, SESSION_CLOSE = "09:15", "15:30"
 
 
+def instant_order(ts: Column, tie: Column | None = None) -> Column:
+    """Instants, and whole numbers (up to 18 digits) among equal ones, as one decimal: an aggregate hashes on it, on a struct it sorts."""
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(38,0)")
+    return micros if tie is None else (micros * F.lit(10 ** 18).cast("decimal(19,0)") + tie.cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
 def hour_bars(minutes: DataFrame, session_hours: bool = False) -> DataFrame:
     """Sixty-minute bars whose boundaries fall at a quarter past."""
     if session_hours:
         clock = F.date_format("ts", "HH:mm")
         minutes = minutes.filter((clock >= SESSION_OPEN) & (clock < SESSION_CLOSE))
-    order = F.struct("ts", "event_id") if "event_id" in minutes.columns else F.col("ts")
+    order = instant_order(F.col("ts"), F.col("event_id") if "event_id" in minutes.columns else None)
     slot = F.window("ts", "60 minutes", "60 minutes", SESSION_OFFSET)
     return minutes.groupBy("isin", slot.alias("w")).agg(
         F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import keep_last, upsert_columns
 from ..session import cut_lineage
-from ..sources.bars import SESSION_OFFSET, write_partitions
+from ..sources.bars import SESSION_OFFSET, instant_order, write_partitions
 
 
 def _folder(spark: SparkSession, path: str):
@@ -61,7 +61,7 @@ def stream_merge(stream: DataFrame, path: str, checkpoint: str, key: list[str],
 def stream_hour_bars(minutes: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hour bars of a minute stream (isin, ts, open, high, low, close, volume); emitted when the watermark passes."""
     instant = F.col("ts").cast("timestamp")
-    order = F.struct("at", "event_id") if "event_id" in minutes.columns else F.col("at")
+    order = instant_order(F.col("at"), F.col("event_id") if "event_id" in minutes.columns else None)
     return (minutes.withColumn("at", instant).withWatermark("at", late)
             .groupBy("isin", F.window("at", "60 minutes", "60 minutes", SESSION_OFFSET).alias("w"))
             .agg(F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),

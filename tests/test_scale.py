@@ -52,3 +52,18 @@ def test_nan_takes_no_part_in_quantiles(spark):
 def test_grid_has_no_nested_loop(spark, sf):
     text = plan(QUERIES["S11_series_grid"](spark, sf))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_last_rows_and_hour_bars_hash_and_do_not_sort(spark):
+    from panelspark.operators.upsert import keep_last
+    from panelspark.sources.bars import hour_bars
+    rows = spark.createDataFrame([("A", 1, 1.0, 5), ("A", 2, None, 6), ("B", 1, 2.0, 7)], "isin string, seq bigint, close double, volume bigint")
+    last = keep_last(rows, ["isin"], F.col("seq"))
+    assert {tuple(r) for r in last.collect()} == {("A", 2, None, 6), ("B", 1, 2.0, 7)}
+    minutes = spark.sql("SELECT 'A' isin, timestamp_ntz'2024-01-01 09:20:00' ts, 1.0D open, 2.0D high, 0.5D low, 1.5D close, 3L volume, 9L event_id "
+                        "UNION ALL SELECT 'A', timestamp_ntz'2024-01-01 09:20:00', 7.0D, 8.0D, 6.0D, 7.5D, 3L, 4L")
+    bars = hour_bars(minutes)
+    assert [(r.open, r.close, r.volume) for r in bars.collect()] == [(7.0, 1.5, 6)]
+    for df in (last, bars):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "HashAggregate" in plan
