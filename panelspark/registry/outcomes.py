@@ -15,7 +15,7 @@ from ..plans.screen import screen_panel
 from ..session import cut_lineage
 from ..sources import panels
 from .base import BARS, W, register, roll
-from .cross import FORWARD, RS, index_bars
+from .cross import FORWARD, GATE, RS, index_bars
 from .windows import KEY, RECURSION, SMA, lag, pct_sql
 
 # ------------------------------------------------------------------ rules
@@ -349,7 +349,9 @@ def tagged(s, d):
     return out.withColumns({"half": F.when(F.col("date") < split, "H1").otherwise("H2"), "strategy": F.lit("double_seven")})
 
 
-register("T13_tagged_trades", KEY + "net:f3 rs_rank:n atr_pct:f4 vol_ratio:f4 mkt_gate_on:i half:s", tagged)
+register("T13_tagged_trades", KEY + "net:f3 rs_rank:n atr_pct:f4 vol_ratio:f4 mkt_gate_on:i half:s", tagged,
+         SESS + f", {RS}, {GATE} @@ SELECT te.isin, te.date, te.net, rs.rs_rank, q1.atr_pct, q1.vol_ratio, gate.mkt_gate_on, CASE WHEN te.date < DATE '1998-06-01' THEN 'H1' ELSE 'H2' END AS half "
+         "FROM te JOIN q1 ON q1.isin = te.isin AND q1.r = te.t LEFT JOIN rs ON rs.isin = te.isin AND rs.date = te.date LEFT JOIN gate ON gate.date = te.date")
 
 
 def _regret(s, d):

@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from ..sources import panels
 from .base import BARS, register, roll
 from .cross import _BF, CAL, IX, OSC, index_bars
-from .outcomes import ALL, CELLS, COLUMNS, LOW, RULE_SQL, SESS, SIMPLE, SIMPLE_SQL, TK, WIDE, _panel, cell_sql, positioned, reversal_trades, sessions, signals, tagged
+from .outcomes import ALL, CELL_SQL, CELLS, COLUMNS, LOW, RULE_SQL, SESS, SIMPLE, SIMPLE_SQL, TK, WIDE, _panel, cell_sql, positioned, reversal_trades, sessions, signals, tagged
 from .windows import KEY
 
 SPLIT = "1998-06-01"
@@ -284,7 +284,6 @@ register("V12_gate_evaluation", "gate:s half:s n_on:i n_off:i mean_on:f3 mean_of
              f"SELECT '{g}' AS gate, date, {_ONOFF.format(c=c, e=e)} AS g FROM {t}" for g, c, e, t in (("nifty_above_50dma", "above50", "above50", "mm"), ("vix_below_20dma", "v20", "v20 < 0", "vv"), ("breadth50_gt_50", "b50", "b50 > 50", "dy")))
          + ") @@ SELECT gate, half, count(*) FILTER (g = 1) AS n_on, count(*) FILTER (g = 0) AS n_off, avg(net) FILTER (g = 1) AS mean_on, avg(net) FILTER (g = 0) AS mean_off, avg(net) FILTER (g = 1) - avg(net) FILTER (g = 0) AS diff "
          "FROM fx JOIN gg USING (date) WHERE g IS NOT NULL GROUP BY 1, 2")
-register("V12_gate_pairs", "gate:s sessions:i share_on:f4", lambda s, d: va.time_in_market(va.gate_pairs(_gates(s, d).filter(F.col("gate").isin("nifty_above_50dma", "vix_below_20dma", "breadth50_gt_50")))))
 # ------------------------------------------------------------------ the gate study: every gate whose state SQL restates, two strategies
 def _over(fn, x, n, least=None):
     return roll(fn, x, n, least, over="ORDER BY date")
@@ -363,6 +362,9 @@ VERDICT_SQL = (f", tm AS (SELECT gate, avg(CASE WHEN g THEN 100.0 ELSE 0 END) AS
                "FROM tm LEFT JOIN bs USING (gate) LEFT JOIN po USING (gate) LEFT JOIN kn USING (gate) LEFT JOIN ms USING (gate) LEFT JOIN qw USING (gate)")
 register("V12_gate_study", CELL_COLUMNS, _judged(gs.gate_cells, gs.singles(STUDIED)), _study_sql(gs.singles(STUDIED)) + "@@ SELECT * FROM cl")
 register("V12_gate_verdicts", VERDICT_COLUMNS, _judged(gs.gate_verdicts, gs.singles(STUDIED)), _study_sql(gs.singles(STUDIED)) + VERDICT_SQL)
+register("V12_gate_pairs", "gate:s sessions:i share_on:f4",
+         lambda s, d: va.time_in_market(va.gate_pairs(_gates(s, d).filter(F.col("gate").isin("nifty_above_50dma", "vix_below_20dma", "breadth50_gt_50")))),
+         _study_sql(gs.pairs(["breadth50_gt_50", "nifty_above_50dma", "vix_below_20dma"])).split(", tg AS MATERIALIZED")[0] + "@@ SELECT gate, count(*) AS sessions, avg(g::INT) * 100 AS share_on FROM gg GROUP BY 1")
 register("V12_gate_combinations", VERDICT_COLUMNS, _judged(gs.gate_verdicts, PAIRED), _study_sql(PAIRED) + VERDICT_SQL)
 register("X19_gate_states", "gate:s date:d on_value:n", lambda s, d: _gates(s, d).filter(F.col("gate").isin(STUDIED)).withColumnRenamed("on", "on_value"),
          _STUDY.removesuffix(", ") + "@@ SELECT gate, date, g::INT AS on_value FROM g1")
@@ -404,7 +406,10 @@ def _selection(s, d):
 
 register("V16_selection_metrics", "scenario:s n:i net:f3 win:f4 months_up:f4 worst_month:f3 top10_share:f4 trades_per_month:f4", _selection)
 register("V17_best_cells", "setup:s cell:s worse_net:f3 worse_win:f3",
-         lambda s, d: va.best_cells(_cell_halves(s, d).select(F.lit("low7").alias("setup"), "cell", F.least("h1_net", "h2_net").alias("worse_net"), F.col("win").alias("worse_win"))))
+         lambda s, d: va.best_cells(_cell_halves(s, d).select(F.lit("low7").alias("setup"), "cell", F.least("h1_net", "h2_net").alias("worse_net"), F.col("win").alias("worse_win"))),
+         SIMPLE_SQL + ", " + ", ".join(cell_sql(c, True, stop="atr", **x) for c, x in CELL_SQL.items()) + ", al AS (" + " UNION ALL ".join(f"SELECT '{c}' AS cell, date, net FROM tk_{c}" for c in CELL_SQL)
+         + f"), hv AS (SELECT cell, least(avg(net) FILTER (date < DATE '{SPLIT}'), avg(net) FILTER (date >= DATE '{SPLIT}')) AS worse_net, avg(CASE WHEN net > 0 THEN 100.0 ELSE 0 END) AS worse_win FROM al GROUP BY 1), "
+         "pl AS (SELECT *, row_number() OVER (ORDER BY worse_net DESC, worse_win DESC, cell) AS a, row_number() OVER (ORDER BY worse_win DESC, worse_net DESC, cell) AS b FROM hv) @@ SELECT 'low7' AS setup, cell, worse_net, worse_win FROM pl WHERE a <= 2 OR b = 1")
 
 
 STOPS = {"0.1 ATR": oc.Exit(("atr", 0.1), target=2.0, **WIDE), "0.3 ATR": oc.Exit(("atr", 0.3), target=2.0, **WIDE), "8%": oc.Exit(("pct", 8.0), target=2.0), "15%": oc.Exit(("pct", 15.0), target=2.0)}

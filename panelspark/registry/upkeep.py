@@ -379,7 +379,9 @@ register("L8_month_windows", "isin:s from_date:d to_date:d",
          f"WITH {BARS}, sp AS (SELECT isin, min(date) + 10 AS a, max(date) AS b FROM bars GROUP BY 1), m AS (SELECT *, CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE) AS mo FROM sp) "
          "@@ SELECT isin, greatest(a, mo) AS from_date, least(b, last_day(mo)) AS to_date FROM m")
 register("L8_decade_windows", "isin:s from_date:d to_date:d",
-         lambda s, d: calendar.decade_windows(week(s, d).groupBy("isin").agg(F.add_months(F.min("date"), -240).alias("start"), F.max("date").alias("end"))))
+         lambda s, d: calendar.decade_windows(week(s, d).groupBy("isin").agg(F.add_months(F.min("date"), -240).alias("start"), F.max("date").alias("end"))),
+         f"WITH RECURSIVE {BARS}, sp AS (SELECT isin, CAST(min(date) - INTERVAL 240 MONTH AS DATE) AS a, max(date) AS b FROM bars GROUP BY 1), w AS (SELECT isin, a AS f, b FROM sp UNION ALL SELECT isin, CAST(f + INTERVAL 119 MONTH AS DATE) + 1, b FROM w "
+         "WHERE CAST(f + INTERVAL 119 MONTH AS DATE) + 1 <= b) @@ SELECT isin, f AS from_date, least(CAST(f + INTERVAL 119 MONTH AS DATE), b) AS to_date FROM w")
 
 # ------------------------------------------------------------------ aggregation and audit
 register("A1_counts_by_date", "date:d bars:i", lambda s, d: bar_io.counts_by_date(week(s, d)), f"WITH {BARS} @@ SELECT date, count(*) AS bars FROM bars GROUP BY 1")
