@@ -122,19 +122,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return Model(x, languages) if languages else None
 
 
-def rejection_score(docs: DataFrame, model: Model | None) -> float:
-    """The score under which a text is in no known language: ``MARGIN`` of the least score a rightly told text of ``docs`` has.
-
-    ``docs`` are labelled documents that the model was not fitted on (``sample`` of them counts); 0 where nothing tells.
-    """
-    x, languages = sample(docs) if model is not None else (None, [])
-    if not languages:
-        return 0.0
-    s = np.concatenate([model.scores(unpacked(x[a:a + BATCH])) for a in range(0, len(x), BATCH)])
-    right = np.array(model.languages)[s.argmax(axis=1)] == np.array(languages)
-    return float(MARGIN * s.max(axis=1)[right].min()) if right.any() else 0.0
-
-
 def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with lang_pred and score of every whole text, under ``names``."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages
@@ -151,6 +138,18 @@ def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("l
     return annotated(docs, each, f"{names[0]} string, {names[1]} double")
 
 
+def rejection_score(docs: DataFrame, model: Model | None) -> float:
+    """The score under which a text is in no known language: ``MARGIN`` of the least score a rightly told text of ``docs`` has.
+
+    ``docs`` are labelled documents that the model was not fitted on; all of them are scored. 0 where nothing tells.
+    """
+    if model is None:
+        return 0.0
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    right = predicted(known, model, ("_told", "_score")).filter((F.col("_told") == F.col("lang")) & (F.col("_told") != UNKNOWN))
+    return MARGIN * right.agg(F.coalesce(F.min("_score"), F.lit(0.0))).first()[0]
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the documents outside the held-out fold."""
     model = fit(docs.filter(remainder(5) != 0))

@@ -1,6 +1,7 @@
 """The kernel model against an explicit kernel ridge solve, and the pipeline's language stage."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelspark.llm import langid
@@ -57,3 +58,15 @@ def test_stage_keeps_the_given_documents(spark):
     docs = table(spark, sf, "documents")
     kept = corpus_pipeline.language_id(spark, docs, sf)
     assert kept.count() >= 0.995 * docs.filter("text rlike '\\\\p{L}'").count()
+
+
+def test_rejection_score_is_the_least_of_all_labelled_texts(spark):
+    """More labelled texts than a sample takes; the weakest one is the last a sample would choose."""
+    rows = [("the quick brown fox jumps over the lazy dog", "en")] * 1000
+    last = spark.range(len(rows)).orderBy(F.xxhash64("id").desc()).first()[0]
+    model = langid.Model(*map(list, zip(*texts_of(90))))
+    weak = "the dog and 1234567890 +-*/ @@ ## 44 55 66"
+    assert model.predict([weak])[0][0] == "en" and model.predict([weak])[0][1] < 0.8 * model.predict([rows[0][0]])[0][1]
+    docs = docs_of(spark, [*rows[:last], (weak, "en"), *rows[last + 1:], ("12 34", "und"), ("der schnelle braune Fuchs", "en")])
+    assert abs(langid.rejection_score(docs, model) - langid.MARGIN * model.predict([weak])[0][1]) < 1e-6
+    assert langid.rejection_score(docs.filter("lang = 'und'"), model) == 0
