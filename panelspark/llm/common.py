@@ -50,12 +50,12 @@ def remainder(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
-def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the incoming batches with their texts (null: empty)."""
+def documents(batches: Iterator[pa.RecordBatch], chars: int = TASK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the incoming batches, of about ``chars`` bytes of text, with their texts (null: empty)."""
     for batch in batches:
         column = batch.column("text")
         lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-        ends = np.cumsum(lengths) // TASK_CHARS
+        ends = np.cumsum(lengths) // chars
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

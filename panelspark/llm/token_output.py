@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from panelspark.llm.common import documents, rows, store
+from panelspark.llm.common import TASK_CHARS, documents, rows, store
 from panelspark.llm.word_tokens import coder
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -123,7 +123,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, label: str = "to
             payload = pack(np.frombuffer(b"".join(held), "<u4"))
             return rows(_CHUNK, part=[part], before=[before], doc_ids=[names], counts=[counts], payload=[payload])
 
-        for batch, texts in documents(batches):
+        for batch, texts in documents(batches, 2 * TASK_CHARS):  # the larger, the fewer words are looked up
             for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                 names.append(name), counts.append(len(ids) // 4 + 1), held.extend((ids, end))
                 n += counts[-1]

@@ -8,18 +8,38 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 from panelspark.llm.common import activate, remembered
 
 # A word of letters up to U+00FF (composed already, one lower-case form each), perhaps with one mark behind it.
 PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,]?)")
+BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", np.uint8))
+
+
+def split_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different blank-separated words of the texts, the place of every word among them, and each text's first word (and the end)."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # starts and ends in turn: the first and last bytes are blanks
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    kept = ~blank
+    kept[ends] = True
+    spaced = np.where(blank, np.uint8(32), data)[kept]  # every word with one blank behind it
+    offsets = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(spaced)]).dictionary_encode()
+    distinct = coded.dictionary.buffers()[2]
+    return distinct.to_pybytes().split(b" ")[:len(coded.dictionary)] if distinct else [], coded.indices.to_numpy(), bounds
 
 
 class WordCoder:
     """Encodes texts with a tokenizer that drops white space.
 
     Such a tokenizer splits at every ASCII blank before it merges, so a text's ids are the ids of its blank-separated
-    words, one after the other. Only words not yet met are given to the library. ``limit`` bounds the remembered words.
+    words, one after the other. Only words not yet met are given to the library. ``limit`` bounds the remembered words: at
+    half of it those met since the last such moment become the earlier ones, so words that keep coming stay.
 
     Where the tokenizer lower-cases and cuts letters from marks, a plain word needs neither regular expressions nor
     normalisation: its lower-case letters go straight to the library's model. All other words take the whole way.
@@ -31,6 +51,7 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[bytes, bytes] = remembered("tokens", {})
+        self.earlier: dict[bytes, bytes] = remembered("tokens", {})
         self.merge = self.tokenizer.model.tokenize if self._cuts_letters() else None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -49,11 +70,17 @@ class WordCoder:
         if found is None:
             return None
         letters, sign = found.groups()
-        letters = letters.lower()
-        ids = [t.id for t in self.merge(letters if letters.isascii() else "".join(map(self.shown.__getitem__, letters.encode())))]
-        if sign:
-            ids += [t.id for t in self.merge(sign)]
-        return array("I", ids).tobytes()
+        return self._lower(letters.lower()) + (self._lower(sign) if sign else b"")
+
+    def _lower(self, part: str) -> bytes:
+        """The ids of lower-case letters or of a mark, remembered as those of a word."""
+        word = part.encode()
+        ids = self.known.get(word) or self.earlier.get(word)
+        if ids is None:
+            shown = part if part.isascii() else "".join(map(self.shown.__getitem__, word))
+            ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
+            self.known[word] = ids
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
         if self.merge is not None:
@@ -72,16 +99,34 @@ class WordCoder:
             cuts = (4 * np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text begins (and the end).
+
+        Each different word is looked up once; its ids are dealt to its places as arrays.
+        """
         activate("tokens")
-        split = [t.encode().split() for t in texts]
-        needed = set().union(*split)
-        if len(self.known) > self.limit:
+        distinct, place, bounds = split_words(texts)
+        if len(self.known) > self.limit // 2:
+            self.earlier.clear()
+            self.earlier.update(self.known)
             self.known.clear()
-        self._learn(sorted(needed.difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        missed = [w for w in distinct if w not in self.known]
+        again = {w: ids for w in missed if (ids := self.earlier.get(w)) is not None}
+        self.known.update(again)
+        self._learn(sorted(w for w in missed if w not in again))
+        held = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        first = np.cumsum(sizes) - sizes
+        size = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(b"".join(held), "<u4")[np.arange(ends[-1]) + np.repeat(first[place] - ends[:-1], size)]
+        return ids, ends[bounds]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.flat(texts)
+        raw, cuts = ids.tobytes(), (4 * bounds).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _coders: dict[str, WordCoder] = {}

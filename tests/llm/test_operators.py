@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import empty_documents, odd_documents, prose  # noqa: E402
 
-from panelspark.llm import ann, bpe, langid, media, packing, quality, simhash, substrings, token_output, toxicity  # noqa: E402
+from panelspark.llm import ann, bpe, langid, media, packing, quality, simhash, substrings, token_output, toxicity, word_tokens  # noqa: E402
 from panelspark.llm.common import table  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -273,3 +273,17 @@ def test_empty_tables(spark, sf):
                  substrings.digests(docs), media.media_digests(media.write_media(docs)), toxicity.classify(docs, labels), quality.select_documents(docs, labels),
                  langid.identify(docs), packing.pack_documents(docs, WORD)):
         assert made.count() == 0
+
+
+def test_word_coder_forgets_only_words_that_do_not_come_back():
+    """Ids are the library's whatever the remembered words; a word of every batch is learned once, though the memory is full."""
+    library = Tokenizer.from_file(WORD)
+    encoder = word_tokens.WordCoder(WORD, limit=40)
+    learned, learn = [], encoder._learn
+    encoder._learn = lambda words: (learned.extend(words), learn(words))[1]
+    for k in range(12):
+        batch = [f"always Always. (always) \x0b w{k}x\t" + " ".join(f"n{k}q{i}" for i in range(15)), "", " \r\n", "Stéa, İx ǅ é  y", f"{k}"]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in batch]
+        assert encoder.encode(batch) == want
+    assert learned.count(b"always") <= 1 and learned.count(b"(always)") == 1
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
